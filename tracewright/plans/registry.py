@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tracewright.plans import trace_queries  # noqa: F401
+from tracewright.plans import source_queries, text_queries, trace_queries  # noqa: F401
 from tracewright.plans.catalog import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -134,24 +134,20 @@ def symbol_prefix(content: Column, n: int = 0) -> Column:
 # ---- labels --------------------------------------------------------------------------------------------
 
 
-def label_from_text(content: Column) -> Column:
-    """First line of a label file."""
-    return F.split_part(content, F.lit("\n"), F.lit(1))
+def label_from_text(content: Column, clip: bool = False) -> Column:
+    """First line of a label file; clip drops one trailing underscore."""
+    first = F.split_part(content, F.lit("\n"), F.lit(1))
+    return F.regexp_replace(first, "_$", "") if clip else first
 
 
 def metadata_class(content: Column) -> Column:
-    """Class name of a metadata file: the transforms joined by '_'; Ident if it says so anywhere.
-
-    One trailing underscore is clipped.
-    """
+    """Class name of a metadata file: the transforms joined by '_'; Ident if it says so anywhere."""
     tokens = _metadata_tokens(content)
     transforms = F.transform(
         F.filter(tokens, lambda t: t.contains("Transform")),
         lambda t: F.replace(F.split_part(t, F.lit("="), F.lit(2)), F.lit("'"), F.lit("")),
     )
-    return F.when(content.contains("Ident"), "Ident").otherwise(
-        F.regexp_replace(F.array_join(transforms, "_"), "_$", "")
-    )
+    return F.when(content.contains("Ident"), "Ident").otherwise(F.array_join(transforms, "_"))
 
 
 def metadata_params(content: Column) -> Column:
