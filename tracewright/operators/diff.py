@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.numbers import rounded_ratio
+from tracewright.functions.rows import exploded
 from tracewright.plans.skew import salted_join
 
 TILE = 512  # strings compared with one another in one row
@@ -48,7 +49,7 @@ def prefix_join(programs: DataFrame, samples: DataFrame, separator: str = "-") -
         F.size(parts) > 1,
         F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), separator)),
     )
-    keyed = samples.select("sample_id", F.explode(prefixes).alias("program"))
+    keyed = exploded(samples, ["sample_id"], prefixes, "program")
     return salted_join(keyed, programs.select("program"), ["program"], ["sample_id"]).select("program", "sample_id")
 
 
@@ -68,7 +69,8 @@ def line_diff_arrays(pairs: DataFrame) -> DataFrame:
 
 def line_diff(pairs: DataFrame) -> DataFrame:
     """One row per line of line_diff_arrays."""
-    return line_diff_arrays(pairs).withColumn("line", F.explode("lines")).drop("lines")
+    others = [c for c in pairs.columns if c not in ("content", "original")]
+    return exploded(line_diff_arrays(pairs), others, F.col("lines"), "line")
 
 
 def positional_diff_arrays(pairs: DataFrame) -> DataFrame:
@@ -88,9 +90,7 @@ def positional_diff_arrays(pairs: DataFrame) -> DataFrame:
 def positional_diff(pairs: DataFrame) -> DataFrame:
     """One row per position: pos from 1, symbol."""
     others = [c for c in pairs.columns if c not in ("content", "original")]
-    return positional_diff_arrays(pairs).select(*others, F.posexplode("symbols").alias("_p", "symbol")).select(
-        *others, (F.col("_p") + 1).cast("bigint").alias("pos"), "symbol"
-    )
+    return exploded(positional_diff_arrays(pairs), others, F.col("symbols"), "symbol", "pos")
 
 
 def positional_diff_steps(original: DataFrame, variant: DataFrame, variant_id: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.functions.fixed_values import STOP_TOKENS
+from tracewright.functions.rows import exploded
 
 
 # ---- tokens --------------------------------------------------------------------------------------------
@@ -38,9 +39,7 @@ def with_tokens(docs: DataFrame, doc_id: str, text: str, tokeniser=whitespace_to
 
 def tokens_long(tokens: DataFrame) -> DataFrame:
     """(doc_id, pos, token), positions from 1."""
-    return tokens.select("doc_id", F.posexplode("tokens").alias("_p", "token")).select(
-        "doc_id", (F.col("_p") + 1).cast("bigint").alias("pos"), "token"
-    )
+    return exploded(tokens, ["doc_id"], F.col("tokens"), "token", "pos")
 
 
 # ---- counts --------------------------------------------------------------------------------------------
@@ -49,30 +48,20 @@ def tokens_long(tokens: DataFrame) -> DataFrame:
 def term_freq(tokens: DataFrame) -> DataFrame:
     """(doc_id, token, tf) without a shuffle: sort the tokens of a row and measure its runs."""
     others = [c for c in tokens.columns if c != "tokens"]
-    runs = (
-        tokens.withColumn("_t", F.array_sort("tokens"))
-        .withColumn(
-            "_at",
-            F.expr("filter(sequence(0, greatest(size(_t) - 1, 0)), i -> i = 0 or _t[i] <> _t[i - 1])"),
-        )
-        .filter(F.size("_t") > 0)
-        .select(
-            *others,
-            F.explode(
-                F.expr(
-                    "transform(_at, (s, k) -> struct(_t[s] as token, "
-                    "cast(if(k + 1 < size(_at), _at[k + 1], size(_t)) - s as bigint) as tf))"
-                )
-            ).alias("_e"),
-        )
+    starts = F.expr("filter(sequence(0, greatest(size(_t) - 1, 0)), i -> i = 0 or _t[i] <> _t[i - 1])")
+    counted = F.expr(
+        "transform(_at, (s, k) -> struct(get(_t, s) as token, "
+        "cast(if(k + 1 < size(_at), _at[k + 1], size(_t)) - s as bigint) as tf))"
     )
-    return runs.select(*others, "_e.token", "_e.tf")
+    runs = tokens.withColumn("_t", F.sort_array("tokens")).withColumn("_at", starts).withColumn("_runs", counted)
+    # A document without tokens has one run without a token.
+    return exploded(runs, others, F.col("_runs"), "_e").select(*others, "_e.token", "_e.tf").filter("token is not null")
 
 
 def doc_freq(tokens: DataFrame) -> DataFrame:
     """(token, df): documents containing each token."""
     return (
-        tokens.select(F.explode(F.array_distinct("tokens")).alias("token"))
+        exploded(tokens, [], F.array_distinct("tokens"), "token")
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("df"))
     )

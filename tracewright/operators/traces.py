@@ -16,6 +16,7 @@ from tracewright.functions.fixed_values import (
     CRASH_MARK,
     TRANSITIONS,
 )
+from tracewright.functions.rows import exploded
 from tracewright.functions.strings import (
     after_first_colon,
     call_target,
@@ -42,14 +43,8 @@ def parse_trace_text(files: DataFrame) -> DataFrame:
     start = F.instr("content", START_MARK)
     body = F.when(start > 0, F.substring(F.col("content"), start, F.length("content")))
     lines = F.filter(F.split(body, "\n"), lambda line: line.contains("=>"))
-    return (
-        files.select("sample_id", F.posexplode(lines).alias("_p", "line"))
-        .select(
-            "sample_id",
-            (F.col("_p") + 1).cast("bigint").alias("step"),
-            line_opcode(F.col("line")).alias("opcode"),
-            line_operands(F.col("line")).alias("operands"),
-        )
+    return exploded(files, ["sample_id"], lines, "line", "step").select(
+        "sample_id", "step", line_opcode(F.col("line")).alias("opcode"), line_operands(F.col("line")).alias("operands")
     )
 
 

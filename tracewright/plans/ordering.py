@@ -10,7 +10,8 @@ Two cases are kept apart:
   with one row per run.
 
 The sample is the row with the smallest hash in each of ``SAMPLE_SIZE`` hash buckets, so it depends on
-the data only: evaluating the plan again, on other executors or partitions, gives the same cuts.
+the data only: evaluating the plan again, on other executors or partitions, gives the same cuts.  It
+takes a hash aggregation to SAMPLE_SIZE numbers and a broadcast semi join, both over key columns only.
 """
 
 from __future__ import annotations
@@ -29,13 +30,13 @@ RUN_LENGTH = 1 << 20  # positions per run of one key
 
 def key_sample(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """At most SAMPLE_SIZE rows (keys, _at) drawn evenly over the rows of df; _at is the order struct."""
-    cols = [F.col(c) for c in dict.fromkeys([*keys, *order])]
-    at = F.struct(*[F.col(c) for c in order])
-    picked = F.struct(*[F.col(c) for c in keys], at.alias("_at"))
+    cols = list(dict.fromkeys([*keys, *order]))
+    hashed = df.select(*cols, F.xxhash64(*cols).alias("_h"))
+    smallest = hashed.groupBy(F.pmod("_h", F.lit(SAMPLE_SIZE))).agg(F.min("_h").alias("_h")).select("_h")
     return (
-        df.groupBy(F.pmod(F.xxhash64(*cols), F.lit(SAMPLE_SIZE)).alias("_bucket"))
-        .agg(F.min_by(picked, F.xxhash64(F.lit(7), *cols)).alias("_pick"))
-        .select("_pick.*")
+        hashed.join(F.broadcast(smallest), "_h", "left_semi")  # SAMPLE_SIZE numbers
+        .select(*keys, F.struct(*order).alias("_at"))
+        .distinct()
     )
 
 
@@ -153,7 +154,7 @@ def lag_in_order(
     w = W.partitionBy(*keys, "_run").orderBy(position)
     sent_to = F.when(F.col(position) % run_length == 0, F.array(run, run + 1)).otherwise(F.array(run))
     return (
-        df.withColumn("_run", F.explode(sent_to))
+        df.withColumn("_run", F.explode_outer(sent_to))
         .withColumn(name, F.lag(column).over(w))
         .filter(F.col("_run") == run)
         .drop("_run")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewright.functions.rows import exploded
 from tracewright.functions.strings import stem
 from tracewright.plans.skew import salted_join
 
@@ -70,9 +71,7 @@ def read_lines(spark: SparkSession, path: str | list[str], extension: str) -> Da
 def line_scan(files: DataFrame, content: str = "content") -> DataFrame:
     """Split content on newlines, empty lines kept, numbered from 1; other columns stay."""
     others = [c for c in files.columns if c != content]
-    return files.select(*others, F.posexplode(F.split(content, "\n")).alias("_p", "line")).select(
-        *others, (F.col("_p") + 1).cast("bigint").alias("line_no"), "line"
-    )
+    return exploded(files, others, F.split(content, "\n"), "line", "line_no")
 
 
 # ---- content of feature files --------------------------------------------------------------------------
