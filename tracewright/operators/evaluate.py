@@ -119,6 +119,7 @@ def class_letters(classes: DataFrame) -> DataFrame:
     return ranked.select("class_name", rank.alias("rank"), class_letter(rank).alias("letter"))
 
 
-def class_alphabet(symbols: DataFrame) -> DataFrame:
-    """(class_name, symbol, n): the symbols seen in each class."""
-    return symbols.groupBy("class_name", "symbol").agg(F.count(F.lit(1)).alias("n"))
+def class_alphabet(symbols: DataFrame, weight: str | None = None) -> DataFrame:
+    """(class_name, symbol, n): the symbols seen in each class; weight is a column of counts already taken."""
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    return symbols.groupBy("class_name", "symbol").agg(n.alias("n"))

@@ -29,7 +29,7 @@ def word_tokens(text: Column) -> Column:
 
 def symbol_tokens(text: Column) -> Column:
     """Single characters, lower-case, without white space."""
-    return F.filter(F.split(F.lower(text), ""), lambda c: ~c.rlike(r"^\s*$"))
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"\s+", ""), ""), lambda c: c != "")
 
 
 def with_tokens(docs: DataFrame, doc_id: str, text: str, tokeniser=whitespace_tokens) -> DataFrame:

@@ -69,25 +69,32 @@ def _splits(sample: DataFrame, keys: Sequence[str], at_least: int) -> DataFrame:
     )
 
 
-def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """row_number() over (partition by keys order by order), bigint, safe for heavy keys.
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds _range, which cuts the rows of heavy keys into consecutive value ranges, and _heavy.
 
-    Keys must be non-null; rows that tie on order are numbered in any order, as row_number() does.
+    Other keys have the single range 0.  Keys must be non-null.
     """
     keys = list(keys)
     splits = _splits(key_sample(df, keys, order), keys, HEAVY_HITS)
     at = F.struct(*[F.col(c) for c in order])
-    ranged = (
+    cut = _range_of(at, F.col("_fine"), F.col("_coarse"))
+    return (
         df.join(F.broadcast(splits), keys, "left")  # <= SAMPLE_SIZE / HEAVY_HITS rows
-        .withColumn(
-            "_range",
-            F.when(F.col("_fine").isNull(), F.lit(0)).otherwise(_range_of(at, F.col("_fine"), F.col("_coarse"))),
-        )
+        .withColumn("_range", F.when(F.col("_fine").isNull(), F.lit(0)).otherwise(cut))
         .withColumn("_heavy", F.col("_fine").isNotNull())
         .drop("_fine", "_coarse")
     )
+
+
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """row_number() over (partition by keys order by order), bigint, safe for heavy keys.
+
+    Keys must be non-null; rows that tie on order are numbered in any order, as row_number() does.
+    """
+    keys = list(keys)
+    cut = ranged(df, keys, order)
     before = (
-        ranged.filter("_heavy")
+        cut.filter("_heavy")
         .groupBy(*keys, "_range")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn(
@@ -99,7 +106,7 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     )
     local = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order))
     return (
-        ranged.withColumn("_local", local)
+        cut.withColumn("_local", local)
         .join(F.broadcast(before), [*keys, "_range"], "left")  # one row per range of a heavy key
         .withColumn(name, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("bigint"))
         .drop("_local", "_before", "_range", "_heavy")
