@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.fixed_values import BAYES_DIMENSIONS
 from tracewright.operators.reduce import anova, anova_f, cells_of, class_counts, feature_sums, select_kbest
+from tracewright.session import materialised
 
 MAX_MODEL_ROWS = 200_000  # batches x parameters x classes; more is refused, since models are sent to all tasks
 
@@ -60,7 +61,7 @@ def models(sums: DataFrame, counts: DataFrame, size: Column, masks: DataFrame |
     )
     shares = counts.groupBy("batch").agg(F.sum("n").alias("_n"))
     log_theta = F.transform(
-        F.sequence(F.lit(1), size.cast("int")),
+        F.sequence(F.lit(1), F.col("_size")),
         lambda j: F.coalesce(
             F.log((F.try_element_at("_m", j) + 1.0) / (F.col("_all") + F.col("_j").cast("double"))), F.lit(0.0)
         ),
@@ -68,6 +69,7 @@ def models(sums: DataFrame, counts: DataFrame, size: Column, masks: DataFrame |
     return (
         per_class.join(counts, ["batch", "class_name"])
         .join(shares, "batch")
+        .withColumn("_size", size.cast("int"))
         .select(
             "batch", "param", "class_name",
             F.log(F.col("n").cast("double") / F.col("_n").cast("double")).alias("log_prior"),
@@ -136,8 +138,8 @@ def probabilities(scores: Column) -> Column:
     )
 
 
-def feature_count(samples: DataFrame) -> Column:
-    return samples.agg(F.max(F.size("features")).alias("d")).scalar()
+def feature_count(sums: DataFrame) -> Column:
+    return sums.agg(F.max("j").alias("d")).scalar()
 
 
 # ---- experiments ---------------------------------------------------------------------------------------
@@ -158,9 +160,9 @@ def fit_predict(
         test = select_kbest(test, reduce_to, scores if fit == "train" else None)
         train = select_kbest(train, reduce_to, scores)
     batch = F.lit(0).alias("batch")
-    sums = feature_sums(cells_of(train, []), []).select(batch, "*")
+    sums = materialised(feature_sums(cells_of(train, []), []).select(batch, "*"))
     counts = class_counts(train, []).select(batch, "*")
-    return scored(test.select("*", batch), models(sums, counts, feature_count(train))).drop("batch", "param")
+    return scored(test.select("*", batch), models(sums, counts, feature_count(sums))).drop("batch", "param")
 
 
 def kfold_models(
@@ -172,10 +174,11 @@ def kfold_models(
     "train" selects them on the training part of each fold.
     """
     own = samples.withColumn("batch", F.col("fold"))
-    sums, counts = feature_sums(cells_of(own, ["batch"]), ["batch"]), class_counts(own, ["batch"])
+    sums = materialised(feature_sums(cells_of(own, ["batch"]), ["batch"]))  # folds x classes x features
+    counts = materialised(class_counts(own, ["batch"]))
     train, train_n = held_out_sums(sums, counts, k)
     if params is None:
-        return models(train, train_n, feature_count(samples))
+        return models(train, train_n, feature_count(sums))
     if reduce_scope == "all":
         whole = sums.groupBy("class_name", "j").agg(F.sum("s").alias("s"), F.sum("ss").alias("ss"))
         ranks = anova(whole, counts.groupBy("class_name").agg(F.sum("n").alias("n")))
@@ -184,7 +187,7 @@ def kfold_models(
         ranks = anova(train, train_n, ["batch"])
     else:
         raise ValueError(f"unknown reduce_scope {reduce_scope!r}; use all or train")
-    return models(train, train_n, feature_count(samples), masks(ranks, params))
+    return models(train, train_n, feature_count(sums), masks(ranks, params))
 
 
 def masks(ranks: DataFrame, params: list[int]) -> DataFrame:

@@ -7,13 +7,17 @@ own; those of the training part of a cycle are the totals minus the cycle's own.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewright.operators import bayes
+from tracewright.functions.fixed_values import TREE_DEPTHS
+from tracewright.operators import bayes, tree
 from tracewright.operators.reduce import anova
 from tracewright.operators.text import l2_normalised, smooth_idf
+from tracewright.session import materialised
 
 MAX_VOCABULARY = 1000  # columns per batch
 
@@ -56,40 +60,48 @@ def batch_vocabularies(cells: DataFrame, samples: DataFrame, cycles: int, k: int
 def tfidf_batch(
     cells: DataFrame, samples: DataFrame, cycles: int, k: int = 128, fit: str = "separate"
 ) -> DataFrame:
-    """(cycle, split, sample_id, rank, weight): TF-IDF of every sample in every batch it belongs to.
+    """(cycle, split, *columns of cells but token and tf, rank, weight): TF-IDF in every batch of a sample.
 
     fit="separate" makes vocabulary and idf of a test batch from the test samples, so that a column means
     different tokens in training and test; fit="train" uses those of the training batch for both.
     """
-    vocabularies = batch_vocabularies(cells, samples, cycles, k)
+    if fit not in ("separate", "train"):
+        raise ValueError(f"unknown fit {fit!r}; use separate or train")
+    vocabularies = materialised(batch_vocabularies(cells, samples, cycles, k))  # 2 x cycles x k rows at most
     if fit == "train":
         fitted = vocabularies.filter("split = 'train'").drop("split")
         vocabularies = fitted.select("*", F.explode(F.array(F.lit("train"), F.lit("test"))).alias("split"))
-    elif fit != "separate":
-        raise ValueError(f"unknown fit {fit!r}; use separate or train")
     tests_it = F.coalesce(F.col("own") == F.col("cycle"), F.lit(False))
     member = F.when(F.col("split") == "test", tests_it).otherwise(~tests_it)
-    # 2 x cycles x k rows at most
-    weighted = cells.join(F.broadcast(vocabularies), "token").filter(member).withColumn("_w", F.col("tf") * F.col("idf"))
+    # Cells are brought together by sample once, before they are repeated per cycle; the norms of all
+    # cycles are then taken where the rows are.
+    kept = cells.join(F.broadcast(vocabularies.select("token").distinct()), "token", "left_semi").repartition("sample_id")
+    weighted = kept.join(F.broadcast(vocabularies), "token").filter(member).withColumn("_w", F.col("tf") * F.col("idf"))
+    others = [c for c in cells.columns if c not in ("token", "tf")]
     return l2_normalised(weighted, ["cycle", "split", "sample_id"], "_w", "weight").select(
-        "cycle", "split", "sample_id", "rank", "weight"
+        "cycle", "split", *others, "rank", "weight"
     )
 
 
+def _dense(size: int):
+    return F.transform(F.sequence(F.lit(1), F.lit(size)), lambda j: F.coalesce(F.try_element_at("_m", j), F.lit(0.0)))
+
+
+def _entries():
+    return F.map_from_entries(F.collect_list(F.struct(F.col("rank").cast("int"), "weight"))).alias("_m")
+
+
 def holdout_vectors(
     cells: DataFrame, samples: DataFrame, cycles: int, k: int = 128, fit: str = "train"
 ) -> DataFrame:
-    """(cycle, split, sample_id, features): dense vectors of every batch, all-zero ones included."""
-    weights = tfidf_batch(cells, samples, cycles, k, fit).groupBy("cycle", "split", "sample_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("rank").cast("int"), "weight"))).alias("_m")
-    )
+    """(cycle, split, sample_id, class_name, features): dense vectors of every batch, all-zero ones included."""
+    weights = tfidf_batch(cells, samples, cycles, k, fit).groupBy("cycle", "split", "sample_id").agg(_entries())
     tests = F.coalesce(F.col("own") == F.col("cycle"), F.lit(False))
-    members = samples.select("sample_id", "own", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1))).alias("cycle")).select(
-        "sample_id", "cycle", F.when(tests, "test").otherwise("train").alias("split")
+    members = samples.select("*", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1))).alias("cycle")).withColumn(
+        "split", F.when(tests, "test").otherwise("train")
     )
-    features = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: F.coalesce(F.try_element_at("_m", j), F.lit(0.0)))
     return members.join(weights, ["cycle", "split", "sample_id"], "left").select(
-        "cycle", "split", "sample_id", features.alias("features")
+        "cycle", "split", "sample_id", "class_name", _dense(k).alias("features")
     )
 
 
@@ -97,38 +109,56 @@ def holdout_bayes(
     cells: DataFrame, samples: DataFrame, cycles: int, k: int = 128, params: list[int] | None = None,
     fit: str = "train",
 ) -> DataFrame:
-    """Predictions (sample_id, class_name, cycle, param, predicted) of all cycles in one plan.
+    """Predictions (sample_id, class_name, cycle, param, predicted) of all cycles.
 
-    samples are (sample_id, own, class_name).  params are numbers of features kept by ANOVA F on the
-    training batch of the cycle.  Models are sums over sparse cells; only test samples become vectors.
+    samples are (sample_id, own, class_name), cells (sample_id, own, class_name, token, tf).  params are
+    numbers of features kept by ANOVA F on the training batch of the cycle.  Models are sums over sparse
+    cells; only test samples become vectors.
     """
     weights = tfidf_batch(cells, samples, cycles, k, fit)
-    train = weights.filter("split = 'train'").join(samples.select("sample_id", "class_name"), "sample_id")
     x = F.col("weight")
-    sums = train.groupBy(F.col("cycle").alias("batch"), "class_name", F.col("rank").alias("j")).agg(
-        F.sum(x).alias("s"), F.sum(x * x).alias("ss"), F.sum(F.abs(x)).alias("sa")
+    seen = materialised(  # cycles x classes x columns
+        weights.filter("split = 'train'")
+        .groupBy(F.col("cycle").alias("batch"), "class_name", F.col("rank").alias("j"))
+        .agg(F.sum(x).alias("s"), F.sum(x * x).alias("ss"), F.sum(F.abs(x)).alias("sa"))
     )
     own = samples.groupBy("own", "class_name").agg(F.count(F.lit(1)).alias("n"))
     every = F.explode(F.sequence(F.lit(0), F.lit(cycles - 1))).alias("batch")
-    counts = (
+    counts = materialised(
         own.groupBy("class_name").agg(F.sum("n").alias("_n")).select(every, "*")
         .join(own.filter("own is not null").withColumnRenamed("own", "batch"), ["batch", "class_name"], "left")
         .select("batch", "class_name", (F.col("_n") - F.coalesce("n", F.lit(0))).alias("n"))
         .filter("n > 0")
     )
     # A column of a batch counts for every class, also where the class has no cell in it.
-    columns = sums.select("batch", "j").distinct()
-    grid = columns.join(counts.select("batch", "class_name"), "batch")
-    sums = grid.join(sums, ["batch", "class_name", "j"], "left").na.fill(0.0, ["s", "ss", "sa"])
+    grid = seen.select("batch", "j").distinct().join(counts.select("batch", "class_name"), "batch")
+    sums = grid.join(seen, ["batch", "class_name", "j"], "left").na.fill(0.0, ["s", "ss", "sa"])
     chosen = None if params is None else bayes.masks(anova(sums, counts, ["batch"]), params)
     rows = bayes.models(sums, counts, F.lit(k), chosen)
-    tested = samples.filter("own is not null")
-    vectors = (
-        weights.filter("split = 'test'").groupBy("sample_id", "cycle")
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.col("rank").cast("int"), "weight"))).alias("_m"))
+    vectors = weights.filter("split = 'test'").groupBy("sample_id", "cycle").agg(_entries())
+    test = (
+        samples.filter("own is not null")
+        .select("sample_id", "class_name", F.col("own").alias("cycle"))
+        .join(vectors, ["sample_id", "cycle"], "left")
+        .select("sample_id", "class_name", "cycle", F.col("cycle").alias("batch"), _dense(k).alias("features"))
     )
-    features = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: F.coalesce(F.try_element_at("_m", j), F.lit(0.0)))
-    test = tested.select("sample_id", "class_name", F.col("own").alias("cycle")).join(
-        vectors, ["sample_id", "cycle"], "left"
-    ).select("sample_id", "class_name", "cycle", F.col("cycle").alias("batch"), features.alias("features"))
     return bayes.predictions(bayes.scored(test, rows)).drop("batch")
+
+
+def holdout_trees(
+    cells: DataFrame, samples: DataFrame, cycles: int, k: int = 128, criterion: str = "gini",
+    depths: list[int] = TREE_DEPTHS, fit: str = "train", max_bins: int = 256, seed: int = 0,
+) -> DataFrame:
+    """The same predictions from decision trees, one per cycle and depth.
+
+    Cells, a fraction of the traces they were counted from, are written down once as every cycle reads them.
+    """
+    samples = materialised(samples)
+    vectors = holdout_vectors(materialised(cells), samples, cycles, k, fit)
+    classes = tree.class_list(samples)
+    out = []
+    for cycle in range(cycles):
+        rows = vectors.filter(F.col("cycle") == cycle)
+        out.append(tree.sweep(rows.filter("split = 'train'"), rows.filter("split = 'test'"), classes, criterion,
+                              depths, max_bins, seed))
+    return reduce(DataFrame.unionByName, out).select("sample_id", "class_name", "cycle", "param", "predicted")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer
+from pyspark.ml.feature import IndexToString, StringIndexerModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,21 +24,30 @@ def _check(criterion: str) -> str:
     return criterion
 
 
+def class_list(samples: DataFrame) -> list[str]:
+    """Class names in alphabetical order; refuses to go on beyond MAX_TREE_CLASSES."""
+    names = [r[0] for r in samples.select("class_name").distinct().limit(MAX_TREE_CLASSES + 1).collect()]
+    if len(names) > MAX_TREE_CLASSES:
+        raise ValueError(f"more than {MAX_TREE_CLASSES} classes")
+    return sorted(names)
+
+
 # ---- trees ---------------------------------------------------------------------------------------------
 
 
-def _prepared(samples: DataFrame):
-    indexer = StringIndexer(inputCol="class_name", outputCol="_label", stringOrderType="alphabetAsc").fit(samples)
-    return indexer.labels, indexer.transform(samples).withColumn("_v", array_to_vector("features"))
+def _prepared(samples: DataFrame, classes: list[str]) -> DataFrame:
+    indexer = StringIndexerModel.from_labels(classes, inputCol="class_name", outputCol="_label")
+    return indexer.transform(samples).withColumn("_v", array_to_vector("features"))
 
 
-def _grown(train: DataFrame, labels: list[str], criterion: str, depth: int, max_bins: int, seed: int):
-    tree = DecisionTreeClassifier(
-        featuresCol="_v", labelCol="_label", predictionCol="_p", probabilityCol="_pr", rawPredictionCol="_raw",
-        impurity=_check(criterion), maxDepth=depth, maxBins=max_bins, seed=seed, cacheNodeIds=False,
+def _grown(train: DataFrame, classes: list[str], criterion: str, depth: int, max_bins: int, seed: int):
+    """A function that adds predicted to prepared rows."""
+    model = DecisionTreeClassifier(
+        featuresCol="_v", labelCol="_label", predictionCol="_p", probabilityCol="", rawPredictionCol="",
+        impurity=_check(criterion), maxDepth=depth, maxBins=max_bins, seed=seed,
     ).fit(train)
-    names = IndexToString(inputCol="_p", outputCol="predicted", labels=labels)
-    return tree, lambda df: names.transform(tree.transform(df)).drop("_v", "_label", "_p", "_pr", "_raw")
+    names = IndexToString(inputCol="_p", outputCol="predicted", labels=classes)
+    return lambda rows: names.transform(model.transform(rows)).drop("_v", "_label", "_p")
 
 
 def fit_predict(
@@ -49,44 +58,46 @@ def fit_predict(
     Thresholds are taken between at most max_bins quantiles of a feature; raise it for features with more
     values that matter.  Classes that are only in test cannot be predicted.
     """
-    labels, prepared = _prepared(train)
-    _, predict = _grown(prepared, labels, criterion, depth, max_bins, seed)
+    classes = class_list(train)
+    predict = _grown(_prepared(train, classes), classes, criterion, depth, max_bins, seed)
     return predict(test.withColumn("_v", array_to_vector("features")))
 
 
+def sweep(
+    train: DataFrame, test: DataFrame, classes: list[str], criterion: str, depths: list[int],
+    max_bins: int = 256, seed: int = 0,
+) -> DataFrame:
+    """Test samples with param and predicted, for every depth; the training rows are kept while trees grow."""
+    kept = _prepared(train, classes).persist()
+    rows = test.withColumn("_v", array_to_vector("features"))
+    out = [
+        _grown(kept, classes, criterion, depth, max_bins, seed)(rows).withColumn("param", F.lit(depth))
+        for depth in depths
+    ]
+    kept.unpersist()
+    return reduce(DataFrame.unionByName, out)
+
+
 def kfold_predictions(
     samples: DataFrame, k: int, criterion: str = "gini", depths: list[int] = TREE_DEPTHS,
     max_bins: int = 256, seed: int = 0,
 ) -> DataFrame:
     """Predictions (sample_id, class_name, fold, param, predicted): every depth on every fold.
 
-    Trees grow greedily, so the tree of a smaller depth is the upper part of a deeper one, but each is
-    grown on its own.  The loop runs over folds and depths, never over rows.
+    The loop runs over folds and depths, never over rows.
     """
-    labels, prepared = _prepared(samples)
-    prepared = prepared.persist()
-    out = []
-    for fold in range(k):
-        train, test = prepared.filter(F.col("fold") != fold), prepared.filter(F.col("fold") == fold)
-        for depth in depths:
-            _, predict = _grown(train, labels, criterion, depth, max_bins, seed)
-            out.append(
-                predict(test).select("sample_id", "class_name", "fold", F.lit(depth).alias("param"), "predicted")
-            )
-    return reduce(DataFrame.unionByName, out)
+    classes = class_list(samples)
+    out = [
+        sweep(samples.filter(F.col("fold") != fold), samples.filter(F.col("fold") == fold), classes, criterion,
+              depths, max_bins, seed)
+        for fold in range(k)
+    ]
+    return reduce(DataFrame.unionByName, out).select("sample_id", "class_name", "fold", "param", "predicted")
 
 
 # ---- best first splits ---------------------------------------------------------------------------------
 
 
-def class_list(samples: DataFrame) -> list[str]:
-    """Class names in alphabetical order; refuses to go on beyond MAX_TREE_CLASSES."""
-    names = [r[0] for r in samples.select("class_name").distinct().limit(MAX_TREE_CLASSES + 1).collect()]
-    if len(names) > MAX_TREE_CLASSES:
-        raise ValueError(f"more than {MAX_TREE_CLASSES} classes")
-    return sorted(names)
-
-
 def _impurity(counts: list[Column], total: Column, criterion: str) -> Column:
     shares = [c / total for c in counts]
     if criterion == "gini":

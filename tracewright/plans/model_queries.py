@@ -103,7 +103,7 @@ def select_kbest(spark, sf):
 # ---- naive Bayes ---------------------------------------------------------------------------------------
 
 
-def _nb(train: str, batches: str, extra: str = "", join: str = "", param: str = "cast(0 as int)", test: str = "fold = f") -> str:
+def _nb(train: str, batches: str, extra: str = "", join: str = "", param: str = "cast(0 as int)", test: str = "fo.fold = tr.f") -> str:
     """Scores sc(f, param, sample_id, c, score) of the samples of each fold f under the model of the others."""
     return f"""bt as (select f from (values {batches}) t(f)),
 tr as (select f, {param} as param, x.c, x.j, sum(abs(x.x)) as s from bt, x join fo on x.sample_id = fo.vec_id {join}
@@ -217,7 +217,11 @@ def _holdout_samples(spark, sf):
 def _holdout_cells(spark, sf, samples):
     """Opcode counts of the samples' traces."""
     counts = views.asm(spark, sf).groupBy("sample_id", F.col("opcode").alias("token")).agg(F.count(F.lit(1)).alias("tf"))
-    return counts.join(samples.select("sample_id", "own"), "sample_id")
+    return counts.join(samples.select("sample_id", "own", "class_name"), "sample_id")
+
+
+def _rounded(weights):
+    return weights.select("cycle", "split", "sample_id", "rank", F.round("weight", 6).alias("weight"))
 
 
 def _batch_sql(vocabulary_split: str) -> str:
@@ -244,7 +248,7 @@ select cast(cycle as int) as cycle, split, sample_id, cast(j as bigint) as rank,
 def tfidf_batch(spark, sf):
     samples = _holdout_samples(spark, sf)
     cells = _holdout_cells(spark, sf, samples)
-    return holdout.tfidf_batch(cells, samples, K, COLUMNS, "separate").withColumn("weight", F.round("weight", 6))
+    return _rounded(holdout.tfidf_batch(cells, samples, K, COLUMNS, "separate"))
 
 
 @query("tfidf_batch_train", views="asm", sql=_batch_sql("'train'") + """
@@ -252,7 +256,7 @@ select cast(cycle as int) as cycle, split, sample_id, cast(j as bigint) as rank,
 def tfidf_batch_train(spark, sf):
     samples = _holdout_samples(spark, sf)
     cells = _holdout_cells(spark, sf, samples)
-    return holdout.tfidf_batch(cells, samples, K, COLUMNS, "train").withColumn("weight", F.round("weight", 6))
+    return _rounded(holdout.tfidf_batch(cells, samples, K, COLUMNS, "train"))
 
 
 def _holdout_nb_sql(vocabulary_split: str, params: list[int] | None) -> str:
@@ -313,17 +317,9 @@ def holdout_nb_curve(spark, sf):
 
 @query("holdout_cart")
 def holdout_cart(spark, sf):
-    """A tree per cycle on the dense vectors of the held-out experiment, two cycles."""
+    """A tree per cycle on the dense vectors of the held-out experiment."""
     samples = _holdout_samples(spark, sf)
-    dense = holdout.holdout_vectors(_holdout_cells(spark, sf, samples), samples, K, COLUMNS)
-    labelled = dense.join(samples.select("sample_id", "class_name"), "sample_id").persist()
-    out = None
-    for cycle in (0, 1):
-        rows = labelled.filter(F.col("cycle") == cycle)
-        found = tree.fit_predict(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "gini", 4, 32)
-        found = found.select("sample_id", "class_name", "cycle", "predicted")
-        out = found if out is None else out.unionByName(found)
-    return out
+    return holdout.holdout_trees(_holdout_cells(spark, sf, samples), samples, K, COLUMNS, "gini", [4], max_bins=32)
 
 
 # ---- trees ---------------------------------------------------------------------------------------------

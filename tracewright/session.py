@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for the plans in this package.  None of them caps data.
 RECOMMENDED = {
@@ -48,3 +48,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = os.path.join(tempfile.mkdtemp(prefix="tracewright-ckpt-"), "ckpt")
     sc.setCheckpointDir(configured)
     return configured
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder: computed once, kept when executors are lost.
+
+    For small tables that several later steps read, such as fitted vocabularies and sums.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
