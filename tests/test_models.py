@@ -85,6 +85,21 @@ def test_bayes(samples, data):
     assert np.allclose(got, proba)
 
 
+def test_large_models_are_joined(samples, monkeypatch):
+    folded = split.kfold_assign(samples, "sample_id", 4)
+    small = bayes.sweep(folded, 4, [2, 5]).select("sample_id", "param", "predicted").collect()
+    monkeypatch.setattr(bayes, "MAX_MODEL_NUMBERS", 10)
+    large = bayes.sweep(folded, 4, [2, 5]).select("sample_id", "param", "predicted").collect()
+    assert sorted(small) == sorted(large) and len(small) == 2 * N
+
+
+def test_bayes_of_the_ml_library(samples):
+    train, test = samples.filter("sample_id < 90"), samples.filter("sample_id >= 90")
+    exact = {r.sample_id: r.predicted for r in bayes.predictions(bayes.fit_predict(train, test)).collect()}
+    other = {r.sample_id: r.predicted for r in bayes.fit_predict_ml(train, test).collect()}
+    assert exact.keys() == other.keys() and sum(exact[i] == other[i] for i in exact) >= 28
+
+
 @pytest.mark.parametrize("fit", ["train", "separate"])
 def test_bayes_after_selection(samples, data, fit):
     x, y = data
@@ -164,6 +179,8 @@ def test_pca(samples, data):
     assert np.allclose(ratios, values / values.sum())
     flat = reduce.projection(samples, 3)
     assert flat.columns == ["sample_id", "x1", "x2", "x3", "class_name"]
+    named = samples.withColumn("sample_id", F.when(F.col("sample_id") < 5, "p").otherwise(F.concat(F.lit("p"), F.col("sample_id") % 2, F.lit("_"), "sample_id")))
+    assert reduce.program_projection(named, "p1").count() == sum(i % 2 for i in range(5, N))
     assert reduce.reduce_features(samples, "none", 2) is samples
     with pytest.raises(ValueError):
         reduce.reduce_features(samples, "tsne", 2)
@@ -227,6 +244,8 @@ def test_micro_clusters(spark):
     assert got.count() == 300
     pairs = {(r.class_name, r.cluster) for r in got.collect()}
     assert len(pairs) == 3
+    halved = {(r.class_name, r.cluster) for r in cluster.cluster_assign(df, micro=20, bisecting=True).collect()}
+    assert len(halved) == 3
     accuracy = cluster.cluster_accuracy(got.withColumn("class_idx", F.col("class_name").cast("int"))).first()
     assert accuracy.majority_accuracy == 1.0
 

@@ -50,6 +50,13 @@ def test_tfidf_against_formula(spark):
         assert sum(x * x for x in r.features) == pytest.approx(0.0 if r.doc_id in (2, 4) else 1.0)
 
 
+def test_large_vocabularies_are_joined(spark, monkeypatch):
+    df = docs(spark, "a a b", "b c", "c c c d")
+    small = sorted(map(tuple, text.tfidf_topk(df, "id", "text", 3).collect()))
+    monkeypatch.setattr(text, "MAX_BROADCAST_TOKENS", 1)
+    assert sorted(map(tuple, text.tfidf_topk(df, "id", "text", 3).select("doc_id", "token", "rank", "weight").collect())) == small
+
+
 def test_line_and_positional_differences(spark):
     rows = [("p", "a\nb\n", "a\nc\nc\n\nd"), ("q", "xyz", "xaz!"), ("r", "long original", "lo"), ("s", "x", "x")]
     pairs = spark.createDataFrame([(p, f"{p}_1", c, o) for p, o, c in rows], "program string, sample_id string, content string, original string")

@@ -6,14 +6,19 @@ pass of sums.  They are small tables; samples are scored in their own row, witho
 
 from __future__ import annotations
 
+from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.feature import IndexToString, StringIndexer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.fixed_values import BAYES_DIMENSIONS
-from tracewright.operators.reduce import anova, anova_f, cells_of, class_counts, feature_sums, select_kbest
+from tracewright.functions.rows import exploded
+from tracewright.operators.reduce import anova, anova_f, class_counts, feature_sums, select_kbest
+from tracewright.plans.skew import salted_join
 from tracewright.session import materialised
 
-MAX_MODEL_ROWS = 200_000  # batches x parameters x classes; more is refused, since models are sent to all tasks
+MAX_MODEL_NUMBERS = 2_000_000  # models of more numbers than this are joined to the samples, not sent to all tasks
 
 
 # ---- training sums -------------------------------------------------------------------------------------
@@ -81,19 +86,10 @@ def models(sums: DataFrame, counts: DataFrame, size: Column, masks: DataFrame |
 def packed(model_rows: DataFrame) -> Column:
     """All models as one scalar: map of batch to array of (param, classes)."""
     by_param = model_rows.groupBy("batch", "param").agg(
-        F.array_sort(F.collect_list(F.struct("class_name", "log_prior", "log_theta"))).alias("classes"),
-        F.count(F.lit(1)).alias("_rows"),
+        F.array_sort(F.collect_list(F.struct("class_name", "log_prior", "log_theta"))).alias("classes")
     )
-    by_batch = by_param.groupBy("batch").agg(
-        F.array_sort(F.collect_list(F.struct("param", "classes"))).alias("params"), F.sum("_rows").alias("_rows")
-    )
-    whole = by_batch.agg(
-        F.map_from_entries(F.collect_list(F.struct("batch", "params"))).alias("m"), F.sum("_rows").alias("_rows")
-    )
-    refused = F.raise_error(F.lit(f"more than {MAX_MODEL_ROWS} class models"))
-    return whole.select(
-        F.when(F.col("_rows") > MAX_MODEL_ROWS, refused.cast(whole.schema["m"].dataType)).otherwise(F.col("m"))
-    ).scalar()
+    by_batch = by_param.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("param", "classes"))).alias("params"))
+    return by_batch.agg(F.map_from_entries(F.collect_list(F.struct("batch", "params")))).scalar()
 
 
 # ---- scoring -------------------------------------------------------------------------------------------
@@ -102,21 +98,47 @@ def packed(model_rows: DataFrame) -> Column:
 def scored(samples: DataFrame, model_rows: DataFrame) -> DataFrame:
     """One row per sample and parameter: (..., param, scores array of (class_name, score)).
 
-    samples has batch and features; features are used by their size, whatever their sign.
+    samples has batch and features; features are used by their size, whatever their sign.  Models up to
+    MAX_MODEL_NUMBERS are put in front of every task; larger ones are joined to the samples by class.
     """
+    model_rows = materialised(model_rows)
+    numbers = model_rows.agg(F.sum(F.size("log_theta"))).first()[0] or 0
+    sized = samples.withColumn("features", F.transform("features", F.abs))
+    if numbers > MAX_MODEL_NUMBERS:
+        return _scored_by_join(sized, model_rows)
     cols = [c for c in samples.columns if c != "features"]
-    with_models = samples.withColumn("_x", F.transform("features", F.abs)).withColumn(
-        "_models", F.element_at(packed(model_rows), F.col("batch"))
-    )
+    with_models = sized.withColumn("_models", F.element_at(packed(model_rows), F.col("batch")))
     result = F.expr(
         "transform(_models, m -> struct(m.param as param, transform(m.classes, c -> struct("
-        "c.class_name as class_name, c.log_prior + aggregate(zip_with(_x, c.log_theta, (a, b) -> a * b), 0D, "
+        "c.class_name as class_name, c.log_prior + aggregate(zip_with(features, c.log_theta, (a, b) -> a * b), 0D, "
         "(t, v) -> t + coalesce(v, 0D)) as score)) as scores))"
     )
     rows = with_models.select(*cols, result.alias("_r")).select(*cols, F.explode_outer("_r").alias("_r"))
     return rows.select(*cols, "_r.param", "_r.scores")
 
 
+def _scored_by_join(samples: DataFrame, model_rows: DataFrame) -> DataFrame:
+    """The same with one row per sample, parameter and feature, joined to the model's numbers of the feature."""
+    cols = [c for c in samples.columns if c != "features"]
+    cells = exploded(samples, cols, F.col("features"), "_x", "_j")
+    numbers = exploded(
+        model_rows, ["batch", "param", "class_name", "log_prior"], F.col("log_theta"), "_theta", "_j"
+    )
+    of_feature = numbers.groupBy("batch", "_j", "param").agg(
+        F.collect_list(F.struct("class_name", "log_prior", "_theta")).alias("_classes")
+    )
+    met = salted_join(cells, of_feature, ["batch", "_j"], ["sample_id", "_j"])
+    parts = met.select(*cols, "param", "_x", F.explode_outer("_classes").alias("_c"))
+    sums = parts.groupBy(*cols, "param", F.col("_c.class_name").alias("_name")).agg(
+        (F.max("_c.log_prior") + F.sum(F.col("_x") * F.col("_c._theta"))).alias("_score")
+    )
+    return sums.groupBy(*cols, "param").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_name").alias("class_name"), F.col("_score").alias("score")))).alias(
+            "scores"
+        )
+    )
+
+
 def best_class(scores: Column) -> Column:
     """Class of the highest score; of equal scores (to 9 decimals) the first class."""
     best = F.aggregate(
@@ -160,11 +182,25 @@ def fit_predict(
         test = select_kbest(test, reduce_to, scores if fit == "train" else None)
         train = select_kbest(train, reduce_to, scores)
     batch = F.lit(0).alias("batch")
-    sums = materialised(feature_sums(cells_of(train, []), []).select(batch, "*"))
+    sums = materialised(feature_sums(train, []).select(batch, "*"))
     counts = class_counts(train, []).select(batch, "*")
     return scored(test.select("*", batch), models(sums, counts, feature_count(sums))).drop("batch", "param")
 
 
+def fit_predict_ml(train: DataFrame, test: DataFrame) -> DataFrame:
+    """Test samples with predicted, from Spark's own classifier, for very wide vectors.
+
+    It smooths the class shares as well, so that its predictions may differ where classes are close.
+    """
+    classes = StringIndexer(inputCol="class_name", outputCol="_label", stringOrderType="alphabetAsc").fit(train)
+    sized = lambda df: df.withColumn("_v", array_to_vector(F.transform("features", F.abs)))
+    model = NaiveBayes(
+        featuresCol="_v", labelCol="_label", predictionCol="_p", probabilityCol="", rawPredictionCol=""
+    ).fit(classes.transform(sized(train)))
+    names = IndexToString(inputCol="_p", outputCol="predicted", labels=classes.labels)
+    return names.transform(model.transform(sized(test))).drop("_v", "_p")
+
+
 def kfold_models(
     samples: DataFrame, k: int, params: list[int] | None = None, reduce_scope: str = "all"
 ) -> DataFrame:
@@ -174,7 +210,7 @@ def kfold_models(
     "train" selects them on the training part of each fold.
     """
     own = samples.withColumn("batch", F.col("fold"))
-    sums = materialised(feature_sums(cells_of(own, ["batch"]), ["batch"]))  # folds x classes x features
+    sums = materialised(feature_sums(own, ["batch"]))  # folds x classes x features
     counts = materialised(class_counts(own, ["batch"]))
     train, train_n = held_out_sums(sums, counts, k)
     if params is None:

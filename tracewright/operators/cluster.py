@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -31,20 +31,32 @@ def ward_merge(sizes: np.ndarray, centres: np.ndarray, n_clusters: int) -> np.nd
     return np.searchsorted(np.array(alive), member)
 
 
+def _distinct_vectors(samples: DataFrame, limit: int) -> list | None:
+    """The distinct vectors if there are at most limit of them.
+
+    A sketch rules out data with many first, so that only data with few is made distinct.
+    """
+    about = samples.agg(F.approx_count_distinct(F.xxhash64("features"))).first()[0]
+    if about > 2 * limit:
+        return None
+    few = [r[0] for r in samples.select("features").distinct().limit(limit + 1).collect()]
+    return few if len(few) <= limit else None
+
+
 def cluster_assign(
-    samples: DataFrame, n_clusters: int | None = None, micro: int = MICRO_CLUSTERS, seed: int = 0
+    samples: DataFrame, n_clusters: int | None = None, micro: int = MICRO_CLUSTERS, seed: int = 0,
+    bisecting: bool = False,
 ) -> DataFrame:
     """samples (sample_id, class_name, features) with cluster, 0 .. n_clusters - 1.
 
     Samples are first gathered in at most `micro` k-means clusters, whose sizes and means are then merged
     by Ward's criterion.  With no more than `micro` distinct vectors each is its own micro cluster, which
-    makes the result that of plain Ward clustering.
+    makes the result that of plain Ward clustering.  bisecting finds the micro clusters by halving.
     """
     if n_clusters is None:
         n_clusters = samples.select("class_name").distinct().count()
-    distinct = samples.select("features").distinct().limit(micro + 1)
-    few = [r[0] for r in distinct.collect()]  # at most micro + 1 vectors
-    if len(few) <= micro:
+    few = _distinct_vectors(samples, micro)
+    if few is not None:
         order = sorted(few)
         table = samples.sparkSession.createDataFrame(
             [(list(v), i) for i, v in enumerate(order)], "features array<double>, _micro int"
@@ -52,7 +64,8 @@ def cluster_assign(
         placed = samples.join(F.broadcast(table), "features")  # at most micro rows
     else:
         vectors = samples.withColumn("_v", array_to_vector("features"))
-        model = KMeans(k=micro, seed=seed, featuresCol="_v", predictionCol="_micro", maxIter=10).fit(vectors)
+        finder = BisectingKMeans if bisecting else KMeans
+        model = finder(k=micro, seed=seed, featuresCol="_v", predictionCol="_micro", maxIter=10).fit(vectors)
         placed = model.transform(vectors)
     vector = array_to_vector(F.col("features"))
     summary = (

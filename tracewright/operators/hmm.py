@@ -26,8 +26,8 @@ from tracewright.session import ensure_checkpoint_dir
 
 CHUNK = 4096  # symbols per chunk
 BLOCK = 1024  # chunks per block
-MAX_SYMBOLS = 4096  # size of an alphabet
 MAX_CLASSES = 200
+MAX_MODEL_NUMBERS = 2_000_000  # all models together; they are sent to every task and gathered after every pass
 WORK = 2_000_000  # numbers held at once in a task
 
 
@@ -65,12 +65,12 @@ def _encoded(sequences, alphabet: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return padded, lengths
 
 
-def _slices(sequences, width: int) -> Iterator[np.ndarray]:
-    """Row numbers in groups whose padded size stays within WORK."""
+def _slices(sequences, per_symbol: int, per_row: int) -> Iterator[np.ndarray]:
+    """Row numbers in groups, short sequences first, whose padded size stays within WORK."""
     order = np.argsort([len(s) for s in sequences], kind="stable")
     group: list[int] = []
     for row in order:
-        if group and (len(group) + 1) * (len(sequences[row]) + 1) * width > WORK:
+        if group and (len(group) + 1) * ((len(sequences[row]) + 1) * per_symbol + per_row) > WORK:
             yield np.array(group)
             group = []
         group.append(row)
@@ -151,7 +151,7 @@ def _chunk_products(parts: DataFrame, models: dict[str, Model], own_only: bool)
                 mine = pdf[pdf["class_name"] == name] if own_only else pdf
                 sequences = mine["symbols"].to_list()
                 ids, numbers = mine["sample_id"].to_numpy(), mine["part"].to_numpy()
-                for rows in _slices(sequences, 1):
+                for rows in _slices(sequences, 1, len(models) ** 2):
                     coded, lengths = _encoded([sequences[r] for r in rows], model.alphabet)
                     matrix, scale = _products(coded, lengths, model)
                     yield pd.DataFrame({
@@ -234,10 +234,10 @@ def start_models(parts: DataFrame, seed: int = 0) -> dict[str, Model]:
     rows = letters.groupBy("class_name").agg(F.count("s").alias("n")).limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
-    if any(r["n"] > MAX_SYMBOLS for r in rows):
-        raise ValueError(f"more than {MAX_SYMBOLS} symbols in a class")
+    if sum((len(rows) + 1) * (len(rows) + 1 + r["n"]) for r in rows) > MAX_MODEL_NUMBERS:
+        raise ValueError(f"models of more than {MAX_MODEL_NUMBERS} numbers: too many classes or symbols")
     alphabets: dict[str, list[str]] = {r["class_name"]: [] for r in rows}
-    for r in letters.filter("s is not null").collect():  # classes x symbols, both checked above
+    for r in letters.filter("s is not null").collect():  # classes x symbols, checked above
         alphabets[r["class_name"]].append(r["s"])
     rng = np.random.default_rng(seed)
     states = len(alphabets) + 1
@@ -273,7 +273,7 @@ def _expectations(parts: DataFrame, edges: DataFrame | None, models: dict[str, M
                 model = models[name]
                 sequences = mine["symbols"].to_list()
                 given_before, given_after = mine["before"].to_list(), mine["after"].to_list()
-                for picked in _slices(sequences, states):
+                for picked in _slices(sequences, states, states**2):
                     coded, lengths = _encoded([sequences[r] for r in picked], model.alphabet)
                     before = np.stack([
                         _start(states) if given_before[r] is None else np.asarray(given_before[r]) for r in picked

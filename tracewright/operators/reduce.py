@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,10 +23,20 @@ def cells_of(samples: DataFrame, keep: list[str]) -> DataFrame:
     return exploded(samples, [*keep, "class_name"], F.col("features"), "x", "j")
 
 
-def feature_sums(cells: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, class_name, j, s, ss, sa): sums of x, x*x and |x|; map-side combined."""
-    return cells.groupBy(*by, "class_name", "j").agg(
-        F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss"), F.sum(F.abs("x")).alias("sa")
+def feature_sums(samples: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, class_name, j, s, ss, sa): sums of x, x*x and |x| per feature.
+
+    Whole vectors are added up, map-side first, so that no row per feature is made of the samples.
+    """
+    sums = Summarizer.metrics("sum", "normL2", "normL1").summary(array_to_vector("features"))
+    vectors = samples.groupBy(*by, "class_name").agg(sums.alias("_s"))
+    cells = F.arrays_zip(
+        vector_to_array("_s.sum").alias("s"), vector_to_array("_s.normL2").alias("l2"),
+        vector_to_array("_s.normL1").alias("sa"),
+    )
+    return exploded(vectors, [*by, "class_name"], cells, "_x", "j").select(
+        *by, "class_name", "j", F.col("_x.s").alias("s"), (F.col("_x.l2") * F.col("_x.l2")).alias("ss"),
+        F.col("_x.sa").alias("sa"),
     )
 
 
@@ -63,7 +74,7 @@ def anova(sums: DataFrame, counts: DataFrame, by: list[str] = []) -> DataFrame:
 
 
 def anova_f(samples: DataFrame) -> DataFrame:
-    return anova(feature_sums(cells_of(samples, []), []), class_counts(samples, []))
+    return anova(feature_sums(samples, []), class_counts(samples, []))
 
 
 def selected_features(scores: DataFrame, k: int) -> Column:
@@ -115,6 +126,12 @@ def projection(samples: DataFrame, dimension: int = 2) -> DataFrame:
     return projected.select("sample_id", *axes, "class_name")
 
 
+def program_projection(samples: DataFrame, program: str, dimension: int = 2, separator: str = "_") -> DataFrame:
+    """The same for one program, that is its original and its variants."""
+    name = F.col("sample_id")
+    return projection(samples.filter((name == program) | name.startswith(program + separator)), dimension)
+
+
 def reduce_features(samples: DataFrame, method: str, k: int) -> DataFrame:
     """selectkbest, pca or none."""
     method = method.lower()

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.fixed_values import STOP_TOKENS
 from tracewright.functions.rows import exploded
+from tracewright.plans.skew import salted_join
+
+MAX_BROADCAST_TOKENS = 100_000
 
 
 # ---- tokens --------------------------------------------------------------------------------------------
@@ -91,12 +94,15 @@ def vocab_topk_tf(totals: DataFrame, k: int = 1000) -> DataFrame:
     return top.withColumn("rank", rank.cast("bigint"))
 
 
-def tf_matrix(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def tf_matrix(tokens: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
     """(doc_id, rank, token, df, tf): sparse counts of the vocabulary's tokens.
 
-    vocabulary must be capped (vocab_topk, vocab_topk_tf): it is broadcast.
+    k is the cap the vocabulary was made with: up to MAX_BROADCAST_TOKENS it is broadcast.
     """
-    return term_freq(tokens).join(F.broadcast(vocabulary.select("token", "rank", "df")), "token")
+    counts, kept = term_freq(tokens), vocabulary.select("token", "rank", "df")
+    if k > MAX_BROADCAST_TOKENS:
+        return salted_join(counts, kept, ["token"], ["doc_id", "token"])
+    return counts.join(F.broadcast(kept), "token")
 
 
 def densify(cells: DataFrame, size: int, value: str, ids: DataFrame | None = None) -> DataFrame:
@@ -127,22 +133,22 @@ def l2_normalised(cells: DataFrame, keys: list[str], value: str, name: str) -> D
     ).drop("_norm")
 
 
-def tfidf(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+def tfidf(tokens: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
     """(doc_id, token, rank, weight): sparse TF-IDF over a capped vocabulary, length 1 per document.
 
     The number of documents counts those without any token of the vocabulary too.
     """
     n_docs = tokens.agg(F.count(F.lit(1)).alias("n")).scalar()
-    weighted = tf_matrix(tokens, vocabulary).withColumn("_w", F.col("tf") * smooth_idf(n_docs, F.col("df")))
+    weighted = tf_matrix(tokens, vocabulary, k).withColumn("_w", F.col("tf") * smooth_idf(n_docs, F.col("df")))
     return l2_normalised(weighted, ["doc_id"], "_w", "weight").select("doc_id", "token", "rank", "weight")
 
 
 def tfidf_topk(docs: DataFrame, doc_id: str, text: str, k: int = 128) -> DataFrame:
     """TF-IDF over the k tokens that are in most documents."""
     tokens = with_tokens(docs, doc_id, text, whitespace_tokens)
-    return tfidf(tokens, vocab_topk(doc_freq(tokens), k))
+    return tfidf(tokens, vocab_topk(doc_freq(tokens), k), k)
 
 
 def tfidf_topk_tf(tokens: DataFrame, k: int = 1000) -> DataFrame:
     """TF-IDF over the k tokens with most occurrences, columns in token order."""
-    return tfidf(tokens, vocab_topk_tf(term_total(tokens), k))
+    return tfidf(tokens, vocab_topk_tf(term_total(tokens), k), k)

@@ -73,7 +73,7 @@ def vocab_topk_tf(spark, sf):
 select tf.doc_id, v.token, cast(v.rank as bigint) as rank, v.df, tf.tf from tf join v using (token)""")
 def tf_matrix(spark, sf):
     tokens = _tokens(spark, sf, text.whitespace_tokens)
-    return text.tf_matrix(tokens, text.vocab_topk(text.doc_freq(tokens)))
+    return text.tf_matrix(tokens, text.vocab_topk(text.doc_freq(tokens)), 128)
 
 
 @query("tfidf_topk", sql=f"""with {_WS}, {_TF}, {_DF}, {_TOP}, {_weights('select count(*) from documents')}
