@@ -15,6 +15,7 @@ from tracewright.plans.ordering import (
     lag_in_order,
     row_numbers,
 )
+from tracewright.plans import skew
 from tracewright.plans.skew import salted_join
 
 
@@ -89,6 +90,15 @@ def test_salted_join_equals_join(spark, skewed, how):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [1, 1000])
+def test_lookup_join(spark, skewed, monkeypatch, limit):
+    monkeypatch.setattr(skew, "MAX_BROADCAST_ROWS", limit)
+    left = spark.createDataFrame(skewed)
+    table = spark.createDataFrame([("hot", 1), ("k1", 3)], "k string, w int")
+    got = skew.lookup_join(left, table, ["k"], ["v"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(table, "k").collect()))
+
+
 def test_salted_join_spreads_the_heavy_key(spark, skewed):
     left = spark.createDataFrame(skewed)
     hits = heavy_keys(left, ["k"], ["v"]).first()["hits"]

@@ -10,7 +10,7 @@ from tracewright.functions.fixed_values import OPCODE_LETTERS, OPERAND_LETTERS
 from tracewright.functions.strings import operand_code, operand_type
 from tracewright.operators.traces import PART_LENGTH
 from tracewright.plans.ordering import global_index, segment
-from tracewright.plans.skew import salted_join
+from tracewright.plans.skew import lookup_join
 
 
 def first_seen(rows: DataFrame, symbol: str, order: list[str]) -> DataFrame:
@@ -120,7 +120,6 @@ def encode_lines(lines: DataFrame) -> DataFrame:
 
 def _encode(steps: DataFrame) -> DataFrame:
     index = first_seen_index(steps, "opcode", ["sample_id", "step"])
-    # A few opcodes make up most of any trace, hence the salts.
-    return salted_join(steps, index, ["opcode"], ["sample_id", "step"]).select(
+    return lookup_join(steps, index, ["opcode"], ["sample_id", "step"]).select(
         "sample_id", "step", F.concat(F.col("idx").cast("string"), F.col("_digits")).alias("code")
     )

@@ -9,7 +9,7 @@ from tracewright.functions.numbers import hundredths, rounded_ratio
 from tracewright.functions.strings import class_letter, letter_mismatch
 from tracewright.operators.encode import first_seen
 from tracewright.plans.ordering import global_index
-from tracewright.plans.skew import salted_join
+from tracewright.plans.skew import lookup_join
 
 MAX_CLASSES = 20_000  # a confusion matrix beyond this is refused, not cut
 
@@ -32,12 +32,9 @@ def trends_ordered(trends: DataFrame, by: list[str] = ["param"]) -> DataFrame:
 def _class_lists(trends: DataFrame, by: list[str]) -> DataFrame:
     """(*by, classes): alphabetical union of true and predicted classes, refused beyond MAX_CLASSES."""
     names = trends.select(*by, F.explode(F.array("class_name", "predicted")).alias("c")).distinct()
-    counted = names.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    too_many = F.raise_error(F.lit(f"more than {MAX_CLASSES} classes"))
-    checked = names.join(
-        counted.withColumn("_ok", F.when(F.col("_n") > MAX_CLASSES, too_many.cast("boolean")).otherwise(F.lit(True))),
-        by,
-    ).filter("_ok")
+    most = names.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_n")).scalar()
+    too_many = F.raise_error(F.lit(f"more than {MAX_CLASSES} classes")).cast("boolean")
+    checked = names.filter(F.when(most > MAX_CLASSES, too_many).otherwise(F.lit(True)))
     return checked.groupBy(*by).agg(F.array_sort(F.collect_list("c")).alias("classes"))
 
 
@@ -109,7 +106,7 @@ def class_index(train: DataFrame, test: DataFrame | None = None) -> DataFrame:
 
 def with_class_index(samples: DataFrame, classes: DataFrame) -> DataFrame:
     """Samples with class_idx; one class may hold most samples."""
-    return salted_join(samples, classes, ["class_name"], ["sample_id"])
+    return lookup_join(samples, classes, ["class_name"], ["sample_id"])
 
 
 def class_letters(classes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from tracewright.operators import bayes, cluster, evaluate, hmm, holdout, plans,
 from tracewright.plans import views
 from tracewright.plans.catalog import query
 from tracewright.plans.ordering import row_numbers
-from tracewright.plans.skew import salted_join
+from tracewright.plans.skew import lookup_join, salted_join
 from tracewright.plans.views import table
 
 K = 10
@@ -211,7 +211,7 @@ def _holdout_samples(spark, sf):
         F.col("o_orderkey").alias("sample_id"), (F.col("o_custkey") % 40).alias("program"),
         F.col("o_orderpriority").alias("class_name"),
     )
-    return salted_join(orders, cycles, ["program"], ["sample_id"]).select("sample_id", "own", "class_name")
+    return lookup_join(orders, cycles, ["program"], ["sample_id"]).select("sample_id", "own", "class_name")
 
 
 def _holdout_cells(spark, sf, samples):

@@ -54,10 +54,9 @@ from k a cross join k b left join t on t.c = a.x and t.p = b.x""")
 def confusion_labels(spark, sf):
     """Quality against toxicity."""
     found = table(spark, sf, "labels").select(
-        F.lit(0).alias("param"), F.col("quality").cast("string").alias("class_name"),
-        F.col("toxic").cast("string").alias("predicted"),
+        F.col("quality").cast("string").alias("class_name"), F.col("toxic").cast("string").alias("predicted")
     )
-    return evaluate.confusion_long(evaluate.trend_counts(found)).drop("param")
+    return evaluate.confusion_long(evaluate.trend_counts(found, []), [])
 
 
 _MISMATCH = """mm as (select class_name, predicted, cast(sum(abs((length(class_name) - length(replace(class_name, x, '')))

@@ -1,4 +1,4 @@
-"""Equi-joins that spread heavy keys over many tasks."""
+"""Equi-joins that spread heavy keys over many tasks, or need no shuffle of the large side."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.plans.ordering import heavy_keys
+from tracewright.session import materialised
+
+MAX_BROADCAST_ROWS = 100_000
 
 
 def salted_join(
@@ -36,3 +39,17 @@ def salted_join(
         .drop("hits")
     )
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def lookup_join(
+    left: DataFrame, table: DataFrame, keys: Sequence[str], row_id: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join with a derived table that is usually small, such as a dictionary or a class list.
+
+    The table is worked out once and counted: up to MAX_BROADCAST_ROWS narrow rows are broadcast, so that
+    the left side stays where it is; a larger table is met by a salted join.
+    """
+    table = materialised(table)
+    if table.count() <= MAX_BROADCAST_ROWS:
+        return left.join(F.broadcast(table), list(keys), how)
+    return salted_join(left, table, keys, row_id, how)
