@@ -11,8 +11,8 @@ from tracewright.plans.ordering import (
     carry_forward,
     global_index,
     heavy_keys,
-    key_sample,
     lag_in_order,
+    ranged,
     row_numbers,
 )
 from tracewright.plans import skew
@@ -30,10 +30,17 @@ def skewed():
 
 def test_sample_is_bounded_and_repeatable(spark, skewed):
     df = spark.createDataFrame(skewed)
-    first = {(r.k, r._at.v) for r in key_sample(df, ["k"], ["v"]).collect()}
-    again = {(r.k, r._at.v) for r in key_sample(df.repartition(13), ["k"], ["v"]).collect()}
-    assert first == again and 0 < len(first) <= SAMPLE_SIZE
-    assert [r.k for r in heavy_keys(df, ["k"], ["v"]).collect()] == ["hot"]
+    first = {tuple(r) for r in heavy_keys(df, ["k"], ["v"]).collect()}
+    again = {tuple(r) for r in heavy_keys(df.repartition(13), ["k"], ["v"]).collect()}
+    hot = df.filter("k = 'hot'").select(F.hash("k")).first()[0]
+    assert first == again and {k for k, _ in first} == {hot}
+
+
+def test_heavy_keys_are_cut_in_many_ranges(spark, skewed):
+    cut = ranged(spark.createDataFrame(skewed), ["k"], ["v"]).groupBy("k", "_range").count().collect()
+    hot = [r["count"] for r in cut if r.k == "hot"]
+    assert len(hot) > 300 and max(hot) < 120 and sum(hot) == 4000
+    assert all(r._range == 0 for r in cut if r.k != "hot") and len(hot) <= SAMPLE_SIZE + 1
 
 
 @pytest.mark.parametrize("partitions", [1, 7, 64])

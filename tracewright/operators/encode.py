@@ -11,6 +11,7 @@ from tracewright.functions.strings import operand_code, operand_type
 from tracewright.operators.traces import PART_LENGTH
 from tracewright.plans.ordering import global_index, segment
 from tracewright.plans.skew import lookup_join
+from tracewright.session import materialised
 
 
 def first_seen(rows: DataFrame, symbol: str, order: list[str]) -> DataFrame:
@@ -24,7 +25,7 @@ def first_seen(rows: DataFrame, symbol: str, order: list[str]) -> DataFrame:
 
 def first_seen_index(rows: DataFrame, symbol: str, order: list[str], name: str = "idx") -> DataFrame:
     """(symbol, name): 0-based index of every symbol by first appearance."""
-    return global_index(first_seen(rows, symbol, order), order, name).select(symbol, name)
+    return global_index(materialised(first_seen(rows, symbol, order)), order, name).select(symbol, name)
 
 
 def letter_table(rows: DataFrame, symbol: str, letters: str, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from tracewright.functions.strings import class_letter, letter_mismatch
 from tracewright.operators.encode import first_seen
 from tracewright.plans.ordering import global_index
 from tracewright.plans.skew import lookup_join
+from tracewright.session import materialised
 
 MAX_CLASSES = 20_000  # a confusion matrix beyond this is refused, not cut
 
@@ -101,7 +102,8 @@ def class_index(train: DataFrame, test: DataFrame | None = None) -> DataFrame:
     if test is not None:
         rows = rows.unionByName(test.select("class_name", F.lit(1).alias("_phase"), "sample_id"))
     order = ["_phase", "sample_id"]
-    return global_index(first_seen(rows, "class_name", order), order, "class_idx").select("class_name", "class_idx")
+    seen = materialised(first_seen(rows, "class_name", order))
+    return global_index(seen, order, "class_idx").select("class_name", "class_idx")
 
 
 def with_class_index(samples: DataFrame, classes: DataFrame) -> DataFrame:
@@ -111,7 +113,7 @@ def with_class_index(samples: DataFrame, classes: DataFrame) -> DataFrame:
 
 def class_letters(classes: DataFrame) -> DataFrame:
     """(class_name, rank, letter): alphabetical rank from 1 and its code letter."""
-    ranked = global_index(classes.select("class_name").distinct(), ["class_name"], "_i")
+    ranked = global_index(materialised(classes.select("class_name").distinct()), ["class_name"], "_i")
     rank = F.col("_i") + 1
     return ranked.select("class_name", rank.alias("rank"), class_letter(rank).alias("letter"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.plans.ordering import global_index
+from tracewright.session import materialised
 
 
 def fold_of(index: Column, n: Column, k: int) -> Column:
@@ -35,8 +36,9 @@ def program_holdout(programs: DataFrame, k: int = 10, cycles: int | None = None)
     are never tested when cycles == k, and have a null cycle.  cycles defaults to k.
     """
     cycles = k if cycles is None else cycles
+    programs = materialised(programs.select("program"))
     n = programs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    ranked = global_index(programs.select("program"), ["program"], "rank").withColumn("_n", n)
+    ranked = global_index(programs, ["program"], "rank").withColumn("_n", n)
     chunk = F.floor(F.col("_n") / F.lit(k)).cast("bigint")
     tested = F.filter(
         F.sequence(F.lit(0), F.lit(cycles - 1)),

@@ -11,7 +11,8 @@ Two cases are kept apart:
 
 The sample is the row with the smallest hash in each of ``SAMPLE_SIZE`` hash buckets, so it depends on
 the data only: evaluating the plan again, on other executors or partitions, gives the same cuts.  It
-takes a hash aggregation to SAMPLE_SIZE numbers and a broadcast semi join, both over key columns only.
+takes one hash aggregation of the key columns to SAMPLE_SIZE numbers.  Where no key is heavy, nothing
+else is added to the plain job: the further steps meet an empty table and fall away.
 """
 
 from __future__ import annotations
@@ -28,25 +29,51 @@ GROUP = 32  # split points are searched in two steps of this size
 RUN_LENGTH = 1 << 20  # positions per run of one key
 
 
-def key_sample(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """At most SAMPLE_SIZE rows (keys, _at) drawn evenly over the rows of df; _at is the order struct."""
+def _hashed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds _row (hash of keys and order), _key (hash of keys) and _pick, which is what is sampled.
+
+    _pick has the upper half of _row in front, so its minimum is a random row, and _key at its end.
+    """
     cols = list(dict.fromkeys([*keys, *order]))
-    hashed = df.select(*cols, F.xxhash64(*cols).alias("_h"))
-    smallest = hashed.groupBy(F.pmod("_h", F.lit(SAMPLE_SIZE))).agg(F.min("_h").alias("_h")).select("_h")
-    return (
-        hashed.join(F.broadcast(smallest), "_h", "left_semi")  # SAMPLE_SIZE numbers
-        .select(*keys, F.struct(*order).alias("_at"))
-        .distinct()
+    row = F.xxhash64(*cols)
+    key = F.hash(*keys) if keys else F.lit(0)
+    low = F.lit(0xFFFFFFFF).cast("bigint")
+    return df.withColumn("_row", row).withColumn("_key", key).withColumn(
+        "_pick", F.col("_row").bitwiseAND(F.lit(-(1 << 32)).cast("bigint")).bitwiseOR(
+            F.col("_key").cast("bigint").bitwiseAND(low))
     )
 
 
+def _picks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """(_pick, _key): at most SAMPLE_SIZE rows drawn evenly over the rows of df."""
+    cols = list(dict.fromkeys([*keys, *order]))
+    hashed = _hashed(df.select(*cols), keys, order)
+    least = hashed.groupBy(F.pmod("_row", F.lit(SAMPLE_SIZE))).agg(F.min("_pick").alias("_pick"))
+    low = F.col("_pick").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
+    signed = F.when(low >= F.lit(1 << 31), low - F.lit(1 << 32)).otherwise(low)
+    return least.select("_pick", signed.cast("int").alias("_key"))
+
+
 def heavy_keys(df: DataFrame, keys: Sequence[str], row_id: Sequence[str]) -> DataFrame:
-    """Keys holding a large share of the rows: (keys, hits), at most SAMPLE_SIZE / HEAVY_HITS rows."""
+    """(_key, hits): hashes of the keys that hold a large share of the rows.
+
+    At most SAMPLE_SIZE / HEAVY_HITS rows.  A key that shares the hash of a heavy one is treated like it.
+    """
+    return _heavy(_picks(df, keys, row_id))
+
+
+def _heavy(picks: DataFrame) -> DataFrame:
+    return picks.groupBy("_key").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= HEAVY_HITS)
+
+
+def _sampled(df: DataFrame, keys: Sequence[str], order: Sequence[str], picks: DataFrame) -> DataFrame:
+    """(*keys, _at): the picked rows themselves; _at is the order struct."""
+    cols = list(dict.fromkeys([*keys, *order]))
     return (
-        key_sample(df, keys, row_id)
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("hits"))
-        .filter(F.col("hits") >= HEAVY_HITS)
+        _hashed(df.select(*cols), keys, order)
+        .join(F.broadcast(picks.select("_pick")), "_pick", "left_semi")  # SAMPLE_SIZE numbers
+        .select(*keys, F.struct(*order).alias("_at"))
+        .distinct()
     )
 
 
@@ -59,12 +86,11 @@ def _range_of(at: Column, fine: Column, coarse: Column) -> Column:
     )
 
 
-def _splits(sample: DataFrame, keys: Sequence[str], at_least: int) -> DataFrame:
+def _splits(sample: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, _fine, _coarse): sorted split points of the sampled keys."""
     return (
         sample.groupBy(*keys)
         .agg(F.array_sort(F.collect_list("_at")).alias("_fine"))
-        .filter(F.size("_fine") >= at_least)
         .withColumn("_coarse", F.expr(f"filter(_fine, (x, i) -> i % {GROUP} = 0)"))
     )
 
@@ -75,11 +101,13 @@ def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
     Other keys have the single range 0.  Keys must be non-null.
     """
     keys = list(keys)
-    splits = _splits(key_sample(df, keys, order), keys, HEAVY_HITS)
+    picks = _picks(df, keys, order)
+    of_heavy = picks.join(F.broadcast(_heavy(picks)), "_key", "left_semi")
+    splits = _splits(_sampled(df, keys, order, of_heavy), keys)
     at = F.struct(*[F.col(c) for c in order])
     cut = _range_of(at, F.col("_fine"), F.col("_coarse"))
     return (
-        df.join(F.broadcast(splits), keys, "left")  # <= SAMPLE_SIZE / HEAVY_HITS rows
+        df.join(F.broadcast(splits), keys, "left")  # at most SAMPLE_SIZE split points in all
         .withColumn("_range", F.when(F.col("_fine").isNull(), F.lit(0)).otherwise(cut))
         .withColumn("_heavy", F.col("_fine").isNotNull())
         .drop("_fine", "_coarse")
@@ -119,10 +147,8 @@ def global_index(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     Replaces an unpartitioned row_number(): rows are ranged by split points, numbered inside their
     range, and shifted by the sizes of the ranges before it (at most SAMPLE_SIZE + 1 counts).
     """
-    sample = key_sample(df, [], order).agg(F.array_sort(F.collect_list("_at")).alias("_fine"))
-    lookup = sample.select(
-        F.struct("_fine", F.expr(f"filter(_fine, (x, i) -> i % {GROUP} = 0)").alias("_coarse")).alias("_lookup")
-    )
+    sample = _sampled(df, [], order, _picks(df, [], order))
+    lookup = _splits(sample, []).select(F.struct("_fine", "_coarse").alias("_lookup"))
     at = F.struct(*[F.col(c) for c in order])
     ranged = (
         df.withColumn("_lookup", lookup.scalar())

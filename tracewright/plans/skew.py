@@ -18,6 +18,8 @@ def salted_join(
 ) -> DataFrame:
     """Join on keys where a key may hold a large share of the left rows and few of the right.
 
+    The keys must have the same types on both sides.
+
     Rows of a heavy left key are dealt to as many salts as the key has sampled rows (about 0.1 % of all
     rows per salt), and the right rows of that key are repeated once per salt.  Other keys keep one salt.
     The list of heavy keys has at most ordering.SAMPLE_SIZE / HEAVY_HITS rows, so broadcasting it is safe
@@ -29,14 +31,16 @@ def salted_join(
     heavy = F.broadcast(heavy_keys(left, keys, row_id))
     salts = F.coalesce("hits", F.lit(1))
     dealt = (
-        left.join(heavy, keys, "left")
+        left.withColumn("_key", F.hash(*keys))
+        .join(heavy, "_key", "left")
         .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in row_id]), salts))
-        .drop("hits")
+        .drop("hits", "_key")
     )
     repeated = (
-        right.join(heavy, keys, "left")
+        right.withColumn("_key", F.hash(*keys))
+        .join(heavy, "_key", "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
-        .drop("hits")
+        .drop("hits", "_key")
     )
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
