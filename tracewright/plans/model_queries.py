@@ -150,6 +150,29 @@ def nb_predict_reduced(spark, sf):
     return bayes.predictions(bayes.fit_predict(train, test, reduce_to=16)).select("sample_id", "class_name", "predicted")
 
 
+@query("nb_predict_separate", sql=_BASE + """
+px as (select *, fold = 9 as tested from x join fo on sample_id = vec_id),
+sm as (select tested, c, j, count(*) as n, sum(x) as s, sum(x * x) as ss from px group by 1, 2, 3),
+fs as (select tested, j, sum(s * s / n) as b, sum(s) as s, sum(ss) as ss, sum(n) as n, count(*) as k from sm group by 1, 2),
+fr as (select tested, j, ((b - s * s / n) / (k - 1)) / ((ss - b) / (n - k)) as f_score from fs),
+an as (select tested, j, row_number() over (partition by tested order by round(f_score, 9) desc, j desc) as rank from fr),
+ps as (select tested, j, row_number() over (partition by tested order by j) as pos from an where rank <= 16),
+rx as (select px.tested, px.sample_id, px.c, ps.pos, abs(px.x) as x from px join ps on ps.tested = px.tested and ps.j = px.j),
+tr as (select c, pos, sum(x) as s from rx where not tested group by 1, 2),
+tt as (select c, sum(s) as s, count(*) as k from tr group by 1),
+cn as (select c, count(distinct sample_id) as n from rx where not tested group by 1),
+pr as (select c, ln(cast(n as double) / cast(sum(n) over () as double)) as lp from cn),
+sc as (select rx.sample_id, rx.c as class_name, tr.c, any_value(lp) + sum(rx.x * ln((tr.s + 1) / (tt.s + tt.k))) as score
+       from rx join tr on tr.pos = rx.pos join tt on tt.c = tr.c join pr on pr.c = tr.c where rx.tested group by 1, 2, 3)
+select sample_id, class_name, c as predicted from sc
+qualify row_number() over (partition by sample_id order by round(score, 9) desc, c) = 1""")
+def nb_predict_separate(spark, sf):
+    """Training and test samples each with their own 16 best features."""
+    train, test = _held_out(spark, sf)
+    found = bayes.predictions(bayes.fit_predict(train, test, 16, "separate"))
+    return found.select("sample_id", "class_name", "predicted")
+
+
 @query("nb_proba", sql=_BASE + _nb("fold <> f", "(9)") + """
 select sample_id, c as class_name, round(exp(score - m) / sum(exp(score - m)) over (partition by sample_id), 6) as probability
 from (select *, max(score) over (partition by sample_id) as m from sc) q""")
@@ -374,6 +397,87 @@ def cart_sweep(spark, sf):
     return evaluate.sweep_curve(_cart_predictions(spark, sf))
 
 
+def _cart_sql(folds: int, tested: str, criterion: str, depth: int) -> str:
+    """Trees grown level by level: nodes n<d> of the training rows, best splits b<d>, nodes t<d> of the test rows.
+
+    A threshold lies midway between a value and the next one among all training rows; a node that is pure or
+    gains nothing stays as it is.
+    """
+    impurity = {
+        "gini": "1 - sum({p} * {p})",
+        "entropy": "-sum(case when {p} > 0 then {p} * log2(case when {p} > 0 then {p} else 1 end) else 0 end)",
+    }[criterion]
+    parts = [
+        f"with {_X}, {_folds('embeddings', 'vec_id', folds)}",
+        f"bt as (select f from (values {tested}) t(f))",
+        "rw as (select bt.f, x.*, fo.fold <> bt.f as train from bt, x join fo on fo.vec_id = x.sample_id)",
+        "va as (select f, j, x, lead(x) over (partition by f, j order by x) as nxt from "
+        "(select distinct f, j, x from rw where train) q)",
+        "n0 as (select distinct f, sample_id, c, train, cast(1 as bigint) as node from rw)",
+    ]
+    for d in range(depth):
+        parts += [
+            f"""s{d} as (select rw.f, n.node, rw.j, rw.x, rw.c, count(*) as n from rw
+        join n{d} n on n.f = rw.f and n.sample_id = rw.sample_id where rw.train group by all)""",
+            f"c{d} as (select f, node, c, count(*) as t from n{d} where train group by all)",
+            # running class counts of a node at every value any training row has
+            f"""g{d} as (select va.f, c.node, va.j, va.x, c.c, c.t,
+          sum(coalesce(s.n, 0)) over (partition by va.f, c.node, va.j, c.c order by va.x) as l
+        from va join c{d} c on c.f = va.f
+        left join s{d} s on s.f = va.f and s.node = c.node and s.j = va.j and s.x = va.x and s.c = c.c)""",
+            f"""h{d} as (select *, cast(sum(l) over w as double) as ln, cast(sum(t - l) over w as double) as rn,
+          cast(sum(t) over w as double) as tn from g{d} window w as (partition by f, node, j, x))""",
+            f"""i{d} as (select f, node, j, x, any_value(ln) as ln, any_value(rn) as rn, any_value(tn) as tn,
+          {impurity.format(p='(t / tn)')} as ip, {impurity.format(p='(l / ln)')} as il,
+          {impurity.format(p='((t - l) / rn)')} as ir
+        from h{d} where ln > 0 and rn > 0 group by f, node, j, x)""",
+            f"""b{d} as (select i.f, i.node, i.j, (i.x + va.nxt) / 2 as threshold,
+          round(ip - (ln / tn) * il - (rn / tn) * ir, 9) as gain
+        from i{d} i join va on va.f = i.f and va.j = i.j and va.x = i.x
+        qualify row_number() over (partition by i.f, i.node order by gain desc, i.j, threshold) = 1)""",
+            f"""n{d + 1} as (select n.f, n.sample_id, n.c, n.train, case when b.gain > 0 then 2 * n.node
+          + case when rw.x <= b.threshold then 0 else 1 end else n.node end as node
+        from n{d} n left join b{d} b on b.f = n.f and b.node = n.node
+        left join rw on rw.f = n.f and rw.sample_id = n.sample_id and rw.j = b.j)""",
+        ]
+    leaves = " union all ".join(
+        f"""select {d} as param, n.f, n.sample_id, n.c as class_name, m.c as predicted from n{d} n
+        join (select f, node, c from n{d} where train group by f, node, c
+              qualify row_number() over (partition by f, node order by count(*) desc, c) = 1) m
+        on m.f = n.f and m.node = n.node where not n.train""" for d in range(1, depth + 1)
+    )
+    return ",\n".join(parts + [f"pr as ({leaves})"]) + "\n"
+
+
+EXACT_BINS = 4096
+
+
+@query("cart_shallow", sql=_cart_sql(10, "(9)", "gini", 3) + """
+select sample_id, class_name, predicted from pr where param = 3""")
+def cart_shallow(spark, sf):
+    """A tree of depth 3 with a threshold between any two values."""
+    train, test = _held_out(spark, sf)
+    return tree.fit_predict(train, test, "gini", 3, EXACT_BINS).select("sample_id", "class_name", "predicted")
+
+
+def _shallow(spark, sf):
+    return tree.kfold_predictions(folded(spark, sf, 3), 3, "entropy", [1, 2, 3], EXACT_BINS)
+
+
+@query("cart_shallow_kfold", sql=_cart_sql(3, "(0), (1), (2)", "entropy", 3) + """
+select sample_id, class_name, cast(f as int) as fold, cast(param as int) as param, predicted from pr""")
+def cart_shallow_kfold(spark, sf):
+    return _shallow(spark, sf)
+
+
+@query("cart_shallow_sweep", sql=_cart_sql(3, "(0), (1), (2)", "entropy", 3) + f""",
+a as (select param, f, {_ACC.format(a='class_name', b='predicted')} as h from pr group by 1, 2)
+select cast(param as int) as param, floor((2 * sum(h) + count(*)) / (2 * count(*))) / cast(100 as double) as mean_accuracy
+from a group by 1""")
+def cart_shallow_sweep(spark, sf):
+    return evaluate.sweep_curve(_shallow(spark, sf))
+
+
 # ---- projections ---------------------------------------------------------------------------------------
 
 
