@@ -30,17 +30,35 @@ def skewed():
 
 def test_sample_is_bounded_and_repeatable(spark, skewed):
     df = spark.createDataFrame(skewed)
-    first = {tuple(r) for r in heavy_keys(df, ["k"], ["v"]).collect()}
-    again = {tuple(r) for r in heavy_keys(df.repartition(13), ["k"], ["v"]).collect()}
+    first = heavy_keys(df, ["k"], ["v"])
     hot = df.filter("k = 'hot'").select(F.hash("k")).first()[0]
-    assert first == again and {k for k, _ in first} == {hot}
+    assert first == heavy_keys(df.repartition(13), ["k"], ["v"]) and list(first) == [hot]
+    assert 300 < first[hot] <= SAMPLE_SIZE  # half of all rows: about half of the sample
 
 
 def test_heavy_keys_are_cut_in_many_ranges(spark, skewed):
-    cut = ranged(spark.createDataFrame(skewed), ["k"], ["v"]).groupBy("k", "_range").count().collect()
-    hot = [r["count"] for r in cut if r.k == "hot"]
-    assert len(hot) > 300 and max(hot) < 120 and sum(hot) == 4000
-    assert all(r._range == 0 for r in cut if r.k != "hot") and len(hot) <= SAMPLE_SIZE + 1
+    cut, is_heavy = ranged(spark.createDataFrame(skewed), ["k"], ["v"])
+    counts = cut.withColumn("h", is_heavy).groupBy("k", "h", "_range").count().collect()
+    hot = [r["count"] for r in counts if r.k == "hot"]
+    assert 300 < len(hot) <= SAMPLE_SIZE + 1 and max(hot) < 120 and sum(hot) == 4000
+    light = [r for r in counts if not r.h]
+    assert len(light) == len({r.k for r in light}) == 700
+
+
+def test_even_keys_get_the_plain_plan(spark, skewed):
+    df = spark.createDataFrame(skewed[skewed.k != "hot"])
+    assert ranged(df, ["k"], ["v"])[1] is None
+    assert "_salt" not in salted_join(df, df.withColumnRenamed("v", "w"), ["k"], ["v"])._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("order", ["t", "n", "d"])
+def test_row_numbers_by_times_and_doubles(spark, order):
+    df = spark.range(3000).selectExpr(
+        "'a' as k", "timestamp_micros(id * 7919 % 3001 * 1000003) as t",
+        "cast(timestamp_micros(id * 7919 % 3001 * 1000003) as timestamp_ntz) as n", "(id * 7919 % 3001) / 7 as d",
+    )
+    got = [r.p for r in row_numbers(df, ["k"], [order], "p").orderBy(order).collect()]
+    assert got == list(range(1, 3001))
 
 
 @pytest.mark.parametrize("partitions", [1, 7, 64])
@@ -106,12 +124,6 @@ def test_lookup_join(spark, skewed, monkeypatch, limit):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(table, "k").collect()))
 
 
-def test_salted_join_spreads_the_heavy_key(spark, skewed):
-    left = spark.createDataFrame(skewed)
-    hits = heavy_keys(left, ["k"], ["v"]).first()["hits"]
-    assert hits > 300  # half of all rows: about half of the sample
-
-
 def test_salted_join_refuses_right_joins(spark, skewed):
     df = spark.createDataFrame(skewed)
     with pytest.raises(ValueError):

@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.plans.ordering import global_index
 from tracewright.session import materialised
 
 
-def fold_of(index: Column, n: Column, k: int) -> Column:
-    """Fold of a 0-based index: the first n mod k folds have one sample more than the others."""
-    small = F.floor(n / F.lit(k)).cast("bigint")
-    larger = n % F.lit(k)
-    edge = larger * (small + 1)
-    return (
-        F.when(index < edge, F.floor(index / (small + 1)))
-        .otherwise(larger + F.floor((index - edge) / F.greatest(small, F.lit(1))))
-        .cast("int")
-    )
+def fold_starts(n: int, k: int) -> list[int]:
+    """First positions of folds 1 .. k-1: the first n mod k folds have one sample more than the others."""
+    small, larger = divmod(n, k)
+    return [f * small + min(f, larger) for f in range(1, k)]
 
 
 def kfold_assign(samples: DataFrame, sample_id: str, k: int = 10) -> DataFrame:
-    """Adds fold: contiguous, unshuffled folds in the order of a unique sample_id."""
-    n = samples.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return (
-        global_index(samples, [sample_id], "_idx").withColumn("fold", fold_of(F.col("_idx"), n, k)).drop("_idx")
-    )
+    """Adds fold: contiguous, unshuffled folds in the order of a unique sample_id.
+
+    Only ids are put in order, to find the k - 1 ids at which a fold starts.  A sample's fold is then a
+    comparison with these constants, so its row is never moved.
+    """
+    ids = samples.select(sample_id)
+    starts = fold_starts(ids.count(), k)
+    at = global_index(ids, [sample_id], "_i").filter(F.col("_i").isin(starts)).collect()  # k - 1 ids
+    found = {r["_i"]: r[sample_id] for r in at}
+    kind = samples.schema[sample_id].dataType
+    # A start past the last sample belongs to an empty fold.
+    passed = [(F.col(sample_id) >= F.lit(found[p]).cast(kind)).cast("int") for p in starts if p in found]
+    return samples.withColumn("fold", reduce(lambda a, b: a + b, passed, F.lit(0)))
 
 
 def program_holdout(programs: DataFrame, k: int = 10, cycles: int | None = None) -> DataFrame:

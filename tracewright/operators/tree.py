@@ -118,7 +118,7 @@ def best_splits(samples: DataFrame, criterion: str = "gini", classes: list[str]
     counted = cells_of(samples, []).groupBy("j", "x").agg(
         *[F.count_if(F.col("class_name") == c).alias(name) for c, name in zip(classes, n)]
     )
-    cut = ranged(counted, ["j"], ["x"])
+    cut, _ = ranged(counted, ["j"], ["x"])
     inside = W.partitionBy("j", "_range").orderBy("x")
     per_range = cut.groupBy("j", "_range").agg(F.min("x").alias("_first"), *[F.sum(c).alias(c) for c in n])
     order = W.partitionBy("j").orderBy("_range")  # at most as many rows as there are ranges

@@ -4,114 +4,110 @@ Two cases are kept apart:
 
 * the rows have no position yet: ``row_numbers`` and ``global_index`` derive one from ordering columns.
   Keys that are heavy are cut into value ranges at split points taken from a bounded sample of the
-  data; only the heavy keys pay for it.
+  data.  Where no key is heavy the plan is the plain window.
 * the rows have a position column (line number, step): ``lag_in_order``, ``carry_forward`` and
   ``segment`` cut every key into fixed runs of positions, and pass what crosses a cut through a table
   with one row per run.
 
-The sample is the row with the smallest hash in each of ``SAMPLE_SIZE`` hash buckets, so it depends on
-the data only: evaluating the plan again, on other executors or partitions, gives the same cuts.  It
-takes one hash aggregation of the key columns to SAMPLE_SIZE numbers.  Where no key is heavy, nothing
-else is added to the plain job: the further steps meet an empty table and fall away.
+The sample is the row with the smallest hash in each of ``SAMPLE_SIZE`` hash buckets: one map-side
+combined aggregation of the key columns to ``SAMPLE_SIZE`` numbers, which are looked at while the plan is
+made.  Split points then are constants of the plan, so a recomputed task makes the same cuts; which
+points were taken decides how even the ranges are, never the result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAMPLE_SIZE = 1024  # rows in a key sample; also bounds every broadcast made here
 HEAVY_HITS = 8  # a key with this many sampled rows (about 0.8 % of all rows) is split
-GROUP = 32  # split points are searched in two steps of this size
+FEW = SAMPLE_SIZE // 4  # a sample this small is that of a table of a few hundred different rows
 RUN_LENGTH = 1 << 20  # positions per run of one key
 
+_LOW = 0xFFFFFFFF
 
-def _hashed(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Adds _row (hash of keys and order), _key (hash of keys) and _pick, which is what is sampled.
 
-    _pick has the upper half of _row in front, so its minimum is a random row, and _key at its end.
-    """
-    cols = list(dict.fromkeys([*keys, *order]))
-    row = F.xxhash64(*cols)
+# ---- samples -------------------------------------------------------------------------------------------
+
+
+def _pick(keys: Sequence[str], order: Sequence[str]) -> tuple[Column, Column]:
+    """Hash of a row, and the number by which rows are sampled: its upper half, then the hash of the keys."""
+    row = F.xxhash64(*dict.fromkeys([*keys, *order]))
     key = F.hash(*keys) if keys else F.lit(0)
-    low = F.lit(0xFFFFFFFF).cast("bigint")
-    return df.withColumn("_row", row).withColumn("_key", key).withColumn(
-        "_pick", F.col("_row").bitwiseAND(F.lit(-(1 << 32)).cast("bigint")).bitwiseOR(
-            F.col("_key").cast("bigint").bitwiseAND(low))
-    )
+    upper = row.bitwiseAND(F.lit(-(1 << 32)).cast("bigint"))
+    return row, upper.bitwiseOR(key.cast("bigint").bitwiseAND(F.lit(_LOW).cast("bigint")))
 
 
-def _picks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """(_pick, _key): at most SAMPLE_SIZE rows drawn evenly over the rows of df."""
-    cols = list(dict.fromkeys([*keys, *order]))
-    hashed = _hashed(df.select(*cols), keys, order)
-    least = hashed.groupBy(F.pmod("_row", F.lit(SAMPLE_SIZE))).agg(F.min("_pick").alias("_pick"))
-    low = F.col("_pick").bitwiseAND(F.lit(0xFFFFFFFF).cast("bigint"))
-    signed = F.when(low >= F.lit(1 << 31), low - F.lit(1 << 32)).otherwise(low)
-    return least.select("_pick", signed.cast("int").alias("_key"))
+def _picks(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> list[tuple[int, int]]:
+    """(pick, hash of the keys) of at most SAMPLE_SIZE rows drawn evenly over the rows of df."""
+    row, pick = _pick(keys, order)
+    least = df.groupBy(F.pmod(row, F.lit(SAMPLE_SIZE))).agg(F.min(pick).alias("p")).collect()
+    found = []
+    for r in least:
+        low = r["p"] & _LOW
+        found.append((r["p"], low - (1 << 32) if low >= 1 << 31 else low))
+    return found
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], row_id: Sequence[str]) -> DataFrame:
-    """(_key, hits): hashes of the keys that hold a large share of the rows.
+def heavy_keys(df: DataFrame, keys: Sequence[str], row_id: Sequence[str]) -> dict[int, int]:
+    """Hash of the keys (functions.hash) to sampled rows, for keys that hold a large share of the rows.
 
-    At most SAMPLE_SIZE / HEAVY_HITS rows.  A key that shares the hash of a heavy one is treated like it.
+    At most SAMPLE_SIZE / HEAVY_HITS entries.  A key that shares the hash of a heavy one is treated like it.
     """
     return _heavy(_picks(df, keys, row_id))
 
 
-def _heavy(picks: DataFrame) -> DataFrame:
-    return picks.groupBy("_key").agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") >= HEAVY_HITS)
+def _heavy(picks: list[tuple[int, int]]) -> dict[int, int]:
+    return {key: n for key, n in Counter(key for _, key in picks).items() if n >= HEAVY_HITS}
 
 
-def _sampled(df: DataFrame, keys: Sequence[str], order: Sequence[str], picks: DataFrame) -> DataFrame:
-    """(*keys, _at): the picked rows themselves; _at is the order struct."""
+def _split_points(df: DataFrame, keys: Sequence[str], order: Sequence[str], picks: list[int]) -> Column:
+    """Sorted array constant of the (keys, order) of the picked rows."""
     cols = list(dict.fromkeys([*keys, *order]))
-    return (
-        _hashed(df.select(*cols), keys, order)
-        .join(F.broadcast(picks.select("_pick")), "_pick", "left_semi")  # SAMPLE_SIZE numbers
-        .select(*keys, F.struct(*order).alias("_at"))
-        .distinct()
+    _, pick = _pick(keys, order)
+    rows = (
+        df.select(*cols, pick.alias("_pick"))
+        .filter(F.col("_pick").isin(picks))
+        .groupBy("_pick")
+        .agg(F.min(F.struct(*cols)).alias("_at"))  # one row per pick
     )
+    text = rows.agg(F.to_json(F.sort_array(F.collect_list("_at")))).first()[0]
+    schema = T.ArrayType(T.StructType([df.schema[c] for c in cols]))
+    return F.from_json(F.lit(text), schema)
 
 
-def _range_of(at: Column, fine: Column, coarse: Column) -> Column:
-    """How many of the sorted split points are <= at, looked up group-wise."""
-    whole = F.size(F.filter(coarse, lambda c: c <= at))
-    part = F.slice(fine, F.greatest(whole - 1, F.lit(0)) * GROUP + 1, GROUP)
-    return F.when(whole == 0, F.lit(0)).otherwise(
-        (whole - 1) * GROUP + F.size(F.filter(part, lambda c: c <= at))
+def _range(cols: Sequence[str], points: Column) -> Column:
+    """How many of the sorted split points are <= (cols), by halving."""
+    at = F.struct(*cols)
+    steps = F.array(*[F.lit(1 << b) for b in range(SAMPLE_SIZE.bit_length() - 1, -1, -1)])
+    return F.aggregate(
+        steps, F.lit(0), lambda p, s: F.when(F.get(points, p + s - 1) <= at, p + s).otherwise(p)
     )
 
 
-def _splits(sample: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, _fine, _coarse): sorted split points of the sampled keys."""
-    return (
-        sample.groupBy(*keys)
-        .agg(F.array_sort(F.collect_list("_at")).alias("_fine"))
-        .withColumn("_coarse", F.expr(f"filter(_fine, (x, i) -> i % {GROUP} = 0)"))
-    )
+# ---- positions from ordering columns -------------------------------------------------------------------
 
 
-def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Adds _range, which cuts the rows of heavy keys into consecutive value ranges, and _heavy.
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, Column | None]:
+    """df with _range, which cuts the rows of heavy keys into consecutive value ranges.
 
-    Other keys have the single range 0.  Keys must be non-null.
+    All rows of any other key have one range.  Also gives a condition that holds for the rows of heavy
+    keys, or None if nothing was cut.  Keys must be non-null.
     """
-    keys = list(keys)
     picks = _picks(df, keys, order)
-    of_heavy = picks.join(F.broadcast(_heavy(picks)), "_key", "left_semi")
-    splits = _splits(_sampled(df, keys, order, of_heavy), keys)
-    at = F.struct(*[F.col(c) for c in order])
-    cut = _range_of(at, F.col("_fine"), F.col("_coarse"))
-    return (
-        df.join(F.broadcast(splits), keys, "left")  # at most SAMPLE_SIZE split points in all
-        .withColumn("_range", F.when(F.col("_fine").isNull(), F.lit(0)).otherwise(cut))
-        .withColumn("_heavy", F.col("_fine").isNotNull())
-        .drop("_fine", "_coarse")
-    )
+    heavy = _heavy(picks)
+    if not heavy or len(picks) < FEW:
+        return df.withColumn("_range", F.lit(0)), None
+    points = _split_points(df, keys, order, [p for p, key in picks if key in heavy])
+    cols = list(dict.fromkeys([*keys, *order]))
+    is_heavy = F.hash(*keys).isin(list(heavy)) if keys else F.lit(True)
+    return df.withColumn("_range", _range(cols, points)), is_heavy
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
@@ -120,9 +116,12 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     Keys must be non-null; rows that tie on order are numbered in any order, as row_number() does.
     """
     keys = list(keys)
-    cut = ranged(df, keys, order)
+    cut, is_heavy = ranged(df, keys, order)
+    local = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order)).cast("bigint")
+    if is_heavy is None:
+        return cut.withColumn(name, local).drop("_range")
     before = (
-        cut.filter("_heavy")
+        cut.filter(is_heavy)
         .groupBy(*keys, "_range")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn(
@@ -132,12 +131,11 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
         .filter(F.col("_before").isNotNull())
         .drop("_n")
     )
-    local = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order))
     return (
         cut.withColumn("_local", local)
         .join(F.broadcast(before), [*keys, "_range"], "left")  # one row per range of a heavy key
-        .withColumn(name, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("bigint"))
-        .drop("_local", "_before", "_range", "_heavy")
+        .withColumn(name, F.col("_local") + F.coalesce("_before", F.lit(0)))
+        .drop("_local", "_before", "_range")
     )
 
 
@@ -147,29 +145,30 @@ def global_index(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     Replaces an unpartitioned row_number(): rows are ranged by split points, numbered inside their
     range, and shifted by the sizes of the ranges before it (at most SAMPLE_SIZE + 1 counts).
     """
-    sample = _sampled(df, [], order, _picks(df, [], order))
-    lookup = _splits(sample, []).select(F.struct("_fine", "_coarse").alias("_lookup"))
-    at = F.struct(*[F.col(c) for c in order])
-    ranged = (
-        df.withColumn("_lookup", lookup.scalar())
-        .withColumn("_range", _range_of(at, F.col("_lookup._fine"), F.col("_lookup._coarse")))
-        .drop("_lookup")
+    cut, many = ranged(df, [], order)
+    local = F.row_number().over(W.partitionBy("_range").orderBy(*order)).cast("bigint") - 1
+    if many is None:  # a few hundred rows
+        return cut.withColumn(name, local).drop("_range")
+    before = (
+        cut.groupBy("_range")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn(
+            "_before",
+            F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)),
+        )
+        .drop("_n")
     )
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.withColumn(
-        "_before",
-        # one row per range, never more than SAMPLE_SIZE + 1
-        F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)),
-    ).drop("_n")
-    local = F.row_number().over(W.partitionBy("_range").orderBy(*order))
     return (
-        ranged.withColumn("_local", local)
+        cut.withColumn("_local", local)
         .join(F.broadcast(before), "_range", "left")
-        .withColumn(name, (F.col("_local") - 1 + F.coalesce("_before", F.lit(0))).cast("bigint"))
+        .withColumn(name, F.col("_local") + F.coalesce("_before", F.lit(0)))
         .drop("_local", "_before", "_range")
     )
 
 
+# ---- steps along positions -----------------------------------------------------------------------------
+
+
 def segment(position: str, run_length: int = RUN_LENGTH) -> Column:
     """Run number of a 1-based position column."""
     return F.floor((F.col(position) - 1) / F.lit(run_length)).cast("bigint")

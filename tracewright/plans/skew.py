@@ -22,26 +22,19 @@ def salted_join(
 
     Rows of a heavy left key are dealt to as many salts as the key has sampled rows (about 0.1 % of all
     rows per salt), and the right rows of that key are repeated once per salt.  Other keys keep one salt.
-    The list of heavy keys has at most ordering.SAMPLE_SIZE / HEAVY_HITS rows, so broadcasting it is safe
-    at any scale.  Works for inner, left, left_semi and left_anti.
+    Without heavy keys the plan is the plain join.  The heavy keys, at most ordering.SAMPLE_SIZE /
+    HEAVY_HITS, are constants of the plan.  Works for inner, left, left_semi and left_anti.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot keep unmatched right rows: {how}")
     keys = list(keys)
-    heavy = F.broadcast(heavy_keys(left, keys, row_id))
-    salts = F.coalesce("hits", F.lit(1))
-    dealt = (
-        left.withColumn("_key", F.hash(*keys))
-        .join(heavy, "_key", "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in row_id]), salts))
-        .drop("hits", "_key")
-    )
-    repeated = (
-        right.withColumn("_key", F.hash(*keys))
-        .join(heavy, "_key", "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)))
-        .drop("hits", "_key")
-    )
+    heavy = heavy_keys(left, keys, row_id)
+    if not heavy:
+        return left.join(right, keys, how)
+    of_key = F.create_map(*[F.lit(v) for pair in heavy.items() for v in pair])
+    salts = F.coalesce(F.try_element_at(of_key, F.hash(*keys)), F.lit(1))
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*row_id), salts).cast("int"))
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
