@@ -29,7 +29,7 @@ def skewed():
 
 
 def test_sample_is_bounded_and_repeatable(spark, skewed):
-    df = spark.createDataFrame(skewed)
+    df = spark.createDataFrame(skewed).repartition(5)
     first = heavy_keys(df, ["k"], ["v"])
     hot = df.filter("k = 'hot'").select(F.hash("k")).first()[0]
     assert first == heavy_keys(df.repartition(13), ["k"], ["v"]) and list(first) == [hot]
@@ -37,7 +37,7 @@ def test_sample_is_bounded_and_repeatable(spark, skewed):
 
 
 def test_heavy_keys_are_cut_in_many_ranges(spark, skewed):
-    cut, is_heavy = ranged(spark.createDataFrame(skewed), ["k"], ["v"])
+    cut, is_heavy = ranged(spark.createDataFrame(skewed).repartition(5), ["k"], ["v"])
     counts = cut.withColumn("h", is_heavy).groupBy("k", "h", "_range").count().collect()
     hot = [r["count"] for r in counts if r.k == "hot"]
     assert 300 < len(hot) <= SAMPLE_SIZE + 1 and max(hot) < 120 and sum(hot) == 4000
@@ -46,7 +46,7 @@ def test_heavy_keys_are_cut_in_many_ranges(spark, skewed):
 
 
 def test_even_keys_get_the_plain_plan(spark, skewed):
-    df = spark.createDataFrame(skewed[skewed.k != "hot"])
+    df = spark.createDataFrame(skewed[skewed.k != "hot"]).repartition(5)
     assert ranged(df, ["k"], ["v"])[1] is None
     assert "_salt" not in salted_join(df, df.withColumnRenamed("v", "w"), ["k"], ["v"])._jdf.queryExecution().toString()
 
@@ -63,7 +63,7 @@ def test_row_numbers_by_times_and_doubles(spark, order):
 
 @pytest.mark.parametrize("partitions", [1, 7, 64])
 def test_row_numbers(spark, skewed, partitions):
-    df = spark.createDataFrame(skewed).repartition(partitions)
+    df = spark.createDataFrame(skewed).repartition(5).repartition(partitions)
     got = row_numbers(df, ["k"], ["v"], "n").toPandas()
     want = skewed.assign(n=skewed.groupby("k")["v"].rank(method="first").astype("int64"))
     cols = ["k", "v", "n"]
@@ -71,7 +71,7 @@ def test_row_numbers(spark, skewed, partitions):
 
 
 def test_global_index(spark, skewed):
-    df = spark.createDataFrame(skewed)
+    df = spark.createDataFrame(skewed).repartition(5)
     got = global_index(df, ["v", "k"], "i").toPandas().sort_values(["v", "k"])
     assert got["i"].tolist() == list(range(len(skewed)))
 
@@ -108,7 +108,7 @@ def test_carry_forward(spark, run_length, include_current):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_salted_join_equals_join(spark, skewed, how):
-    left = spark.createDataFrame(skewed)
+    left = spark.createDataFrame(skewed).repartition(5)
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("k2", 4), ("none", 5)], "k string, w int")
     got = sorted(map(tuple, salted_join(left, right, ["k"], ["v"], how).collect()), key=repr)
     want = sorted(map(tuple, left.join(right, "k", how).select(*salted_join(left, right, ["k"], ["v"], how).columns).collect()), key=repr)
@@ -118,13 +118,13 @@ def test_salted_join_equals_join(spark, skewed, how):
 @pytest.mark.parametrize("limit", [1, 1000])
 def test_lookup_join(spark, skewed, monkeypatch, limit):
     monkeypatch.setattr(skew, "MAX_BROADCAST_ROWS", limit)
-    left = spark.createDataFrame(skewed)
+    left = spark.createDataFrame(skewed).repartition(5)
     table = spark.createDataFrame([("hot", 1), ("k1", 3)], "k string, w int")
     got = skew.lookup_join(left, table, ["k"], ["v"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(table, "k").collect()))
 
 
 def test_salted_join_refuses_right_joins(spark, skewed):
-    df = spark.createDataFrame(skewed)
+    df = spark.createDataFrame(skewed).repartition(5)
     with pytest.raises(ValueError):
         salted_join(df, df, ["k"], ["v"], "full")
