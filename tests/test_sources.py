@@ -61,7 +61,7 @@ def test_symbol_prefix(spark):
 def test_metadata(spark):
     rows = [
         ("['--Transform=Flatten', '--FlattenKinds=switch', '--Functions=main', '--Transform=Jit', '--AKind=b c', '--out=a.c']",),
-        ("tigress Ident",),
+        ("plain Ident",),
         ("['--Transform=X_', '--K=1', '--K=2']",),
     ]
     df = spark.createDataFrame(rows, "content string").select(
