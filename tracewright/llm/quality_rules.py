@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import let, ws_words
 
-SYMBOLS = r"[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
 REPEAT_WINDOW = 5
+PUNCTUATION = ".,;:!?"
 
 # Frequent short words of the corpus languages; fixed values.
 STOP_WORDS = (
@@ -31,10 +32,10 @@ STOP_WORDS = (
 RULES = [
     ("mean word length", "word_chars", "n_words", 2.0, 12.0),
     ("symbols per word", "n_symbols", "n_words", None, 0.1),
-    ("words with a letter", "n_alpha_words", "n_words", 0.8, None),
+    ("words with a letter", "n_alpha_words", "n_words", 0.6, None),
     ("shouted words", "n_upper_words", "n_words", None, 0.3),
-    ("repeated lines", "n_dup_lines", "n_lines", None, 0.3),
-    ("stop words", "n_stop_words", "n_words", 0.02, None),
+    ("repeated lines", "n_dup_lines", "n_lines", None, 0.5),
+    ("words per stop word and one", "n_words", "n_stop_words_and_one", None, 40.0),
     ("words per line", "n_words", "n_lines", 2.0, None),
 ]
 
@@ -72,14 +73,15 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "row",
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        (F.char_length("text") - F.char_length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.char_length("text") - F.char_length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x)).cast("long").alias("n_lines"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
         F.size(F.filter("words", lambda w: F.upper(w) != F.lower(w))).cast("long").alias("n_alpha_words"),
         F.size(F.filter("words", lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.octet_length(w) > 2)))
         .cast("long").alias("n_upper_words"),
-        F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        (F.size(F.filter("words", lambda w: F.lower(F.btrim(w, F.lit(PUNCTUATION))).isin(STOP_WORDS))) + 1)
+        .cast("long").alias("n_stop_words_and_one"),
     )
 
 

@@ -80,12 +80,12 @@ twice as (select doc_id, g from places group by doc_id, g having count(*) > 1),
 repeats as (select doc_id, count(distinct p) as n
   from (select doc_id, unnest(range(s, s + 5)) as p from places join twice using (doc_id, g)) q group by doc_id),
 m as (select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
-  length(t) - length(translate(t, '#*$%&|<>', '')) as n_symbols, len(lines) as n_lines,
+  length(t) - length(translate(t, '{quality_rules.SYMBOLS}', '')) as n_symbols, len(lines) as n_lines,
   len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n, 0) as n_repeat_words,
   len(list_filter(w, lambda x: upper(x) <> lower(x))) as n_alpha_words,
   len(list_filter(w, lambda x: upper(x) = x and lower(x) <> x and strlen(x) > 2)) as n_upper_words,
-  len(list_filter(w, lambda x: lower(x) in ({', '.join(f"'{w}'" for w in dict.fromkeys(quality_rules.STOP_WORDS))})))
-    as n_stop_words
+  1 + len(list_filter(w, lambda x: lower(trim(x, '{quality_rules.PUNCTUATION}')) in
+    ({', '.join(f"'{w}'" for w in dict.fromkeys(quality_rules.STOP_WORDS))}))) as n_stop_words_and_one
   from d left join repeats using (doc_id)),
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars,
