@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tracewright.session import materialised
+
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -66,3 +68,12 @@ def with_python_columns(
                        *(c.alias(f"in_{n}") for n, c in inputs.items()))
     schema = T.StructType([packed.schema["row"], *(T.StructField(n, t) for n, t in fields)])
     return packed.mapInArrow(run, schema)
+
+
+FEW_ROWS = 1_000_000  # of short columns such as ids: at most some 16 MB
+
+
+def few_or_joined(keys: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """keys, written once and counted; marked for broadcast if there are few, else left to a shuffled join."""
+    keys = materialised(keys)
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys

@@ -35,45 +35,45 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_BYTES).split() if text else []
 
 
-class PatternTable:
+def pattern_table(m: int, patterns: dict[tuple, set[str]]) -> dict:
     """Shift and bucket tables of patterns that all have m words."""
-
-    def __init__(self, m: int, patterns: dict[tuple, set[str]]):
-        self.m, self.block = m, min(2, m)
-        self.far = m - self.block + 1
-        self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, list[tuple[tuple, set[str]]]] = {}
-        for pattern, items in patterns.items():
-            for end in range(self.block, m + 1):
-                at = pattern[end - self.block:end]
-                self.shift[at] = min(self.shift.get(at, self.far), m - end)
-            self.buckets.setdefault(pattern[m - self.block:], []).append((pattern, items))
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, set[str]]]:
-        """Start and items of each occurrence."""
-        m, block, far, shift = self.m, self.block, self.far, self.shift
-        end, n = m, len(words)
-        while end <= n:
-            at = tuple(words[end - block:end])
-            step = shift.get(at, far)
-            if step:
-                end += step
-                continue
-            here = tuple(words[end - m:end])
-            for pattern, items in self.buckets[at]:
-                if pattern == here:
-                    yield end - m, items
-            end += 1
-
-
-def compile_items(items: Iterable[tuple[str, str | None]], window: int = WINDOW) -> list[PatternTable]:
+    block = min(2, m)
+    far = m - block + 1
+    shift: dict[tuple, int] = {}
+    buckets: dict[tuple, list[tuple[tuple, set[str]]]] = {}
+    for pattern, items in patterns.items():
+        for end in range(block, m + 1):
+            at = pattern[end - block:end]
+            shift[at] = min(shift.get(at, far), m - end)
+        buckets.setdefault(pattern[m - block:], []).append((pattern, items))
+    return {"m": m, "block": block, "far": far, "shift": shift, "buckets": buckets}
+
+
+def occurrences(table: dict, words: list[bytes]) -> Iterator[tuple[int, set[str]]]:
+    """Start and items of each occurrence of a pattern of the table."""
+    m, block, far, shift, buckets = (table[k] for k in ("m", "block", "far", "shift", "buckets"))
+    end, n = m, len(words)
+    while end <= n:
+        at = tuple(words[end - block:end])
+        step = shift.get(at, far)
+        if step:
+            end += step
+            continue
+        here = tuple(words[end - m:end])
+        for pattern, items in buckets[at]:
+            if pattern == here:
+                yield end - m, items
+        end += 1
+
+
+def compile_items(items: Iterable[tuple[str, str | None]], window: int = WINDOW) -> list[dict]:
     by_length: dict[int, dict[tuple, set[str]]] = {}
     for item_id, text in items:
         words = words_of(text)
         m = min(window, len(words))
         for start in range(len(words) - m + 1 if m else 0):
             by_length.setdefault(m, {}).setdefault(tuple(words[start:start + m]), set()).add(item_id)
-    return [PatternTable(m, patterns) for m, patterns in sorted(by_length.items())]
+    return [pattern_table(m, patterns) for m, patterns in sorted(by_length.items())]
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -120,8 +120,8 @@ def find_items(
                 spans = [] if first else [tuple(s) for s in row["spans"]]
                 found = set() if first else set(row["items"])
                 for t in tables.value:
-                    for start, which in t.search(words):
-                        spans.append((start, start + t.m))
+                    for start, which in occurrences(t, words):
+                        spans.append((start, start + t["m"]))
                         found |= which
                 yield {"n_words": len(words), "spans": merged(spans), "items": sorted(found)}
 

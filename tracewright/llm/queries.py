@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontaminate, quality_rules
+from tracewright.llm import decontaminate, ngram_join, quality_rules, substring_dedup
 from tracewright.llm.common import table
 
 QUERIES = {}
@@ -17,6 +17,28 @@ def query(fn):
     return fn
 
 
+# ---- 1: substring dedup --------------------------------------------------------------------------------
+
+
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.without_repeats(table(spark, sf_dir, "documents")))
+
+
+SQL["op1_substring_dedup"] = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+places as (select doc_id, s, md5(array_to_string(w[s:s + 49], ' ')) as g
+  from (select doc_id, w, unnest(range(1, len(w) - 48)) as s from d where len(w) >= 50) q),
+firsts as (select g, min(doc_id) as first from places group by g),
+gone as (select doc_id, list(distinct p) as ps
+  from (select doc_id, unnest(range(s, s + 50)) as p from places join firsts using (g) where first < doc_id) q
+  group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(ps), 0) as bigint) as n_removed,
+  sha256(array_to_string(case when ps is null then w
+    else list_filter(w, lambda x, i: not list_contains(ps, i)) end, ' ')) as kept_sha256
+from d left join gone on gone.doc_id = d.doc_id"""
+
+
 # ---- 4: benchmark decontamination ----------------------------------------------------------------------
 
 
@@ -92,3 +114,27 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
   cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
   cast(n_repeat_words as bigint) as n_repeat_words, base_failed, not base_failed and {_rules_sql()} as kept
 from b"""
+
+
+# ---- 10: n-gram Jaccard join ---------------------------------------------------------------------------
+
+
+@query
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL["op10_ngram_jaccard_join"] = rf"""
+with recursive d as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') as w
+  from documents),
+sets as (select distinct doc_id, array_to_string(w[s:s + m - 1], ' ') as g
+  from (select doc_id, w, least(5, len(w)) as m, unnest(range(1, len(w) - least(5, len(w)) + 2)) as s
+    from d where len(w) > 0) q),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+common as (select a.doc_id as x, b.doc_id as y, count(*) as c from sets a join sets b using (g)
+  where a.doc_id <> b.doc_id group by 1, 2),
+links as (select x, y from common join sizes a on a.doc_id = x join sizes b on b.doc_id = y
+  where 100 * c >= 75 * (a.n + b.n - c)),
+reach(doc_id, seen) as (select doc_id, doc_id from d union select r.doc_id, y from reach r join links on x = seen)
+select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id
+from (select doc_id, min(seen) as component_id from reach group by doc_id) r left join sizes using (doc_id)"""
