@@ -90,3 +90,44 @@ def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
         x = pick(x[:-size], x[size:])
         size *= 2
     return pick(x[:len(x) - (width - size)], x[width - size:]) if size < width else x
+
+
+_KIND = np.full(256, 3, np.int8)  # symbols
+_KIND[_SPACE] = 0
+_KIND[[b for b in range(256) if chr(b).isascii() and chr(b).isalpha() or b >= 0x80]] = 1
+_KIND[list(range(0x30, 0x3A))] = 2
+
+
+def token_runs(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, kinds, bytes and capitals of the runs of letters (1), digits (2) and symbols (3).
+
+    All bytes of other alphabets count as letters; capitals are A-Z. A text is cut into slices at white space.
+    """
+    data = (text or "").encode("utf-8", "surrogatepass")
+    parts, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + _CHUNK)
+        while end < len(data) and not _SPACE[data[end]]:
+            end += 1
+        parts.append(_runs(data[at:end]))
+        at = end
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def _runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(data, np.uint8)
+    kind = _KIND[raw]
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(kind)) + 1])
+    ends = np.append(starts[1:], len(raw))
+    inside = kind[starts] > 0
+    starts, ends = starts[inside], ends[inside]
+    power, inverse = _power_tables(len(raw))
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:len(raw)], out=sums[1:])
+        codes = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    upper = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((raw >= 65) & (raw <= 90), out=upper[1:])
+    return codes, kind[starts], ends - starts, upper[ends] - upper[starts]

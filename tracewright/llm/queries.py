@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import decontaminate, ngram_join, quality_rules, substring_dedup
-from tracewright.llm.common import table
+from tracewright.llm import (
+    decontaminate,
+    language_id,
+    ngram_join,
+    quality_classifier,
+    quality_rules,
+    substring_dedup,
+)
+from tracewright.llm.common import remainder_of_id, table
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -71,6 +78,18 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
 from d left join covered using (doc_id) left join found using (doc_id)"""
 
 
+# ---- 5: language identification ------------------------------------------------------------------------
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(remainder_of_id("doc_id", 4) != 2))
+    return language_id.predicted(docs.select("doc_id", "text"), model).select(
+        F.col("row.doc_id").alias("doc_id"), (remainder_of_id("row.doc_id", 4) == 2).alias("held_out"), "lang_pred",
+        "score")
+
+
 # ---- 7: quality rules ----------------------------------------------------------------------------------
 
 
@@ -116,6 +135,18 @@ select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as
 from b"""
 
 
+# ---- 8: quality classifier -----------------------------------------------------------------------------
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(remainder_of_id("doc_id", 3) != 1)
+    return quality_classifier.scored(docs.select("doc_id", "text"), quality_classifier.train(docs, labels)).select(
+        F.col("row.doc_id").alias("doc_id"), (remainder_of_id("row.doc_id", 3) == 1).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 # ---- 10: n-gram Jaccard join ---------------------------------------------------------------------------
 
 
