@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import (
     decontaminate,
+    html_extract,
     language_id,
     ngram_join,
     quality_classifier,
     quality_rules,
     substring_dedup,
+    url_filter,
 )
 from tracewright.llm.common import remainder_of_id, table
 
@@ -46,6 +48,17 @@ select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(len(ps), 0) as
 from d left join gone on gone.doc_id = d.doc_id"""
 
 
+# ---- 2: HTML extraction --------------------------------------------------------------------------------
+
+
+@query
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_extract.extracted(pages.select("page_id", "url", "html"), html_extract.learn(pages))
+    return found.select(F.col("row.page_id").alias("page_id"), F.col("row.url").alias("url"), F.col("main").alias("text"),
+                        F.char_length("main").cast("long").alias("n_chars"))
+
+
 # ---- 4: benchmark decontamination ----------------------------------------------------------------------
 
 
@@ -90,6 +103,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score")
 
 
+# ---- 6: URL filter -------------------------------------------------------------------------------------
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = url_filter.judged(pages.select("page_id", "url"), url_filter.unigrams(pages))
+    return found.select(F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 # ---- 7: quality rules ----------------------------------------------------------------------------------
 
 
