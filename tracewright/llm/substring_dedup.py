@@ -5,12 +5,12 @@ starts in a document with a smaller id. Three steps, of which none looks at pair
 
 1. Confirm recurring passages. Each window has an anchor: of its 16-word phrases the one with the least hash, so
    equal windows have equal anchors and neighbours mostly share one (about one anchor in 18 words). Anchors of two or
-   more documents are recurring, and only windows with such an anchor can repeat. Their 128-bit hashes are grouped, with partial
+   more documents are recurring, and only windows with such an anchor can repeat. Their 96-bit hashes are grouped, with partial
    sums, and each learns the smallest document it starts in. Documents that equal an earlier one as a whole skip this.
 2. Compile sharded automata. A run of confirmed windows is covered by few of them, end to end. Those phrases, cut from
    the text, are the patterns of an Aho-Corasick automaton; a shard is a slice of documents with their phrases, of
    bounded size.
-3. Stream all documents of the shard through its automaton. Every occurrence of a phrase in a document with an id above
+3. Stream the documents of the shard that have confirmed windows through its automaton. Every occurrence of a phrase in a document with an id above
    the phrase's first document marks its words.
 
 Frequent passages stay harmless: grouping has partial aggregates, and joins that bring a result back to many rows are
@@ -82,12 +82,12 @@ def _anchor_lists(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(whole[0], pa.int64()),
                  pa.array(whole[1], pa.int64()), pa.array(lists, pa.list_(pa.int64()))], schema=arrow)
 
-    return docs.select("id", "key", "text").mapInArrow(run, schema)
+    return docs.select("id", "key", "_text").mapInArrow(run, schema)
 
 
 def _candidates(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     """(id, key, windows): hashes and starts of the windows whose anchors recur; docs has `recurring` lists."""
-    entry = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()),
+    entry = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.IntegerType()),
                           T.StructField("at", T.IntegerType())])
     schema = T.StructType([docs.schema["id"], T.StructField("key", T.LongType()),
                            T.StructField("windows", T.ArrayType(entry))])
@@ -95,8 +95,8 @@ def _candidates(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
     def of(codes: np.ndarray, recurring: np.ndarray) -> list[np.ndarray]:
         starts = np.flatnonzero(np.isin(window_anchors(codes, window, anchor), recurring))
-        h = [run_hashes(codes, window, base)[starts].view(np.int64) for base in BASES]
-        return [*h, starts.astype(np.int32)]
+        h1, h2 = (mixed(run_hashes(codes, window, base)[starts]) for base in BASES)
+        return [h1.view(np.int64), h2.astype(np.uint32).view(np.int32), starts.astype(np.int32)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,17 +110,17 @@ def _candidates(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                     else:
                         sizes.append(0)
             columns = [np.concatenate(c) for c in zip(*parts)] if parts else [
-                np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)]
+                np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)]
             structs = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["h1", "h2", "at"])
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), structs)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), lists.cast(arrow.field("windows").type)], schema=arrow)
 
-    return docs.select("id", "key", "text", "recurring").mapInArrow(run, schema).where(F.size("windows") > 0)
+    return docs.select("id", "key", "_text", "recurring").mapInArrow(run, schema).where(F.size("windows") > 0)
 
 
 def confirmed_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(id, key, first, windows): for documents (id, key, text) what a smaller document has, too.
+    """(id, key, first, windows): for documents (id, key, _text) what a smaller document has, too.
 
     first is the smallest id with the same whole text, if it is smaller; otherwise windows lists (at, owner): the start
     of each window that also starts in a smaller document, and the smallest such document.
@@ -134,8 +134,9 @@ def confirmed_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     recurring = one.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     marks = one.join(recurring.select("anchor"), "anchor").groupBy("id", "key").agg(
         F.collect_set("anchor").alias("recurring"))
+    # Not written: the texts are shuffled once, and the windows come out of that shuffle once for each use.
     marked = docs.where("id is not null").join(marks, ["id", "key"]).join(copies, ["id", "key"], "left_anti")
-    windows = materialised(_candidates(marked, window, anchor))
+    windows = _candidates(marked, window, anchor)
 
     each = windows.select("id", "key", F.inline("windows"))
     owners = each.groupBy("h1", "h2").agg(F.min("id").alias("owner"), F.max("id").alias("hi")).where("owner < hi")
@@ -176,7 +177,7 @@ class Shard:
         for phrase, owner in phrases(words, first, windows, self.window):
             if phrase not in self.phrases or owner < self.phrases[phrase]:
                 self.phrases[phrase] = owner
-        self.docs.append((doc_id, words))
+        self.docs.append((doc_id, words, first is not None or windows is not None))
         self.chars += len(text or "")
 
     def removed(self) -> Iterator[tuple[list[str], np.ndarray]]:
@@ -186,9 +187,9 @@ class Shard:
             automaton.add_word(phrase, owner)
         if self.phrases:
             automaton.make_automaton()
-        for doc_id, words in self.docs:
+        for doc_id, words, repeats in self.docs:  # without a confirmed window there is nothing to find
             gone = np.zeros(len(words) + 1, np.int64)
-            if self.phrases and doc_id is not None and len(words) >= self.window:
+            if repeats:
                 ends = np.cumsum([len(w) + 1 for w in words])  # of the space behind each word
                 for end, owner in automaton.iter(" " + " ".join(words) + " "):
                     if owner < doc_id:
@@ -207,9 +208,12 @@ def without_repeats(
     shard_chars: int = SHARD_CHARS,
 ) -> DataFrame:
     """(id_col, n_words, spans, kept): removed word spans [start, end), and the words left, joined by one space."""
-    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn(
-        "key", F.xxhash64(F.lit(2), "id", "text"))
-    found = base.join(confirmed_windows(base, window, anchor), ["id", "key"], "left").select("id", "text", "first", "windows")
+    # A name of its own for the text: a column that keeps its name makes the two uses of the shuffled texts look different.
+    base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("_text")).withColumn(
+        "key", F.xxhash64(F.lit(2), "id", "_text"))
+    known = confirmed_windows(base, window, anchor)
+    found = base.where("id is not null").join(known, ["id", "key"], "left").select("id", "_text", "first", "windows")
+    found = found.unionByName(base.where("id is null").select("id", "_text"), allowMissingColumns=True)
     schema = T.StructType([
         T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()),
         T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("kept", T.StringType()),
@@ -218,7 +222,7 @@ def without_repeats(
 
     def finished(shard: Shard) -> pa.RecordBatch:
         rows = []
-        for (doc_id, _), (words, gone) in zip(shard.docs, shard.removed()):
+        for (doc_id, *_), (words, gone) in zip(shard.docs, shard.removed()):
             edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
             rows.append((doc_id, len(words), edges.reshape(-1, 2).tolist(),
                          " ".join(w for w, g in zip(words, gone) if not g)))
