@@ -9,6 +9,8 @@ from tracewright.llm import (
     decontaminate,
     html_extract,
     language_id,
+    line_dedup,
+    mixing,
     ngram_join,
     quality_classifier,
     quality_rules,
@@ -59,6 +61,39 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.char_length("main").cast("long").alias("n_chars"))
 
 
+# ---- 3: line dedup -------------------------------------------------------------------------------------
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_lines(table(spark, sf_dir, "documents")).select(
+        F.col("row.doc_id").alias("doc_id"), "n_lines",
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+# For one edit: equal without the character at one place, or one text equal to the other without a character.
+SQL["op3_line_dedup"] = rf"""
+with d as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
+lines as (select doc_id, i as no, ls[i] as line, regexp_matches(ls[i], '[^\x20\x09-\x0D]') as has_word
+  from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from d) q),
+texts as (select line, min(struct_pack(d := doc_id, n := no)) as first from lines where has_word group by line),
+long as (select line, first, length(line) as n from texts where length(line) >= {line_dedup.LEAST}),
+cut as (select line, first, n, i, left(line, i - 1) || substr(line, i + 1) as rest
+  from (select line, first, n, unnest(range(1, n + 1)) as i from long) q),
+near as (select a.line from cut a join cut b on a.i = b.i and a.rest = b.rest and b.line <> a.line where b.first < a.first
+  union select a.line from cut a join long b on a.rest = b.line where b.first < a.first
+  union select b.line from cut a join long b on a.rest = b.line where a.first < b.first),
+marked as (select doc_id, no, l.line, has_word,
+  has_word and (struct_pack(d := doc_id, n := no) <> t.first or x.line is not null) as gone
+  from lines l left join texts t on t.line = l.line and has_word left join near x on x.line = l.line and has_word),
+kept as (select doc_id, count(*) filter (has_word) as n_lines, count(*) filter (gone) as n_removed,
+  coalesce(string_agg(line, chr(10) order by no) filter (not gone), '') as kept from marked group by doc_id)
+select doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+  sha256(coalesce(kept, '')) as kept_sha256
+from documents left join kept using (doc_id)"""
+
+
 # ---- 4: benchmark decontamination ----------------------------------------------------------------------
 
 
@@ -170,6 +205,49 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+# ---- 9: mixing sources to target weights ---------------------------------------------------------------
+
+
+@query
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(table(spark, sf_dir, "documents")).select(
+        F.col("row.doc_id").alias("doc_id"), "tokens", "topic", F.round("weight", 6).alias("weight"),
+        F.round("probability", 6).alias("probability"), "kept")
+
+
+def _mixing_sql() -> str:
+    topic = " ".join(f"when regexp_matches(coalesce(text, ''), '{p}') then '{t}'" for t, p in mixing.TOPICS)
+    parts = [f"""docs as (select doc_id, coalesce(source, '') as source, coalesce(lang, '') as lang,
+  case {topic} else '{mixing.NO_TOPIC}' end as topic, cast(len({_WS_WORDS.format('text')}) as bigint) as tokens,
+  cast(('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null')), 1, 13)) as bigint) / {float(1 << 52)!r} as u
+  from documents)""", """cells as (select source, lang, topic, sum(tokens) as tokens from docs group by all having sum(tokens) > 0)""",
+             "w0 as (select *, cast(tokens as double) as weight from cells)"]
+    for dim, power in mixing.POWERS.items():
+        parts.append(f"""target_{dim} as (select {dim}, share / sum(share) over () as target from (select {dim},
+  power(sum(tokens) / (select sum(tokens) from cells), {power}) as share from cells group by {dim}) q)""")
+    at = 0
+    for _ in range(mixing.ROUNDS):
+        for dim in mixing.POWERS:
+            parts.append(f"""w{at + 1} as (select w.* replace (weight * target / sum(weight) over (partition by w.{dim}) as weight)
+  from w{at} w join target_{dim} t on t.{dim} = w.{dim})""")
+            at += 1
+    # As a document's probability grows with weight / tokens, the full cells are the first ones in that order.
+    parts.append(f"""ranked as (select *, coalesce(sum(tokens) over before, 0) as full_tokens, coalesce(sum(weight) over after, 0) as open_weight
+  from w{at} window before as (order by weight / tokens desc, source, lang, topic rows between unbounded preceding and 1 preceding),
+  after as (order by weight / tokens desc, source, lang, topic rows between current row and unbounded following))""")
+    parts.append(f"""scale as (select arg_min(({mixing.BUDGET} * (select sum(tokens) from cells) - full_tokens) / open_weight, full_tokens) as c
+  from ranked
+  where weight * ({mixing.BUDGET} * (select sum(tokens) from cells) - full_tokens) / open_weight < tokens)""")
+    parts.append(f"fitted as (select source, lang, topic, weight, least(1.0, c * weight / tokens) as p from w{at}, scale)")
+    return "with " + ",\n".join(parts) + """
+select doc_id, tokens, topic, round(coalesce(weight, 0), 6) as weight, round(coalesce(p, 1), 6) as probability,
+  u < coalesce(p, 1) as kept
+from docs left join fitted using (source, lang, topic)"""
+
+
+SQL["op9_source_mixing"] = _mixing_sql()
+
+
 # ---- 10: n-gram Jaccard join ---------------------------------------------------------------------------
 
 
