@@ -3,7 +3,7 @@
 * A rule (verdict, host, path) fits its host and all subdomains whose path starts with the rule's; the longest wins.
 * Names are split into words by Viterbi search over a unigram model: the words of page titles, counted over all pages and
   cut to the VOCABULARY most frequent, together with the seed words, which have at least a thousandth of the mass each.
-  Letters that no word explains cost more the longer they are.
+  Letters that no word explains cost more the longer they are, and come out as one piece.
 * A multinomial naive Bayes classifier, trained on a short list of seed names, scores the words of host and path. Words
   outside its vocabulary say nothing.
 
@@ -94,22 +94,30 @@ def unigram_model(counts: dict[str, int]) -> dict[str, float]:
 
 
 def segmented(name: str, model: dict[str, float], longest: int = LONGEST) -> list[str]:
-    """The likeliest words whose concatenation is name; letters without a word come as one-letter words."""
+    """The likeliest words whose concatenation is name; letters without a word come together as one.
+
+    A single letter is a word only if it is the whole name.
+    """
     unknown = min(model.values(), default=0.0) - math.log(10)
     best, back = [0.0], [0]
     for end in range(1, len(name) + 1):
         top, start = -math.inf, end - 1
         for s in range(max(0, end - longest), end):
-            part = model.get(name[s:end])
+            part = model.get(name[s:end]) if end - s > 1 or len(name) == 1 else None
             if part is None:
                 part = unknown * (end - s) if end - s == 1 else -math.inf
             if best[s] + part > top:
                 top, start = best[s] + part, s
         best.append(top)
         back.append(start)
-    out, end = [], len(name)
+    out, end, loose = [], len(name), False
     while end:
-        out.append(name[back[end]:end])
+        piece = name[back[end]:end]
+        if len(piece) == 1 and loose:
+            out[-1] = piece + out[-1]
+        else:
+            out.append(piece)
+        loose = len(piece) == 1
         end = back[end]
     return out[::-1]
 
