@@ -93,6 +93,21 @@ def test_large_models_are_joined(samples, monkeypatch):
     assert sorted(small) == sorted(large) and len(small) == 2 * N
 
 
+def test_joined_models_keep_equal_and_empty_samples(samples, monkeypatch):
+    one = samples.filter("sample_id = 95").withColumn("batch", F.lit(0))
+    asked = one.unionByName(one).unionByName(one.withColumn("features", F.array().cast("array<double>")))
+    model = samples.sparkSession.createDataFrame(
+        [(0, 1, "a", -0.5, [-1.0, -2.0]), (0, 1, "b", -1.0, [-2.0, -0.5])],
+        "batch int, param int, class_name string, log_prior double, log_theta array<double>")
+
+    def listed():
+        return sorted(str([(s.class_name, round(s.score, 9)) for s in sorted(r.scores)]) for r in bayes.scored(asked, model).collect())
+
+    small = listed()
+    monkeypatch.setattr(bayes, "MAX_MODEL_NUMBERS", 1)
+    assert listed() == small and len(small) == 3
+
+
 def test_bayes_of_the_ml_library(samples):
     train, test = samples.filter("sample_id < 90"), samples.filter("sample_id >= 90")
     exact = {r.sample_id: r.predicted for r in bayes.predictions(bayes.fit_predict(train, test)).collect()}
@@ -250,6 +265,22 @@ def test_micro_clusters(spark):
     assert accuracy.majority_accuracy == 1.0
 
 
+def test_as_many_clusters_as_asked(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, str(i % 30), rng.normal(size=2).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "sample_id bigint, class_name string, features array<double>")
+    assert cluster.cluster_assign(df, micro=20).select("cluster").distinct().count() == 30
+
+
+def test_separating_features_rank_first(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, str(i % 2), [float(rng.normal()), 0.1 * (i % 2) + 0.3, 1 / 3, i % 2 + 1e-3 * rng.normal()]) for i in range(60)]
+    df = spark.createDataFrame(rows, "sample_id bigint, class_name string, features array<double>")
+    got = {r.rank: r.j for r in reduce.anova_f(df).collect()}
+    first = min(got.values())
+    assert [got[k] - first for k in (1, 2, 3, 4)] == [1, 3, 0, 2]
+
+
 # ---- Markov models -------------------------------------------------------------------------------------
 
 

@@ -128,3 +128,16 @@ def test_salted_join_refuses_right_joins(spark, skewed):
     df = spark.createDataFrame(skewed).repartition(5)
     with pytest.raises(ValueError):
         salted_join(df, df, ["k"], ["v"], "full")
+
+
+def test_keys_of_two_types_join_alike(spark, skewed):
+    left = spark.createDataFrame(skewed).select(F.when(F.col("k") == "hot", 7).otherwise(F.col("v")).cast("int").alias("k"), "v")
+    right = left.select(F.col("k").cast("bigint").alias("k"), (F.col("v") * 2).alias("w")).dropDuplicates(["k"])
+    assert heavy_keys(left, ["k"], ["v"])
+    assert salted_join(left, right, ["k"], ["v"]).count() == left.join(right, ["k"]).count()
+
+
+def test_rows_of_a_null_key_are_numbered_through(spark, skewed):
+    df = spark.createDataFrame(skewed).withColumn("k", F.when(F.col("k") != "hot", F.col("k"))).repartition(5)
+    got = row_numbers(df, ["k"], ["v"], "n").filter("k is null").select("v", "n").collect()
+    assert sorted(got) == [(v, i + 1) for i, v in enumerate(sorted(r.v for r in got))] and len(got) == 4000

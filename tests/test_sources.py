@@ -156,3 +156,9 @@ def test_new_traces_are_processed_once(spark, tmp_path):
 def test_runs(spark):
     df = spark.createDataFrame([("ok",), ("Failed",), ("Segmentation fault",)], "t string")
     assert [r.t for r in traces.successful_runs(df, "t").collect()] == ["ok"]
+
+
+def test_escapes_of_arguments(spark):
+    rows = [(r"a\x41\n\\\102\351", "aA\n\\B\u00e9"), (r"\q\x4", r"\q\x4"), ("plain", "plain"), ("", "")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.select(logs.unescaped(F.col("a")).alias("a"), "b").filter("a <> b").collect() == []

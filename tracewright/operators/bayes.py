@@ -118,25 +118,25 @@ def scored(samples: DataFrame, model_rows: DataFrame) -> DataFrame:
 
 
 def _scored_by_join(samples: DataFrame, model_rows: DataFrame) -> DataFrame:
-    """The same with one row per sample, parameter and feature, joined to the model's numbers of the feature."""
+    """The same with one row per sample, parameter and feature, joined to the model's numbers of the feature.
+
+    Samples get a number of their own, so equal ones stay apart; what no feature adds to scores the prior.
+    """
     cols = [c for c in samples.columns if c != "features"]
-    cells = exploded(samples, cols, F.col("features"), "_x", "_j")
-    numbers = exploded(
-        model_rows, ["batch", "param", "class_name", "log_prior"], F.col("log_theta"), "_theta", "_j"
-    )
-    of_feature = numbers.groupBy("batch", "_j", "param").agg(
-        F.collect_list(F.struct("class_name", "log_prior", "_theta")).alias("_classes")
-    )
-    met = salted_join(cells, of_feature, ["batch", "_j"], ["sample_id", "_j"])
-    parts = met.select(*cols, "param", "_x", F.explode_outer("_classes").alias("_c"))
-    sums = parts.groupBy(*cols, "param", F.col("_c.class_name").alias("_name")).agg(
-        (F.max("_c.log_prior") + F.sum(F.col("_x") * F.col("_c._theta"))).alias("_score")
-    )
-    return sums.groupBy(*cols, "param").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_name").alias("class_name"), F.col("_score").alias("score")))).alias(
-            "scores"
-        )
-    )
+    samples = materialised(samples.withColumn("_row", F.monotonically_increasing_id()))
+    cells = exploded(samples, ["_row", "batch"], F.col("features"), "_x", "_j")
+    numbers = exploded(model_rows, ["batch", "param", "class_name"], F.col("log_theta"), "_theta", "_j")
+    of_feature = numbers.groupBy("batch", "_j", "param").agg(F.collect_list(F.struct("class_name", "_theta")).alias("_classes"))
+    met = salted_join(cells, of_feature, ["batch", "_j"], ["_row", "_j"])
+    parts = met.select("_row", "param", "_x", F.explode("_classes").alias("_c"))
+    sums = parts.groupBy("_row", "param", F.col("_c.class_name").alias("_name")).agg(
+        F.sum(F.col("_x") * F.col("_c._theta")).alias("_sum"))
+    priors = model_rows.select("batch", "param", F.col("class_name").alias("_name"), "log_prior")
+    asked = samples.drop("features").join(priors, "batch", "left").join(sums, ["_row", "param", "_name"], "left")
+    score = F.struct(F.col("_name").alias("class_name"), (F.col("log_prior") + F.coalesce("_sum", F.lit(0.0))).alias("score"))
+    listed = asked.groupBy("_row", *cols, "param").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_name").isNotNull(), score))).alias("scores"))
+    return listed.select(*cols, "param", F.when(F.size("scores") > 0, F.col("scores")).alias("scores"))
 
 
 def best_class(scores: Column) -> Column:

@@ -49,12 +49,13 @@ def cluster_assign(
 ) -> DataFrame:
     """samples (sample_id, class_name, features) with cluster, 0 .. n_clusters - 1.
 
-    Samples are first gathered in at most `micro` k-means clusters, whose sizes and means are then merged
+    Samples are first gathered in at most `micro` k-means clusters, twice n_clusters at least, whose sizes and means are then merged
     by Ward's criterion.  With no more than `micro` distinct vectors each is its own micro cluster, which
     makes the result that of plain Ward clustering.  bisecting finds the micro clusters by halving.
     """
     if n_clusters is None:
         n_clusters = samples.select("class_name").distinct().count()
+    micro = max(micro, 2 * n_clusters)
     few = _distinct_vectors(samples, micro)
     if few is not None:
         order = sorted(few)

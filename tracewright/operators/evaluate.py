@@ -50,10 +50,10 @@ def confusion_long(trends: DataFrame, by: list[str] = ["param"]) -> DataFrame:
     return cells.join(trends, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
-def confusion_pivot(cells: DataFrame, classes: list[str]) -> DataFrame:
-    """Matrix with one column per predicted class, for one parameter's cells."""
+def confusion_pivot(cells: DataFrame, classes: list[str], by: list[str] = []) -> DataFrame:
+    """Matrix with one column per predicted class; by are the columns that tell matrices apart."""
     return (
-        cells.groupBy("class_name").pivot("predicted", classes).agg(F.sum("n")).na.fill(0, subset=classes)
+        cells.groupBy(*by, "class_name").pivot("predicted", classes).agg(F.sum("n")).na.fill(0, subset=classes)
     )
 
 

@@ -48,10 +48,15 @@ def class_counts(samples: DataFrame, by: list[str]) -> DataFrame:
 # ---- ANOVA ---------------------------------------------------------------------------------------------
 
 
+ZERO_SHARE = 1e-12  # of the sum of squares: what is no more counts as 0
+
+
 def anova(sums: DataFrame, counts: DataFrame, by: list[str] = []) -> DataFrame:
     """(*by, j, f_score, rank): F of between-class against within-class variance, best rank 1.
 
-    Features without a score (no variance at all) come last; of equal scores the higher feature wins.
+    A feature whose classes do not vary but differ has an infinite score and so the best rank; one without any variance
+    has no score and comes last.  Of equal scores the higher feature wins.  Sums of squares are told from 0 by a
+    tolerance relative to the feature's own, as the differences of sums seldom cancel exactly.
     """
     totals = counts.groupBy(*by).agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_c"))
     sums = sums.join(counts, [*by, "class_name"]).groupBy(*by, "j").agg(
@@ -61,9 +66,11 @@ def anova(sums: DataFrame, counts: DataFrame, by: list[str] = []) -> DataFrame:
         rows = sums.join(totals, by)
     else:
         rows = sums.withColumn("_t", totals.select(F.struct("_n", "_c")).scalar()).select("*", "_t.*").drop("_t")
-    between = (F.col("_between") - F.col("_s") * F.col("_s") / F.col("_n")) / (F.col("_c") - 1)
-    within = (F.col("_ss") - F.col("_between")) / (F.col("_n") - F.col("_c"))
-    score = F.when(within > 0, between / within)
+    among = F.col("_between") - F.col("_s") * F.col("_s") / F.col("_n")
+    inside = F.col("_ss") - F.col("_between")
+    least = F.col("_ss") * ZERO_SHARE
+    score = F.when(inside > least, (among / (F.col("_c") - 1)) / (inside / (F.col("_n") - F.col("_c")))).when(
+        among > least, F.lit(float("inf")))
     # one row per feature
     rank = F.row_number().over(
         W.partitionBy(*(by or [F.lit(0)])).orderBy(F.round("f_score", 9).desc_nulls_last(), F.desc("j"))

@@ -55,11 +55,14 @@ def parse_trace_lines(lines: DataFrame, start_mark: str | None = START_MARK) ->
     start_mark=None takes every line with '=>'.
     """
     kept = lines.filter(F.col("line").contains("=>"))
-    if start_mark is not None:
+    if start_mark is not None:  # the mark's own line counts from the mark on
         starts = (
             lines.filter(F.col("line").contains(start_mark)).groupBy("sample_id").agg(F.min("step").alias("_start"))
         )
         kept = salted_join(kept, starts, ["sample_id"], ["sample_id", "step"]).filter("step >= _start")
+        of_mark = F.substring(F.col("line"), F.instr("line", start_mark), F.length("line"))
+        kept = kept.withColumn("line", F.when(F.col("step") == F.col("_start"), of_mark).otherwise(F.col("line")))
+        kept = kept.filter(F.col("line").contains("=>"))
     return kept.select(
         "sample_id", "step", line_opcode(F.col("line")).alias("opcode"), line_operands(F.col("line")).alias("operands")
     )

@@ -40,8 +40,10 @@ def _folds(rows: str, key: str, k: int) -> str:
 
 _ANOVA = """sm as (select c, j, count(*) as n, sum(x) as s, sum(x * x) as ss from x group by 1, 2),
 fs as (select j, sum(s * s / n) as b, sum(s) as s, sum(ss) as ss, sum(n) as n, count(*) as k from sm group by 1),
-fr as (select j, ((b - s * s / n) / (k - 1)) / ((ss - b) / (n - k)) as f_score from fs),
-an as (select j, f_score, cast(row_number() over (order by round(f_score, 9) desc, j desc) as bigint) as rank from fr)"""
+fr as (select j, case when ss - b > 1e-12 * ss then ((b - s * s / n) / (k - 1)) / ((ss - b) / (n - k))
+  when b - s * s / n > 1e-12 * ss then cast('infinity' as double) end as f_score from fs),
+an as (select j, f_score, cast(row_number() over (order by round(f_score, 9) desc nulls last, j desc) as bigint) as rank
+  from fr)"""
 
 
 # ---- splits --------------------------------------------------------------------------------------------
@@ -90,6 +92,22 @@ def anova_f(spark, sf):
     return reduce.anova_f(vectors(spark, sf)).withColumn("f_score", F.round("f_score", 6))
 
 
+@query("anova_separating", sql=f"""
+with x0 as (select vec_id as sample_id, cast(label as varchar) as c,
+  list_concat([cast(label as double), 1.0, label + (case when vec_id % 100 = 0 then 0.5 else 0 end)],
+    [cast(v as double) for v in embedding]) as vs from embeddings),
+x as (select sample_id, c, j, vs[j] as x from (select *, unnest(range(1, len(vs) + 1)) as j from x0) q), {_ANOVA}
+select cast(j as bigint) as j, f_score = 'infinity'::double as separates, f_score is null as flat, rank from an""")
+def anova_separating(spark, sf):
+    """A feature that is the label, a constant and a nearly separating one, in front of the vectors."""
+    label = F.col("class_name").cast("double")
+    nearly = label + F.when(F.col("sample_id") % 100 == 0, 0.5).otherwise(0.0)
+    more = vectors(spark, sf).withColumn("features", F.concat(F.array(label, F.lit(1.0), nearly), "features"))
+    scores = reduce.anova_f(more)
+    return scores.select(F.col("j").cast("bigint").alias("j"), (F.col("f_score") == float("inf")).alias("separates"),
+                         F.col("f_score").isNull().alias("flat"), "rank")
+
+
 @query("select_kbest", sql=f"""with {_X}, {_ANOVA}
 select sample_id, cast(row_number() over (partition by sample_id order by x.j) as bigint) as pos, x.x as value
 from x join an on x.j = an.j and an.rank <= 10""")
@@ -288,7 +306,8 @@ ga as (select s.cycle, s.cls, s.j, s.s, s.ss, n.n from ag s join cn n on n.cycle
 gs as (select cycle, j, sum(s * s / n) as b, sum(s) as s, sum(ss) as ss from ga group by 1, 2),
 gn as (select cycle, sum(n) as n, count(*) as k from cn group by 1),
 an as (select cycle, j, row_number() over (partition by cycle order by round(
-         case when ss - b > 0 then ((b - s * s / n) / (k - 1)) / ((ss - b) / (n - k)) end, 9) desc nulls last, j desc) as rank
+         case when ss - b > 1e-12 * ss then ((b - s * s / n) / (k - 1)) / ((ss - b) / (n - k))
+           when b - s * s / n > 1e-12 * ss then cast('infinity' as double) end, 9) desc nulls last, j desc) as rank
        from gs join gn using (cycle)),
 pa as (select cycle, j, p as param from an, (values {", ".join(f"({p})" for p in params)}) t(p) where rank <= p)"""
     masked = "(select cycle, j, 0 as param from (select distinct cycle, j from ag) q)" if params is None else "pa"

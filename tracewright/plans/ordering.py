@@ -113,7 +113,7 @@ def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> tuple[Da
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """row_number() over (partition by keys order by order), bigint, safe for heavy keys.
 
-    Keys must be non-null; rows that tie on order are numbered in any order, as row_number() does.
+    Rows of a null key are one partition; rows that tie on order are numbered in any order, as row_number() does.
     """
     keys = list(keys)
     cut, is_heavy = ranged(df, keys, order)
@@ -131,9 +131,14 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
         .filter(F.col("_before").isNotNull())
         .drop("_n")
     )
+    of_range = F.broadcast(before.select(*(F.col(k).alias(f"_of_{k}") for k in keys), F.col("_range").alias("_of"), "_before"))
+    same = F.col("_range") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
     return (
         cut.withColumn("_local", local)
-        .join(F.broadcast(before), [*keys, "_range"], "left")  # one row per range of a heavy key
+        .join(of_range, same, "left")  # one row per range of a heavy key
+        .drop("_of", *(f"_of_{k}" for k in keys))
         .withColumn(name, F.col("_local") + F.coalesce("_before", F.lit(0)))
         .drop("_local", "_before", "_range")
     )

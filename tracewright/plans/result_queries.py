@@ -37,13 +37,22 @@ def confusion_long(spark, sf):
     return evaluate.confusion_long(evaluate.trend_counts(views.pred(spark, sf)))
 
 
-@query("confusion_pivot", views="pred", sql=f"--ctes\n{_TREND},\n{_CELLS}\nselect class_name, " + ", ".join(
+@query("confusion_pivot", views="pred", sql=f"--ctes\n{_TREND},\n{_CELLS}\nselect param, class_name, " + ", ".join(
     f"cast(sum(case when predicted = '{c}' then n else 0 end) as bigint) as {c}" for c in sorted(CLASSES.split(","))
-) + " from l where param = 8 group by 1")
+) + " from l group by 1, 2")
 def confusion_pivot(spark, sf):
-    """The matrix of parameter 8."""
-    trends = evaluate.trend_counts(views.pred(spark, sf).filter("param = 8"))
-    return evaluate.confusion_pivot(evaluate.confusion_long(trends), sorted(CLASSES.split(",")))
+    """A matrix for each parameter."""
+    trends = evaluate.trend_counts(views.pred(spark, sf))
+    return evaluate.confusion_pivot(evaluate.confusion_long(trends), sorted(CLASSES.split(",")), ["param"])
+
+
+@query("trends_ordered", views="pred", sql=f"""--ctes\n{_TREND}
+select *, cast(row_number() over (order by param, n desc, class_name, predicted) as bigint) as rank from t""")
+def trends_ordered(spark, sf):
+    """The trends in the operator's own order, numbered as they come."""
+    ordered = evaluate.trends_ordered(evaluate.trend_counts(views.pred(spark, sf)))
+    listed = ordered.coalesce(1).select("*", (F.monotonically_increasing_id() + 1).alias("rank"))  # 25 rows a parameter
+    return listed
 
 
 @query("confusion_labels", sql="""

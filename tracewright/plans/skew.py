@@ -18,7 +18,7 @@ def salted_join(
 ) -> DataFrame:
     """Join on keys where a key may hold a large share of the left rows and few of the right.
 
-    The keys must have the same types on both sides.
+    Keys of different types are compared, and dealt to salts, as their common type.
 
     Rows of a heavy left key are dealt to as many salts as the key has sampled rows (about 0.1 % of all
     rows per salt), and the right rows of that key are repeated once per salt.  Other keys keep one salt.
@@ -28,11 +28,13 @@ def salted_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join cannot keep unmatched right rows: {how}")
     keys = list(keys)
-    heavy = heavy_keys(left, keys, row_id)
+    both = left.select(*keys).limit(0).union(right.select(*keys).limit(0)).schema
+    hashed = [F.col(k).cast(both[k].dataType) for k in keys]
+    heavy = heavy_keys(left.withColumns(dict(zip(keys, hashed))), keys, row_id)
     if not heavy:
         return left.join(right, keys, how)
     of_key = F.create_map(*[F.lit(v) for pair in heavy.items() for v in pair])
-    salts = F.coalesce(F.try_element_at(of_key, F.hash(*keys)), F.lit(1))
+    salts = F.coalesce(F.try_element_at(of_key, F.hash(*hashed)), F.lit(1))
     dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*row_id), salts).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return dealt.join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -72,13 +72,15 @@ def nominal_vector(spark, sf):
 
 @query("nominal_vector_plots", sql="""
 select event_id, cast(1 as bigint) as pos, cast(user_id as varchar) as value from events union all
+select event_id, 2, printf('%.6f', value) from events union all
 select event_id, 3, case when event_type = 'click' then '1' else '0' end from events union all
 select event_id, 4, '''' || event_type || '''' from events""")
 def nominal_vector_plots(spark, sf):
-    """The looser reading; the printed number in place 2 is left out, engines print doubles differently."""
+    """The looser reading; the number in place 2 is printed with six decimals, as engines print doubles differently."""
     items = files.nominal_vector_for_plots(F.col("content"))
     read = _nominal(spark, sf).select("event_id", F.posexplode(items).alias("p", "value"))
-    return read.select("event_id", (F.col("p") + 1).cast("bigint").alias("pos"), "value").filter("pos <> 2")
+    printed = F.when(F.col("p") == 1, F.format_string("%.6f", F.col("value").try_cast("double"))).otherwise(F.col("value"))
+    return read.select("event_id", (F.col("p") + 1).cast("bigint").alias("pos"), printed.alias("value"))
 
 
 @query("sequence_prefix", sql="""
@@ -142,6 +144,15 @@ def testcase_args(spark, sf):
     return logs.testcase_args(views.testcase(spark, sf))
 
 
+@query("testcase_escapes", views="testcase", sql=_ARGS + r"""
+select file_id, line_no, 'A' || chr(10) || '\' || 'B' || chr(233) || arg || '\q' as arg from r""")
+def testcase_escapes(spark, sf):
+    """Arguments with hexadecimal, octal and letter escapes, and one that is none."""
+    lines = views.testcase(spark, sf)
+    escaped = F.regexp_replace("line", "data: '(.*)'$", r"data: '\\x41\\n\\\\\\102\\351$1\\q'")
+    return logs.testcase_args(lines.withColumn("line", escaped))
+
+
 @query("testcase_argument_text", views="testcase", sql=_ARGS + """
 select file_id, cast((line_no - 1) // 1048576 as bigint) as part, string_agg(arg || ' ', '' order by line_no) as args
 from r group by 1, 2""")

@@ -25,6 +25,24 @@ def trace_parse(spark, sf):
     return parsed.withColumn("operands", F.array_join("operands", ","))
 
 
+@query("trace_parse_marked", views="asm gdb", sql="""
+select sample_id, cast(step as bigint) as step,
+  split_part(string_split(line, chr(9))[-1], ' ', 1) as opcode,
+  string_split(string_split(line, chr(9))[-1], ' ')[-1] as operands
+from gdb where contains(line, '=>') and sample_id % 7 <> 0""")
+def trace_parse_marked(spark, sf):
+    """Traces with a start mark, an instruction above it and one in front of it; every seventh trace has no mark."""
+    gdb = views.gdb(spark, sf)
+    heads = gdb.select("sample_id").distinct().select("sample_id", F.explode(F.array(
+        F.struct(F.lit(-1).alias("step"), F.lit("=> 0x1 <pre+1>:\tnop    x").alias("line")),
+        F.struct(F.lit(0).alias("step"), F.when(F.col("sample_id") % 7 != 0, "=> 0x1 <pre+2>:\tnop    y Breakpoint 1, main ()")
+                 .otherwise("=> 0x1 <pre+2>:\tnop    y").alias("line")))).alias("h")).select("sample_id", "h.*")
+    lines = gdb.select("sample_id", F.col("step").cast("bigint").alias("step"), "line").unionByName(
+        heads.withColumn("step", F.col("step").cast("bigint")))
+    parsed = traces.parse_trace_lines(lines)
+    return parsed.withColumn("operands", F.array_join("operands", ","))
+
+
 @query("listing_slice", views="asm listing", sql="""--ctes
 s as (select sample_id, line_no, line, last_value(case when contains(line, '<main>') then true
         when contains(line, '>:') then false end ignore nulls)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.plans.ordering import RUN_LENGTH, carry_forward, segment
@@ -11,11 +11,27 @@ from tracewright.plans.ordering import RUN_LENGTH, carry_forward, segment
 HEADER = r"(?i)(?:tree )?(?:depth|dimensionality): *([0-9]+)"
 
 
+def unescaped(text: Column) -> Column:
+    """Backslash escapes decoded as in string literals: letters, octal and \\xNN; an unknown escape stays as it is."""
+    plain = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "\\": "\\", "'": "'", '"': '"'}
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)\\x[0-9a-fA-F]{2}|\\[0-7]{1,3}|\\.|[^\\]+|\\"), F.lit(0))
+
+    def decoded(piece: Column) -> Column:
+        code = F.when(piece.rlike(r"^\\x"), F.conv(F.substring(piece, 3, 2), 16, 10)).when(
+            piece.rlike(r"^\\[0-7]"), F.conv(F.substring(piece, 2, 3), 8, 10))
+        out = F.when(code.isNotNull(), F.char(code.cast("int")))
+        for letter, character in plain.items():
+            out = out.when(piece == "\\" + letter, character)
+        return out.otherwise(piece)
+
+    return F.when(text.contains("\\"), F.array_join(F.transform(pieces, decoded), "")).otherwise(text)
+
+
 def testcase_args(lines: DataFrame, run_length: int = RUN_LENGTH) -> DataFrame:
     """(file_id, line_no, arg) from the lines (file_id, line_no, line) of test-case logs.
 
     A line with 'arg' (but neither n_args nor --sym-args) arms; the next 'data: ' line gives the argument,
-    without quotes, and disarms.
+    without quotes and with its escapes decoded, and disarms.
     """
     line = F.col("line")
     arms = line.contains("arg") & ~line.contains("n_args") & ~line.contains("--sym-args")
@@ -26,7 +42,7 @@ def testcase_args(lines: DataFrame, run_length: int = RUN_LENGTH) -> DataFrame:
     value = F.replace(
         F.substring(line, F.instr(line, "data: ") + 6, F.length(line)), F.lit("'"), F.lit("")
     )
-    return states.filter(data & (F.col("_armed") == 1)).select("file_id", "line_no", value.alias("arg"))
+    return states.filter(data & (F.col("_armed") == 1)).select("file_id", "line_no", unescaped(value).alias("arg"))
 
 
 def argument_text(args: DataFrame, run_length: int = RUN_LENGTH) -> DataFrame:
