@@ -276,11 +276,11 @@ def test_url_filter(spark):
 
 
 def test_segmentation_is_the_likeliest():
-    model = {"a": -1.0, "ab": -1.5, "b": -2.0, "c": -3.0, "bc": -2.0}
+    model = {"a": -1.0, "ab": -1.5, "b": -2.0, "c": -3.0, "bc": -2.0, "": -9.0}
     assert url_filter.segmented("abbc", model) == ["ab", "bc"]
     assert url_filter.segmented("", model) == []
     assert url_filter.segmented("zyab", model) == ["zy", "ab"]
-    assert url_filter.segmented("abc", {"ab": -1.0, "c": -1.0}) == ["ab", "c"]
+    assert url_filter.segmented("abc", {"ab": -1.0, "c": -1.0, "": -9.0}) == ["ab", "c"]
 
 
 def test_mixing(spark, docs):
@@ -294,7 +294,7 @@ def test_mixing(spark, docs):
     sums = {r.lang: r.t for r in cells.collect()}
     total = out.agg(F.sum("tokens")).first()[0]
     assert abs(sum(sums.values()) / total - 0.4) < 1e-6
-    assert sums["de"] / sums["en"] > 0.7  # a quarter of the documents; cells that are full hold it back
+    assert 0.6 < sums["de"] / sums["en"] < 0.66  # 0.5 against 0.75 ** 0.8
     kept = out.where("kept").agg(F.sum("tokens")).first()[0]
     assert abs(kept / total - 0.4) < 0.05
     assert mixing.mixed_documents(docs).count() == len(corpus())

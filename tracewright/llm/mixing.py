@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import FEW_ROWS, few_or_joined, ws_words
+from tracewright.llm.common import FEW_ROWS, few_or_joined
 from tracewright.session import materialised
 
 ROUNDS = 6
@@ -32,8 +32,8 @@ POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.8}
 
 # (topic, pattern): the first pattern that a text holds names its topic; fixed values.
 TOPICS = [
-    ("licence", r"(?i)licen[sc]ed? under|all rights reserved|copyright"),
-    ("contact", r"[A-Za-z0-9._]+@[A-Za-z0-9.]+|\+[0-9]+ \([0-9]+\)"),
+    ("licence", r"[Ll]icen[sc]ed? under|[Rr]ights reserved|[Cc]opyright"),
+    ("contact", r"@[A-Za-z0-9]|\+[0-9]+ \("),
     ("figures", r"[0-9][0-9]"),
 ]
 NO_TOPIC = "prose"
@@ -115,11 +115,12 @@ def mixed_documents(
 ) -> DataFrame:
     """(row, tokens, topic, weight, probability, kept): each row as a struct with its cell's weight and its verdict."""
     text = F.col(f"`{text_col}`")
+    n_words = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
     packed = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
         F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("source"),
         F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"),
-        topic_of(text).alias("topic"), F.size(ws_words(text)).cast("long").alias("tokens"),
+        topic_of(text).alias("topic"), n_words.cast("long").alias("tokens"),
         fraction(F.col(f"`{id_col}`")).alias("u"))
     dims = list(POWERS)
     cells = materialised(packed.groupBy(*dims).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"))
