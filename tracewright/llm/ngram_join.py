@@ -10,7 +10,7 @@ similarity t or more share one of their first n - ceil(t n) + 1 shingles, the pr
   round 1 verifies each row of a bucket (a shingle, or a group) with one pivot of the bucket. Round 2 verifies all pairs
   of a bucket whose members round 1 has not connected. Every pair that passes the filters is then either verified or
   connected already, so no link between components is lost.
-* The order of shingles comes from one fixed-size table of counts over all documents (2^16 numbers). It only steers how
+* The order of shingles comes from one fixed-size table of counts over all documents (2^20 numbers). It only steers how
   many rows meet: any order that is the same everywhere gives the same links.
 
 Shingles and sets are 64-bit hashes of word sequences.
@@ -38,7 +38,9 @@ from tracewright.session import materialised
 
 SHINGLE = 5
 PERCENT = 75
-SKETCH_BITS = 16
+SKETCH_BITS = 20
+SKETCH_SLICES = 64
+HISTOGRAM = 128
 
 
 # ---- sets ----------------------------------------------------------------------------------------------
@@ -57,36 +59,63 @@ def set_code(shingles: np.ndarray) -> int:
     return int(mixed(np.sum(mixed(shingles ^ np.uint64(BASES[1])), keepdims=True, dtype=np.uint64)).view(np.int64)[0])
 
 
-def _sets_and_counts(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """(id, n, code, slot, count): a row per document, and each task's counts of shingles by the lowest bits."""
-    schema = T.StructType([docs.schema["id"], *(T.StructField(c, T.LongType()) for c in ("n", "code")),
-                           T.StructField("counts", T.ArrayType(T.LongType()))])
+def histogram(shingles: np.ndarray) -> bytes:
+    """How many shingles of a set have each value of their top bits, as HISTOGRAM bytes (255 or more as 255)."""
+    slots = (shingles >> np.uint64(64 - HISTOGRAM.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(slots, minlength=HISTOGRAM), 255).astype(np.uint8).tobytes()
+
+
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """(id, n, code): the size and code of each document's set."""
+    schema = T.StructType([docs.schema["id"], *(T.StructField(c, T.LongType()) for c in ("n", "code"))])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, low = np.zeros(1 << bits, np.int64), np.uint64((1 << bits) - 1)
         with np.errstate(over="ignore"):
             for batch in batches:
-                n, code = [], []
-                for text in batch.column(1):
-                    s = shingle_set(text.as_py(), k)
-                    n.append(len(s))
-                    code.append(set_code(s) if len(s) else 0)
-                    np.add.at(counts, (s & low).astype(np.int64), 1)
+                lists = [shingle_set(text.as_py(), k) for text in batch.column(1)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n, pa.int64()), pa.array(code, pa.int64()),
-                     pa.nulls(len(n), arrow.field("counts").type)], schema=arrow)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, arrow.field(0).type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
-             pa.array([counts], arrow.field("counts").type)], schema=arrow)
+                    [batch.column(0), pa.array([len(s) for s in lists], pa.int64()),
+                     pa.array([set_code(s) if len(s) else 0 for s in lists], pa.int64())], schema=arrow)
 
     return docs.select("id", "text").mapInArrow(run, schema)
 
 
+def shingle_counts(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
+    """How many documents have a shingle with each value of the lowest bits: a table of fixed size."""
+    size = (1 << bits) // SKETCH_SLICES
+    schema = "slice int, counts binary"
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, low = np.zeros(1 << bits, np.int64), np.uint64((1 << bits) - 1)
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for text in batch.column(0):
+                    np.add.at(counts, (shingle_set(text.as_py(), k) & low).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(SKETCH_SLICES), pa.int32()),
+             pa.array([c.astype("<i8").tobytes() for c in counts.reshape(-1, size)], pa.binary())], names=["slice", "counts"])
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[at] = sums.get(at, 0) + np.frombuffer(counts.as_py(), "<i8")
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())],
+            names=["slice", "counts"])
+
+    total = np.zeros((SKETCH_SLICES, size), np.int64)
+    parts = docs.select("text").mapInArrow(count, schema).repartition(SKETCH_SLICES // 4, "slice").mapInArrow(add, schema)
+    for r in parts.toLocalIterator():
+        total[r.slice] += np.frombuffer(r.counts, "<i8")
+    return total.reshape(-1)
+
+
 def _prefixes(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(code, n, grp, prefix): each set's code, size, group and prefix, rare shingles first."""
-    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("code", "n", "grp")),
-                           T.StructField("prefix", T.ArrayType(T.LongType()))])
+    """(id, code, n, grp, hist, prefix): each set's code, size, group, histogram and prefix, rare shingles first."""
+    schema = T.StructType([docs.schema["id"], *(T.StructField(c, T.LongType()) for c in ("code", "n", "grp")),
+                           T.StructField("hist", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
     arrow = to_arrow_schema(schema)
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -95,16 +124,16 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> Data
         with np.errstate(over="ignore"):
             for batch in batches:
                 rows = []
-                for text in batch.column(1):
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                     s = shingle_set(text.as_py(), k)
                     if not len(s):
                         continue
                     size = len(s) - (-(-percent * len(s) // 100)) + 1
                     first = s[np.lexsort((s, df[(s & low).astype(np.int64)]))[:size]]
                     grp = set_code(np.append(first, np.uint64(len(s))))
-                    rows.append((set_code(s), len(s), grp, first.view(np.int64)))
+                    rows.append((doc_id, set_code(s), len(s), grp, histogram(s), first.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 4, arrow.types)], schema=arrow)
+                    [pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * 6, arrow.types)], schema=arrow)
 
     return docs.select("id", "text").mapInArrow(run, schema)
 
@@ -124,8 +153,7 @@ def _whole_sets(docs: DataFrame, codes: DataFrame, sets: DataFrame, k: int) -> D
                      pa.array([s.view(np.int64) for s in lists], arrow.field(1).type)], schema=arrow)
 
     texts = docs.join(few_or_joined(one.select("id").distinct()), "id", "left_semi").select("text")
-    # A repeated id may bring other sets along: one row for each code that was asked for.
-    return texts.mapInArrow(run, schema).dropDuplicates(["code"])
+    return texts.mapInArrow(run, schema)  # repeated ids may repeat a set
 
 
 # ---- links ---------------------------------------------------------------------------------------------
@@ -138,15 +166,36 @@ def _may_link(a: Column, b: Column, percent: int) -> Column:
     return sizes & ((100 + percent) * most >= percent * (a["n"] + b["n"]))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set codes that link."""
-    pairs = materialised(pairs)
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of set codes that link.
+
+    First the histograms of both sets bound what they can have in common, so whole sets are read for likely pairs only.
+    """
+    n, hist = members.select(F.col("code").alias("a"), F.col("n").alias("na"), F.col("hist").alias("ha")), members.select(
+        F.col("code").alias("b"), F.col("n").alias("nb"), F.col("hist").alias("hb"))
+    schema = "a long, b long"
+
+    def likely(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            na, nb = (batch.column(c).to_numpy() for c in (2, 3))
+            ha, hb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HISTOGRAM) for c in (4, 5))
+            low = np.minimum(ha, hb)
+            most = low.sum(1, dtype=np.int64)
+            most = np.where((low == 255).any(1), np.minimum(na, nb), np.minimum(most, np.minimum(na, nb)))
+            keep = 100 * most >= percent * (na + nb - most)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    known = pairs.join(n, "a").join(hist, "b").select("a", "b", "na", "nb", "ha", "hb")
+    pairs = materialised(known.mapInArrow(likely, schema))
     codes = pairs.select(F.col("a").alias("code")).union(pairs.select("b")).distinct()
-    whole = materialised(_whole_sets(docs, codes, sets, k))
+    whole = _whole_sets(docs, codes, sets, k)
     both = pairs.join(whole.select(F.col("code").alias("a"), F.col("shingles").alias("sa")), "a").join(
         whole.select(F.col("code").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return materialised(both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+    links = both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return materialised(links.distinct())
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -156,27 +205,32 @@ def _pair(a: str, b: str) -> list[Column]:
 def links(docs: DataFrame, sets: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:
     """(a, b): links between set codes that connect all sets which the join connects."""
     prefixes = materialised(_prefixes(docs, counts, k, percent))
-    members = materialised(prefixes.select("grp", "code", "n").distinct())
-    rows = prefixes.select("grp", "n", F.posexplode("prefix").alias("at", "shingle"))
-
-    # Shingles of two or more groups, with the least group as pivot; groups of two or more sets.
-    here = F.struct("grp", "n", "at")
-    shared = rows.groupBy("shingle").agg(F.min(here).alias("pivot"), F.max("grp").alias("hi")).where("pivot.grp < hi")
-    buckets = materialised(rows.join(shared.select("shingle", "pivot"), "shingle").distinct())
+    members = materialised(prefixes.select("grp", "code", "n", "hist").dropDuplicates(["code"]))
+    rows = prefixes.select("id", "grp", "n", F.posexplode("prefix").alias("at", "shingle")).withColumn(
+        "place", F.shiftleft("n", 32) + F.col("at")).select("shingle", "id", "grp", "place")
+
+    # Shingles of two or more groups, with the first document's group as pivot: copies are mostly near their original.
+    shared = rows.groupBy("shingle").agg(F.min("id").alias("first"), F.min("grp").alias("lo"), F.max("grp").alias("hi"))
+    buckets = materialised(rows.join(shared.where("lo < hi").select("shingle", "first"), "shingle").select(
+        "shingle", "grp", F.shiftright("place", 32).alias("n"), F.col("place").bitwiseAND(2**32 - 1).alias("at"),
+        (F.col("id") == F.col("first")).alias("leads")).groupBy("shingle", "grp", "n", "at").agg(F.max("leads").alias("leads")))
     heads = members.groupBy("grp").agg(F.min("code").alias("head"), F.max("code").alias("hi"))
 
     # Round 1: each row with its pivot.
-    near = buckets.where((F.col("grp") != F.col("pivot.grp")) & _may_link(F.struct("n", "at"), F.col("pivot"), percent))
-    near = near.select("grp", F.col("pivot.grp").alias("other")).distinct()
+    own = buckets.where("leads").groupBy("shingle").agg(F.min(F.struct("grp", "n", "at")).alias("pivot"))
+    near = buckets.join(own, "shingle").where((F.col("grp") != F.col("pivot.grp"))
+                                              & _may_link(F.struct("n", "at"), F.col("pivot"), percent))
+    near = near.withColumn("pivot", F.col("pivot.grp"))
+    near = near.select("grp", F.col("pivot").alias("other")).distinct()
     of = heads.select("grp", "head")
     across = near.join(of, "grp").join(of.select(F.col("grp").alias("other"), F.col("head").alias("pivot")), "other")
     inside = members.join(heads.where("head < hi").select("grp", "head"), "grp").where("code != head")
     pairs = across.select(*_pair("head", "pivot")).union(inside.select(*_pair("code", "head"))).distinct()
-    first = _verified(pairs, docs, sets, k, percent)
+    first = _verified(pairs, docs, sets, members, k, percent)
     label = components(first)
 
     # Round 2: in buckets with several components, the rows outside the largest with all others.
-    named = materialised(members.join(label.withColumnRenamed("node", "code"), "code", "left").withColumn(
+    named = materialised(members.drop("hist").join(label.withColumnRenamed("node", "code"), "code", "left").withColumn(
         "component", F.coalesce("component", "code")))
     each = buckets.select("shingle", "grp", "at").join(named, "grp").select(
         F.col("shingle").alias("bucket"), "code", "n", "at", "component")
@@ -189,7 +243,7 @@ def links(docs: DataFrame, sets: DataFrame, counts: np.ndarray, k: int, percent:
     a, b = open_rows.where("component != largest").alias("a"), open_rows.alias("b")
     meet = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.component") != F.col("b.component"))
                   & _may_link(F.struct("a.n", "a.at"), F.struct("b.n", "b.at"), percent))
-    second = _verified(meet.select(*_pair("a.code", "b.code")).distinct(), docs, sets, k, percent)
+    second = _verified(meet.select(*_pair("a.code", "b.code")).distinct(), docs, sets, members, k, percent)
     return first.union(second)
 
 
@@ -204,12 +258,8 @@ def near_duplicates(
     """(id_col, n_shingles, component_id): the size of each document's set, and the least id that its links reach."""
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     known = base.where("id is not null")
-    both = materialised(_sets_and_counts(known, k, sketch_bits))
-    sets = both.where("counts is null").select("id", "n", "code")
-    counts = np.zeros(1 << sketch_bits, np.int64)
-    parts = both.where("counts is not null").select(F.posexplode("counts").alias("slot", "count"))
-    for row in parts.groupBy("slot").agg(F.sum("count").alias("total")).toLocalIterator():
-        counts[row.slot] = row.total
+    sets = materialised(_sets(known, k))
+    counts = shingle_counts(known, k, sketch_bits)
     full = sets.where("n > 0")
     label = components(links(known, full, counts, k, percent))
     named = full.join(label.withColumnRenamed("node", "code"), "code", "left").select(
@@ -220,7 +270,7 @@ def near_duplicates(
     unknown = base.where("id is null")
     if not unknown.isEmpty():
         kind = docs.schema[id_col].dataType
-        out = out.unionByName(_sets_and_counts(unknown, k, 1).where("counts is null").select(
+        out = out.unionByName(_sets(unknown, k).select(
             "id", "n", F.lit(None).cast(kind).alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
