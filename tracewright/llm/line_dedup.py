@@ -48,17 +48,24 @@ def _equal_blocks(a: Column, b: Column, n: Column) -> Column:
 
 def _middle(a: Column, b: Column) -> Column:
     """Both texts without equal blocks at their ends, as a struct (x, y) with x no longer than y."""
-    n = F.floor(F.least(F.char_length(a), F.char_length(b)) / BLOCK).cast("int")
 
-    def cut(front: Column) -> Column:
-        x, y = (F.substring(t, front * BLOCK + 1, F.char_length(t)) for t in (a, b))
-        rest = F.floor(F.least(F.char_length(x), F.char_length(y)) / BLOCK).cast("int")
-        back = _equal_blocks(F.reverse(x), F.reverse(y), rest) * BLOCK
-        x, y = (F.substring(t, F.lit(1), F.char_length(t) - back) for t in (x, y))
+    def blocks(x: Column, y: Column) -> Column:
+        return F.floor(F.least(F.char_length(x), F.char_length(y)) / BLOCK).cast("int")
+
+    def ordered(x: Column, y: Column) -> Column:
         short = F.char_length(x) <= F.char_length(y)
         return F.struct(F.when(short, x).otherwise(y).alias("x"), F.when(short, y).otherwise(x).alias("y"))
 
-    return let(_equal_blocks(a, b, n), cut)
+    def front(pair: Column) -> Column:
+        cut = let(blocks(pair["x"], pair["y"]), lambda n: _equal_blocks(pair["x"], pair["y"], n) * BLOCK + 1)
+        return let(cut, lambda k: F.struct(*(F.substring(pair[c], k, F.char_length(pair[c])).alias(c) for c in "xy")))
+
+    def turned(pair: Column) -> Column:
+        return F.struct(*(F.reverse(pair[c]).alias(c) for c in "xy"))
+
+    # Equal blocks go at the front, the texts are turned round, and equal blocks go at the other end; turned texts are
+    # as far apart as the texts.
+    return let(let(let(ordered(a, b), front), turned), front)
 
 
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
@@ -80,6 +87,8 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
                 hit = (row >= 0) & (row < m) & (F.get(xs, F.greatest(row, F.lit(0))) == F.get(ys, j))
                 match = match + F.when(F.coalesce(hit, F.lit(False)), F.lit(1 << k)).otherwise(F.lit(0))
             vp, vn, score = state["vp"], state["vn"], state["score"]
+            # On the diagonal the score never falls; behind it, it falls by at most one in each of 2 * edits columns.
+            lost = score > 3 * edits
 
             def move(eq: Column) -> Column:
                 d0 = (((eq.bitwiseAND(vp)) + vp).bitwiseXOR(vp)).bitwiseOR(eq).bitwiseOR(vn).bitwiseAND(F.lit(full))
@@ -99,7 +108,7 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
 
                 return let(d0, then)
 
-            return let(match, move)
+            return F.when(lost, state).otherwise(let(match, move))
 
         # Before the first character the rows from 0 on grow by one each; the score is that of row `edits`, or m.
         rows = F.lit(full - ((1 << edits) - 1))
@@ -107,12 +116,14 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
         return F.aggregate(F.sequence(F.lit(0), n - 1), begin, step, lambda s: s["score"])
 
     def of(pair: Column) -> Column:
-        m, n = F.char_length(pair["x"]), F.char_length(pair["y"])
-        far = F.abs(F.char_length(a) - F.char_length(b)) > edits
-        chars = let(F.split(pair["x"], ""), lambda xs: let(F.split(pair["y"], ""), lambda ys: distance(xs, ys, m, n)))
-        return F.when(far, False).when(n <= edits, True).when(m == 0, n <= edits).otherwise(chars <= edits)
+        def sized(m: Column, n: Column) -> Column:
+            chars = let(F.split(pair["x"], ""), lambda xs: let(F.split(pair["y"], ""), lambda ys: distance(xs, ys, m, n)))
+            return F.when(n <= edits, True).when(m == 0, False).otherwise(chars <= edits)
 
-    return let(_middle(a, b), of)
+        return let(F.char_length(pair["x"]), lambda m: let(F.char_length(pair["y"]), lambda n: sized(m, n)))
+
+    far = F.abs(F.char_length(a) - F.char_length(b)) > edits
+    return F.when(far, False).otherwise(let(_middle(a, b), of))
 
 
 # ---- candidates ----------------------------------------------------------------------------------------
@@ -134,15 +145,12 @@ def _code(number: int, length: Column, piece: Column) -> Column:
     return F.xxhash64(F.lit(number), length, piece)
 
 
-def index_codes(text: Column, edits: int = EDITS) -> Column:
-    """The hashes under which a text stands in the index."""
-    length = F.char_length(text)
-    return F.array(*(_code(i, length, F.substring(text, at, size)) for i, (at, size) in enumerate(segments(length, edits))))
-
+def segment_codes(text: Column, length: Column, edits: int = EDITS) -> Column:
+    """The hashes under which a text stands in the index, edits + 1 of them, and behind them those under which it only asks.
 
-def probe_codes(text: Column, edits: int = EDITS) -> Column:
-    """The hashes under which other texts, near a text and no longer than it, may stand in the index."""
-    length, out = F.char_length(text), []
+    It asks for texts of lengths length - edits .. length; for its own length and places, standing is asking, too.
+    """
+    stands, asks = [], []
     for shorter in range(edits + 1):
         other = length - shorter
         for i, (at, size) in enumerate(segments(other, edits)):
@@ -151,8 +159,9 @@ def probe_codes(text: Column, edits: int = EDITS) -> Column:
             for move in range(low, high + 1):
                 start = at + move
                 inside = (start >= 1) & (start + size - 1 <= length) & (other >= 1)
-                out.append(F.when(inside, _code(i, other, F.substring(text, start, size))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                code = F.when(inside, _code(i, other, F.substring(text, start, size)))
+                (stands if shorter == move == 0 else asks).append(code)
+    return F.array(*stands, *asks)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -164,12 +173,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def candidates(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """(a, b): hashes c1 of texts that share a segment."""
-    long = lines.where(F.char_length("line") >= least)
-    stands, asks = index_codes(F.col("line"), edits), probe_codes(F.col("line"), edits)
-    codes = long.select("c1", stands.alias("stands"), asks.alias("asks")).select("c1", F.explode(F.concat(
-        F.transform("stands", lambda x: F.struct(x.alias("at"), F.lit(True).alias("stands"))),
-        F.transform(F.array_except("asks", "stands"), lambda x: F.struct(x.alias("at"), F.lit(False).alias("stands"))),
-    )).alias("x")).select("c1", "x.*")
+    long = lines.select("c1", "line", F.char_length("line").alias("length")).where(F.col("length") >= least)
+    listed = long.select("c1", segment_codes(F.col("line"), F.col("length"), edits).alias("codes"))
+    codes = listed.select("c1", F.posexplode("codes").alias("pos", "at")).where("at is not null").select(
+        "c1", "at", (F.col("pos") <= edits).alias("stands"))
     # Hashes of two or more texts, of which one stands in the index; equal lines count once.
     shared = codes.groupBy("at").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.max("stands").alias("any"))
     rows = materialised(codes.join(shared.where("lo < hi and any").select("at"), "at").distinct())
@@ -190,7 +197,9 @@ def near_lines(docs: DataFrame, lines: DataFrame, places: DataFrame, edits: int,
         return texts.select(F.col("c1").alias(x), F.struct("c1", "c2").alias(f"code_{x}"),
                             F.col("first").alias(f"first_{x}"), F.col("line").alias(f"line_{x}"))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(within(F.col("line_a"), F.col("line_b"), edits))
+    # Few rows with much work each: dealt to all tasks.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").repartition(tasks, "a", "b").where(within(F.col("line_a"), F.col("line_b"), edits))
     later = F.when(F.col("first_a") < F.col("first_b"), F.col("code_b")).otherwise(F.col("code_a"))
     return both.select(later.alias("code")).select("code.*").distinct()
 
