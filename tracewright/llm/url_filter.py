@@ -30,6 +30,7 @@ VOCABULARY = 100_000
 LONGEST = 24  # letters of a word
 BLOCK_SHARE = 0.2  # of URLs, before any word is seen
 SEED_MASS = 1e-3
+UNKNOWN = ""  # stands in the model for a letter without a word
 
 # The rules of the production list: fixed values.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -86,11 +87,12 @@ def seed_words() -> set[str]:
 
 
 def unigram_model(counts: dict[str, int]) -> dict[str, float]:
-    """Log shares of the words, seed words included."""
+    """Log shares of the words, seed words included, and what a letter without a word costs."""
     total = sum(counts.values())
     full = counts | {w: max(counts.get(w, 0), total * SEED_MASS, 1.0) for w in seed_words()}
     mass = sum(full.values())
-    return {w: math.log(c / mass) for w, c in full.items()}
+    logs = {w: math.log(c / mass) for w, c in full.items()}
+    return logs | {UNKNOWN: min(logs.values()) - math.log(10)}
 
 
 def segmented(name: str, model: dict[str, float], longest: int = LONGEST) -> list[str]:
@@ -98,7 +100,7 @@ def segmented(name: str, model: dict[str, float], longest: int = LONGEST) -> lis
 
     A single letter is a word only if it is the whole name.
     """
-    unknown = min(model.values(), default=0.0) - math.log(10)
+    unknown = model[UNKNOWN]
     best, back = [0.0], [0]
     for end in range(1, len(name) + 1):
         top, start = -math.inf, end - 1
