@@ -55,15 +55,19 @@ def token_ids(text: str | None) -> np.ndarray:
 
 def index_vectors() -> np.ndarray:
     """The random index vector of every bucket: about one number in eight is -1 or 1."""
-    place = np.arange((BUCKETS + SHAPES) * WIDTH, dtype=np.uint64)
+    out = np.empty((BUCKETS + SHAPES, WIDTH), np.int8)
     with np.errstate(over="ignore"):
-        h = mixed(place * np.uint64(BASES[0]) + np.uint64(1)) >> np.uint64(60)
-    return np.where(h == 0, 1, np.where(h == 1, -1, 0)).astype(np.int64).reshape(-1, WIDTH)
+        for start in range(0, len(out), 1024):
+            part = out[start:start + 1024]
+            place = np.arange(start * WIDTH, start * WIDTH + part.size, dtype=np.uint64)
+            h = mixed(place * np.uint64(BASES[0]) + np.uint64(1)) >> np.uint64(60)
+            part[:] = np.where(h == 0, 1, np.where(h == 1, -1, 0)).reshape(part.shape)
+    return out
 
 
 def context_sums(texts: Iterable[str | None], index: np.ndarray) -> np.ndarray:
     """Sums of the index vectors around each bucket's tokens."""
-    sums = np.zeros_like(index)
+    sums = np.zeros(index.shape, np.int64)
     for text in texts:
         ids = token_ids(text)
         if len(ids) < 2:
@@ -78,9 +82,13 @@ def context_sums(texts: Iterable[str | None], index: np.ndarray) -> np.ndarray:
 
 def word_vectors(sums: np.ndarray, index: np.ndarray) -> np.ndarray:
     def unit(x: np.ndarray) -> np.ndarray:
-        return x / np.maximum(np.sqrt((x.astype(np.float64) ** 2).sum(1, keepdims=True)), 1e-9)
+        x = x.astype(np.float32)
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x, dtype=np.float64)), 1e-9)[:, None]
+        return x
 
-    return (unit(index) + unit(sums)).astype(np.float32)
+    out = unit(index)
+    out += unit(sums)
+    return out
 
 
 def pooled(text: str | None, vectors: np.ndarray) -> np.ndarray:
@@ -173,13 +181,13 @@ def train(
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_vectors()
-        out = np.zeros_like(index)
+        out = np.zeros(index.shape, np.int64)
         for batch in batches:
             out += context_sums((t.as_py() for t in batch.column(0)), index)
         yield pa.RecordBatch.from_arrays([pa.array([out.astype("<i8").tobytes()], pa.binary())], names=["sums"])
 
     index = index_vectors()
-    total_sums = np.zeros_like(index)
+    total_sums = np.zeros(index.shape, np.int64)
     for r in texts.select("text").mapInArrow(sums, "sums binary").toLocalIterator():
         total_sums += np.frombuffer(r.sums, "<i8").reshape(index.shape)
     vectors = word_vectors(total_sums, index)
@@ -187,14 +195,14 @@ def train(
 
     def pool(rows: Iterable[dict]) -> Iterator[dict]:
         for row in rows:
-            yield {"x": pooled(row["text"], shared.value).astype(np.float64).tolist()}
+            yield {"x": pooled(row["text"], shared.value).astype("<f4").tobytes()}
 
-    fields = [("x", T.ArrayType(T.DoubleType()))]
+    fields = [("x", T.BinaryType())]  # packed, for the driver
     rows = with_python_columns(texts, {"text": F.col("text")}, fields, pool).select("row.h", "row.id", "row.y", "x")
-    rows = sorted(rows.collect(), key=lambda r: (r.h, str(r.id), r.y, r.x))  # at most 2 * per_class ids
+    rows = sorted(rows.collect(), key=lambda r: (r.h, str(r.id), r.y, bytes(r.x)))  # at most 2 * per_class ids
     if len({r.y for r in rows}) < 2:
         return {"constant": sizes.get(1, 0) / total}
-    x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows], float)
+    x, y = np.array([np.frombuffer(r.x, "<f4") for r in rows], float), np.array([r.y for r in rows], float)
     apart = np.arange(len(y)) % 5 == 0
     if len(set(y[~apart])) < 2:
         apart[:] = False
