@@ -67,14 +67,13 @@ def raked(
     targets = {d: materialised(_marginal(cells, d, p, (given or {}).get(d, {}))) for d, p in powers.items()}
     few = {d: t.count() <= FEW_ROWS for d, t in targets.items()}
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for k in range(rounds):
+    for _ in range(rounds):
         for dim in powers:
             sums = out.groupBy(dim).agg(F.sum("weight").alias("now")).join(targets[dim], dim)
             factor = sums.select(dim, (F.col("target") / F.col("now")).alias("factor"))
             out = out.join(F.broadcast(factor) if few[dim] else factor, dim)
-            out = out.withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        if k % 2 or k + 1 == rounds:
-            out = materialised(out)
+            # Written after each step: the weights are used twice, and plans of several steps would double with each.
+            out = materialised(out.withColumn("weight", F.col("weight") * F.col("factor")).drop("factor"))
     return out
 
 
