@@ -8,7 +8,8 @@ a smaller id, or further up in the same one. Lines without a word always stay an
 * A text of length l is cut into edits + 1 segments. Within `edits` edits at least one segment of the shorter text stands
   unchanged in the longer one, moved by few places. Segments are the index, under their number, the length l and a hash.
 * Each text probes the index for the lengths l - edits .. l with those of its substrings that multi-match-aware selection
-  allows. Only hashes of two or more different texts are joined, and equal lines count once there.
+  allows. Only hashes of two or more different texts are joined, and equal lines count once there. Texts that share a
+  segment are paired only if the parities of their words allow it, so a common segment makes no square of pairs.
 * Pairs are verified by edit distance: bit vectors of the 2 * edits + 1 diagonals of the band, moved on by one character
   a step with whole-number operations (Hyyro's banded form of Myers' algorithm). Blocks of equal characters at both
   ends are stripped first.
@@ -164,6 +165,15 @@ def segment_codes(text: Column, length: Column, edits: int = EDITS) -> Column:
     return F.array(*stands, *asks)
 
 
+def parity(text: Column) -> Column:
+    """64 bits, each the parity of the number of words with that hash: an edit changes three at most.
+
+    It changes one word into another, one into two, or two into one.
+    """
+    return F.aggregate(F.split(text, " "), F.lit(0).cast("long"), lambda bits, word: bits.bitwiseXOR(
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.hash(word))))
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """(id, key, no, line, c1, c2) of documents (id, key, text): every line with a word, and two hashes of it."""
     lines = docs.where("id is not null").select("id", "key", F.posexplode(F.split("text", "\n")).alias("no", "line"))
@@ -174,14 +184,16 @@ def lines_of(docs: DataFrame) -> DataFrame:
 def candidates(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """(a, b): hashes c1 of texts that share a segment."""
     long = lines.select("c1", "line", F.char_length("line").alias("length")).where(F.col("length") >= least)
-    listed = long.select("c1", segment_codes(F.col("line"), F.col("length"), edits).alias("codes"))
-    codes = listed.select("c1", F.posexplode("codes").alias("pos", "at")).where("at is not null").select(
-        "c1", "at", (F.col("pos") <= edits).alias("stands"))
+    listed = long.select("c1", parity(F.col("line")).alias("bits"), segment_codes(F.col("line"), F.col("length"), edits).alias("codes"))
+    codes = listed.select("c1", "bits", F.posexplode("codes").alias("pos", "at")).where("at is not null").select(
+        "c1", "bits", "at", (F.col("pos") <= edits).alias("stands"))
     # Hashes of two or more texts, of which one stands in the index; equal lines count once.
     shared = codes.groupBy("at").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi"), F.max("stands").alias("any"))
     rows = materialised(codes.join(shared.where("lo < hi and any").select("at"), "at").distinct())
-    a = rows.where("stands").select("at", F.col("c1").alias("a"))
-    pairs = a.join(rows.select("at", F.col("c1").alias("b")), "at").where("a != b")
+    a = rows.where("stands").select("at", F.col("c1").alias("a"), F.col("bits").alias("bits_a"))
+    # A segment may be that of many texts, but few of them can be near: their words tell.
+    near = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits"))) <= 3 * edits
+    pairs = a.join(rows.select("at", "bits", F.col("c1").alias("b")), "at").where((F.col("a") != F.col("b")) & near)
     return materialised(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
