@@ -2,7 +2,8 @@
 
 A line goes if an equal line, or one within `edits` edits of code points, stands earlier in the corpus: in a document with
 a smaller id, or further up in the same one. Lines without a word always stay and are compared with nothing; lines under
-`least` code points are compared for equality only.
+`least` code points are compared for equality only. `edits` is the same for lines of any length: with one edit a
+line with a changed word is not found, only one with a changed character.
 
 * Lines are grouped by a 96-bit hash; a partial aggregate finds the first place of each text.
 * A text of length l is cut into edits + 1 segments. Within `edits` edits at least one segment of the shorter text stands
