@@ -250,6 +250,16 @@ def test_html_run_without_a_named_content():
     assert html_extract.best_run([-1.0, 0.0]) == (0, 0)
 
 
+@pytest.mark.parametrize("raw", [
+    "<script>for(i=0;i<n;i++)f(i)</script>", "<SCRIPT>a<b&&'</p>'</Script >", "<style>p::before{content:'<b'}</style>",
+    "<script>s='<!--'</script>", "<svg><style>a<b</style><path/></svg>", "<template><script>i<n</script><p>no</p></template>",
+    "<textarea><x</textarea>", "<script>s='</scripts><q'</script>"])
+def test_html_raw_elements_end_at_their_own_tag(raw):
+    page = f"{raw}<article><p>One two.</p>{raw}<p>Three.</p></article>"
+    assert html_extract.main_text(page, {}) == "One two.\nThree."
+    assert html_extract.main_text("<p>Seen.</p><script>i<n", {}) == "Seen."
+
+
 def test_html_extraction_of_the_table(spark):
     """Against the inner text of the article element, cut out by patterns that fit these pages."""
     got = {r.page_id: r.text for r in queries.QUERIES["op2_html_extraction"](spark, SF).collect()}

@@ -35,6 +35,7 @@ MAX_KEYS = 1000
 # Elements of HTML by their role, and words of class, id and role that mark what is not main text.
 CONTENT = frozenset("article main".split())
 RAW = frozenset("script style noscript template textarea iframe svg math object select".split())
+RAW_TEXT = frozenset("script style noscript textarea iframe".split())  # no tags inside, only their own end
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby s samp small span "
@@ -50,6 +51,7 @@ COMMENT_MARKS = frozenset("comment comments reply replies".split())
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW_TEXT}
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?(?=[\s/"']|$)""", re.I)
 _MARK_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -67,7 +69,7 @@ def marks(attributes: str) -> set[str]:
 def pieces(page: str) -> Iterator[tuple[str, str, str]]:
     """('text', raw, ''), ('open', name, attributes) or ('close', name, ''); raw elements and comments are gone."""
     at, skip = 0, None
-    for m in _TAG.finditer(page):
+    while m := _TAG.search(page, at):
         if skip is None and m.start() > at:
             yield "text", page[at:m.start()], ""
         at = m.end()
@@ -75,6 +77,9 @@ def pieces(page: str) -> Iterator[tuple[str, str, str]]:
         if not name:
             continue
         closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        if not closing and name in RAW_TEXT and not attributes.endswith("/"):
+            end = _RAW_END[name].search(page, at)
+            at = end.start() if end else len(page)
         if skip is not None:
             if closing and name == skip:
                 skip = None
