@@ -260,6 +260,22 @@ def test_html_raw_elements_end_at_their_own_tag(raw):
     assert html_extract.main_text("<p>Seen.</p><script>i<n", {}) == "Seen."
 
 
+@pytest.mark.parametrize("around", [
+    "<div class='overflow-hidden'>{}</div>", "<div class='row has-sidebar'>{}</div>", "<div class=no-sidebar>{}</div>",
+    "<div class='with-banner'><div id='page-search'>{}</div></div>", "<div class='hidden'>{}</div>", "<form>{}</form>"])
+def test_html_wrappers_of_the_article_stay(around):
+    article = "<article class='post comments-open'><p>One two.</p><div class='Ad'>Buy</div></article>"
+    comments = "<div class='comments'><article class='comment'><p>I agree with you</p></article></div>"
+    related = "<aside><article>Teaser</article></aside>"
+    for page in (around.format(article), around.format(article + comments), related + around.format(article)):
+        assert html_extract.main_text(f"<nav>Menu</nav>{page}<div class='ad'>Buy this</div>", {}) == "One two."
+
+
+def test_html_marks_inside_the_article_leave_out():
+    page = "<main><p>One two.</p><div class='related'><article>Teaser</article></div><p>Three.</p></main>"
+    assert html_extract.main_text(page, {}) == "One two.\nThree."
+
+
 def test_html_extraction_of_the_table(spark):
     """Against the inner text of the article element, cut out by patterns that fit these pages."""
     got = {r.page_id: r.text for r in queries.QUERIES["op2_html_extraction"](spark, SF).collect()}

@@ -3,10 +3,12 @@
 Words score positive and tags negative. The weights come from labelled pages, those that name their content by an
 `article` or `main` element: for each tag, and for words by the block element around them, the log of how often it is
 inside against outside the content. One linear scan finds the run with the greatest sum. A run inside an `article` or
-`main` element is widened to that element, as its edges are exact where a sum of weights is not.
+`main` element is widened to that element, as its edges are exact where a sum of weights is not; of several, to the one
+whose words score most in the run.
 
-Menus, notices, adverts, forms, comments and the like are told by element names, roles and words of class and id (fixed
-list below); they are left out wherever they stand, and so are scripts, styles and markup comments.
+Menus, notices, adverts, forms, comments and the like are told by element names, roles, ids and whole class names (fixed
+list below); they are left out, and so are scripts, styles and markup comments. Outside the content, an element that
+holds an `article` or `main` element is not left out, unless it is marked as comments. What is left is up to the weights.
 
 Weights are counted over all pages in one pass and cut to the MAX_KEYS most frequent keys before they are broadcast;
 other tags take the weight of the rarest. Each page is then worked on by itself, without a shuffle.
@@ -21,6 +23,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -32,7 +35,7 @@ from tracewright.llm.common import with_python_columns
 
 MAX_KEYS = 1000
 
-# Elements of HTML by their role, and words of class, id and role that mark what is not main text.
+# Elements of HTML by their role, and classes, ids and roles that mark what is not main text.
 CONTENT = frozenset("article main".split())
 RAW = frozenset("script style noscript template textarea iframe svg math object select".split())
 RAW_TEXT = frozenset("script style noscript textarea iframe".split())  # no tags inside, only their own end
@@ -53,16 +56,15 @@ _TAG = re.compile(
     re.S)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW_TEXT}
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?(?=[\s/"']|$)""", re.I)
-_MARK_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
 def marks(attributes: str) -> set[str]:
-    """Lower-case words of class, id and role; `hidden` for a hidden element."""
+    """Lower-case class names, id and role; `hidden` for a hidden element."""
     out = set()
     for name, value in _ATTRIBUTE.findall(attributes):
         if name.lower() == "hidden":
             out.add("hidden")
-        out |= {w.lower() for w in _MARK_WORD.findall(value or "")}
+        out |= set(value.strip("\"'").lower().split())
     return out
 
 
@@ -118,6 +120,14 @@ def tokens(page: str | None) -> list[dict]:
                 if n == name:
                     ends[start] = i
                     break
+    # Content elements that are not comments themselves.
+    named = [i for i, (kind, name, more) in enumerate(parts)
+             if kind == "open" and name in CONTENT and not marks(more) & COMMENT_MARKS]
+
+    def wraps_content(i: int) -> bool:
+        k = bisect_right(named, i)
+        return k < len(named) and named[k] < ends.get(i, i) and not marks(parts[i][2]) & COMMENT_MARKS
+
     out, block, around = [], 0, []
     content: list[tuple[int, int]] = []  # content elements that are open: number, end
     dead_until, dead_loose = -1, False
@@ -137,7 +147,7 @@ def tokens(page: str | None) -> list[dict]:
         if name not in INLINE:
             block += 1
         if kind == "open":
-            if not dead and _left_out(name, more, bool(content)):
+            if not dead and _left_out(name, more, bool(content)) and (content or not wraps_content(i)):
                 dead = True
                 if i in ends:
                     dead_until = ends[i]
@@ -234,8 +244,12 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     if start == end:
         return ""
     chosen = listed[start:end]
-    wide = next((t["content"] for t in chosen if t["content"] and t["words"] and not t["dead"]), 0)
-    if wide:
+    sums: dict[int, float] = {}
+    for t, score in zip(chosen, scores[start:end]):
+        if t["content"] and t["words"] and not t["dead"]:
+            sums[t["content"]] = sums.get(t["content"], 0.0) + score
+    if sums:
+        wide = max(sums, key=sums.get)
         chosen = [t for t in listed if t["content"] == wide]
     blocks: dict[int, list[str]] = {}
     for t in chosen:
