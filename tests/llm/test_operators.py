@@ -301,6 +301,18 @@ def test_url_filter(spark):
         10: ("notnet", "/fr/", None, "allow"), 11: ("library.example.com", "", None, "allow"), 12: ("net", "/", "net/", "block")}
 
 
+def test_every_title_word_takes_part_in_the_segmentation(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    filler = " ".join("".join(rng.choice(letters) for _ in range(7)) for _ in range(120000))
+    long = "winterlandschaftsfotografiekurse"
+    rows = [(1, "http://winterhof.example.com/", f"<title>{filler} {filler}</title>"),
+            (2, f"http://{long}.example.com/", f"<title>winter hof {long}</title>"), (3, "http://win.example.com/", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.row.page_id: (r.words[:-2], r.verdict) for r in url_filter.judged(df, url_filter.unigrams(df)).collect()}
+    assert got == {1: (["winter", "hof"], "allow"), 2: ([long], "allow"), 3: (["win"], "block")}
+
+
 def test_segmentation_is_the_likeliest():
     model = {"a": -1.0, "ab": -1.5, "b": -2.0, "c": -3.0, "bc": -2.0, "": -9.0}
     assert url_filter.segmented("abbc", model) == ["ab", "bc"]

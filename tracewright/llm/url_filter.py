@@ -1,13 +1,14 @@
 """URL filter: rules on hosts and paths, and for other URLs a classifier on the words of their names.
 
 * A rule (verdict, host, path) fits its host and all subdomains whose path starts with the rule's; the longest wins.
-* Names are split into words by Viterbi search over a unigram model: the words of page titles, counted over all pages and
-  cut to the VOCABULARY most frequent, together with the seed words, which have at least a thousandth of the mass each.
-  Letters that no word explains cost more the longer they are, and come out as one piece.
+* Names are split into words by Viterbi search over a unigram model: all words of page titles, counted over all pages,
+  together with the seed words, which have at least a thousandth of the mass each. Letters that no word explains cost
+  more the longer they are, and come out as one piece.
 * A multinomial naive Bayes classifier, trained on a short list of seed names, scores the words of host and path. Words
   outside its vocabulary say nothing.
 
-The unigram table is the only thing that is shuffled; both models are of bounded size and are broadcast.
+The unigram table stays a DataFrame of any size. Each distinct name of hosts and paths is split once: a join gives it
+those of its substrings that were counted as words, which is all that the search over the whole table could use.
 
 Defined results: a null URL or one without `://` has empty host and path, no rule, and the verdict of no words at all,
 allow. Each row is judged by itself, so repeated rows and further columns change nothing.
@@ -16,7 +17,6 @@ allow. Each row is judged by itself, so repeated rows and further columns change
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -24,12 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import ascii_lower, with_python_columns
+from tracewright.llm.common import ascii_lower, few_or_joined, with_python_columns
+from tracewright.session import materialised
 
-VOCABULARY = 100_000
-LONGEST = 24  # letters of a word
 BLOCK_SHARE = 0.2  # of URLs, before any word is seen
 SEED_MASS = 1e-3
+FEW_NAMES = 200_000  # names, or URLs by their names, that go back to the rows by a broadcast
 UNKNOWN = ""  # stands in the model for a letter without a word
 
 # The rules of the production list: fixed values.
@@ -73,34 +73,49 @@ def rule_of(host: Column, path: Column, rules: list[tuple] = RULES) -> tuple[Col
 # ---- words ---------------------------------------------------------------------------------------------
 
 
-def unigrams(pages: DataFrame, html_col: str = "html", vocabulary: int = VOCABULARY) -> dict[str, int]:
-    """Counts of the most frequent words of the titles of all pages."""
+def unigrams(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(word, count) of all words of the titles of all pages."""
     title = F.lower(F.regexp_extract(F.col(f"`{html_col}`"), r"(?i)<title[^>]*>([^<]*)", 1))
-    words = pages.select(F.explode(F.split(title, r"[^\p{L}]+")).alias("word"))
-    words = words.where((F.char_length("word") > 0) & (F.char_length("word") <= LONGEST))
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(vocabulary)
-    return {r.word: r["count"] for r in top.toLocalIterator()}
+    words = pages.select(F.explode(F.split(title, r"[^\p{L}]+")).alias("word")).where("word != ''")
+    return materialised(words.groupBy("word").count())
 
 
 def seed_words() -> set[str]:
     return {w for names in SEEDS.values() for name in names.split() for w in name.split("-")}
 
 
-def unigram_model(counts: dict[str, int]) -> dict[str, float]:
-    """Log shares of the words, seed words included, and what a letter without a word costs."""
-    total = sum(counts.values())
-    full = counts | {w: max(counts.get(w, 0), total * SEED_MASS, 1.0) for w in seed_words()}
-    mass = sum(full.values())
-    logs = {w: math.log(c / mass) for w, c in full.items()}
-    return logs | {UNKNOWN: min(logs.values()) - math.log(10)}
-
-
-def segmented(name: str, model: dict[str, float], longest: int = LONGEST) -> list[str]:
+def unigram_scale(counts: DataFrame) -> tuple[float, dict[str, float]]:
+    """What all words weigh, seed words included, and the log shares of the seed words and of a letter without a word."""
+    is_seed = F.col("word").isin(*seed_words())
+    sums = counts.agg(F.sum("count").alias("total"), F.min(F.when(~is_seed, F.col("count"))).alias("least")).first()
+    total = sums["total"] or 0
+    seen = {r.word: r["count"] for r in counts.where(is_seed).collect()}
+    full = {w: max(seen.get(w, 0), total * SEED_MASS, 1.0) for w in seed_words()}
+    mass = total - sum(seen.values()) + sum(full.values())
+    least = min([*full.values(), *([sums["least"]] if sums["least"] else [])])
+    return mass, {w: math.log(c / mass) for w, c in full.items()} | {UNKNOWN: math.log(least / mass) - math.log(10)}
+
+
+def word_tables(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """names (name) with `table`, the counts of those of its substrings that are words; null if none is."""
+    lengths = sorted(r.n for r in counts.select(F.char_length("word").alias("n")).distinct().collect())
+    name, size = F.col("name"), F.char_length("name")
+    # A single letter is a word only if it is the whole name.
+    fits = F.filter(F.array(*map(F.lit, lengths or [1])), lambda n: (n <= size) & ((n > 1) | (size == 1)))
+    cut = F.flatten(F.transform(fits, lambda n: F.transform(
+        F.sequence(F.lit(1), size - n + 1), lambda at: F.substring(name, at, n))))
+    parts = names.select("name", F.explode(F.array_distinct(cut)).alias("word"))
+    known = few_or_joined(parts.select("word").distinct().join(counts, "word"), FEW_NAMES)
+    tables = parts.join(known, "word").groupBy("name").agg(F.collect_list(F.struct("word", "count")).alias("table"))
+    return names.join(tables, "name", "left")
+
+
+def segmented(name: str, model: dict[str, float]) -> list[str]:
     """The likeliest words whose concatenation is name; letters without a word come together as one.
 
     A single letter is a word only if it is the whole name.
     """
-    unknown = model[UNKNOWN]
+    unknown, longest = model[UNKNOWN], max(1, *map(len, model))
     best, back = [0.0], [0]
     for end in range(1, len(name) + 1):
         top, start = -math.inf, end - 1
@@ -124,11 +139,9 @@ def segmented(name: str, model: dict[str, float], longest: int = LONGEST) -> lis
     return out[::-1]
 
 
-_NAME = re.compile(r"[^\W\d_]+")
-
-
-def words_of(host: str, path: str, model: dict[str, float]) -> list[str]:
-    return [w for name in _NAME.findall(f"{host} {path.lower()}") for w in segmented(name, model)]
+def names_of(host: Column, path: Column) -> Column:
+    """The runs of letters of host and path, joined by spaces."""
+    return F.array_join(F.regexp_extract_all(F.concat_ws(" ", host, F.lower(path)), F.lit(r"\p{L}+"), F.lit(0)), " ")
 
 
 # ---- classifier ----------------------------------------------------------------------------------------
@@ -144,33 +157,46 @@ def bayes(share: float = BLOCK_SHARE) -> dict:
     return {"prior": math.log(share / (1 - share)), "ratio": ratio}
 
 
-def block_odds(words: Iterable[str], model: dict) -> float:
-    return model["prior"] + sum(model["ratio"].get(w, 0.0) for w in words)
+def split_names(names: DataFrame, counts: DataFrame, ratio: dict[str, float]) -> DataFrame:
+    """(name, words, odds): each name with its likeliest words and the sum of their log ratios."""
+    mass, fixed = unigram_scale(counts)
+
+    def split(rows: Iterable[dict]) -> Iterator[dict]:
+        for row in rows:
+            own = {t["word"]: math.log(t["count"] / mass) for t in row["table"] or []}
+            words = segmented(row["name"], own | fixed)
+            yield {"words": words, "odds": sum(ratio.get(w, 0.0) for w in words)}
+
+    fields = [("words", T.ArrayType(T.StringType())), ("odds", T.DoubleType())]
+    tables = word_tables(names, counts)
+    return with_python_columns(tables, {"name": F.col("name"), "table": F.col("table")}, fields, split).select(
+        F.col("row.name").alias("name"), "words", "odds")
 
 
 def judged(
     pages: DataFrame,
-    counts: dict[str, int],
+    counts: DataFrame,
     url_col: str = "url",
     rules: list[tuple] = RULES,
     share: float = BLOCK_SHARE,
 ) -> DataFrame:
     """(row, host, path, rule, verdict, words, odds): each page as a struct with its verdict and what it rests on."""
-    shared = pages.sparkSession.sparkContext.broadcast((unigram_model(counts), bayes(share)))
+    nb = bayes(share)
     url = F.col(f"`{url_col}`")
-
-    def score(rows: Iterable[dict]) -> Iterator[dict]:
-        unigram, nb = shared.value
-        known: dict[str, list[str]] = {}  # hosts repeat; kept for one batch
-        for row in rows:
-            if row["host"] not in known:
-                known[row["host"]] = words_of(row["host"], "", unigram)
-            words = known[row["host"]] + words_of("", row["path"], unigram)
-            yield {"host": row["host"], "path": row["path"], "words": words, "odds": block_odds(words, nb)}
-
-    fields = [("host", T.StringType()), ("path", T.StringType()), ("words", T.ArrayType(T.StringType())),
-              ("odds", T.DoubleType())]
-    out = with_python_columns(pages, {"host": host_of(url), "path": path_of(url)}, fields, score)
+    packed = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"), host_of(url).alias("host"),
+                          path_of(url).alias("path")).withColumn("names", names_of(F.col("host"), F.col("path")))
+    # URLs with equal names are one row here, and so is a name that many of them have.
+    listed = materialised(packed.select("names").where("names != ''").distinct())
+    placed = listed.select("names", F.posexplode(F.split("names", " ")).alias("no", "name"))
+    names = few_or_joined(split_names(materialised(placed.select("name").distinct()), counts, nb["ratio"]), FEW_NAMES)
+    found = placed.join(names, "name").groupBy("names").agg(
+        F.sort_array(F.collect_list(F.struct("no", "words", "odds"))).alias("parts"))
+    found = few_or_joined(found.select(
+        "names", F.flatten(F.col("parts.words")).alias("words"),
+        F.aggregate("parts.odds", F.lit(float(nb["prior"])), lambda total, x: total + x).alias("odds")), FEW_NAMES)
+    out = packed.join(found, "names", "left").select(
+        "row", "host", "path", F.coalesce("words", F.array().cast("array<string>")).alias("words"),
+        F.coalesce("odds", F.lit(float(nb["prior"]))).alias("odds"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("odds") > 0, "block").otherwise("allow")
     return out.select("row", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "words", "odds")
