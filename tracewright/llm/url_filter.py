@@ -35,7 +35,7 @@ UNKNOWN = ""  # stands in the model for a letter without a word
 # The rules of the production list: fixed values.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
-# Names to learn from: fixed values.
+# Names to learn from: fixed values; casino-win, free-bets, cheap-pills, adult-x, ads-track and spam-farm are hosts of the tables.
 SEEDS = {
     "block": (
         "casino-win free-casino win-casino casino-bets free-bets best-bets sports-bets bets-win poker-win slots-casino "
