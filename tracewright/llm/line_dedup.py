@@ -10,7 +10,8 @@ line with a changed word is not found, only one with a changed character.
   unchanged in the longer one, moved by few places. Segments are the index, under their number, the length l and a hash.
 * Each text probes the index for the lengths l - edits .. l with those of its substrings that multi-match-aware selection
   allows. Only hashes of two or more different texts are joined, and equal lines count once there. Texts that share a
-  segment are paired only if the parities of their words allow it, so a common segment makes no square of pairs.
+  segment come out as a pair only if the parities of their words allow it. That is a condition inside the join: n texts of
+  a segment are still compared n * n times.
 * Pairs are verified by edit distance: bit vectors of the 2 * edits + 1 diagonals of the band, moved on by one character
   a step with whole-number operations (Hyyro's banded form of Myers' algorithm). Blocks of equal characters at both
   ends are stripped first.
