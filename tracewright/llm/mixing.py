@@ -2,37 +2,43 @@
 
 * Documents are counted into cells of source, language and topic; the cells hold their words (tokens).
 * Targets are shares of each dimension: given ones, or the dimension's own shares raised to a power below 1, which lifts
-  rare values. A value without a given target keeps its own share; the shares are scaled to 1.
-* Raking: the weights of the cells are scaled to the targets of one dimension after the other, ROUNDS times.
+  rare values. A given share is met as it is; the values without one share what the given ones leave.
+* Raking: the weights of the cells are scaled to the targets of one dimension after the other, until a round changes no
+  weight by more than TOLERANCE of itself. Margins that contradict each other (a source of one language only, say) have
+  no such end: the rounds stop at MOST_ROUNDS, and a warning says how far the last one still moved.
 * Calibration: a document's probability is min(1, c * weight / tokens of its cell), with c such that the expected tokens
   are `budget` of all. Cells that reach 1 are full, and the rest takes what they leave.
 * A document is kept if a hash of its id, as a number from 0 to 1, is below its probability. So the sample does not
   depend on order or partitions, and a larger budget keeps a superset.
 
-Only the table of cells is worked on in rounds; its sums have partial aggregates, so a source with a third of all
-documents is one row a task. Cells go back to the documents by a broadcast if they are few, else by a shuffled join.
+Only the table of cells is worked on in rounds. Documents are counted into it with partial aggregates, so a source with a
+third of all documents is one row a task; a round's window sums go over the cells of a value, one for each combination. Cells go back to the documents by a broadcast if they are few, else by a shuffled join.
 
 Defined results: null source or language is the value '' of its own; a null or empty text has no tokens and the topic
-of no pattern. A cell without tokens has weight 0 and probability 1, as it costs nothing. A null id hashes like the text
+of no pattern. A cell without tokens has weight 0 and probability 1, as it costs nothing; so a corpus without any word
+is kept whole. A null id hashes like the text
 'null'. Repeated rows have equal ids and are kept or dropped together. Further columns are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import warnings
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import FEW_ROWS, few_or_joined
+from tracewright.llm.common import FEW_ROWS, either_case, few_or_joined
 from tracewright.session import materialised
 
-ROUNDS = 6
+TOLERANCE = 1e-9
+MOST_ROUNDS = 50
 CELLS_A_TASK = 100_000
 BUDGET = 0.8
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.8}
 
 # (topic, pattern): the first pattern that a text holds names its topic; fixed values.
 TOPICS = [
-    ("licence", r"[Ll]icen[sc]ed? under|[Rr]ights reserved|[Cc]opyright"),
+    ("licence", either_case("license under|licensed under|licence under|licenced under|rights reserved|copyright")),
     ("contact", r"@[A-Za-z0-9]|\+[0-9]+ \("),
     ("figures", r"[0-9][0-9]"),
 ]
@@ -47,52 +53,75 @@ def topic_of(text: Column, topics: list[tuple[str, str]] = TOPICS) -> Column:
 
 
 def _marginal(cells: DataFrame, dim: str, power: float, given: dict[str, float]) -> DataFrame:
-    """(dim, target): shares that add up to 1."""
-    sums = cells.groupBy(dim).agg(F.sum("tokens").alias("t"))
-    own = F.pow(F.col("t") / cells.agg(F.sum("tokens").alias("all")).first()["all"], power)
+    """(dim, target): shares that add up to 1; given ones stay, the others are scaled to what they leave."""
+    sums = materialised(cells.groupBy(dim).agg(F.sum("tokens").alias("t")))
+    fixed = F.lit(None).cast("double")
     for value, share in given.items():
-        own = F.when(F.col(dim) == value, F.lit(float(share))).otherwise(own)
-    shares = sums.select(dim, own.alias("share"))
-    total = shares.agg(F.sum("share").alias("all")).first()["all"]
-    return shares.select(dim, (F.col("share") / total).alias("target"))
+        fixed = F.when(F.col(dim) == value, F.lit(float(share))).otherwise(fixed)
+    total = F.lit(sums.agg(F.sum("t").cast("double").alias("t")).first()["t"])
+    shares = sums.select(dim, fixed.alias("fixed"), F.pow(F.col("t") / total, power).alias("own"))
+    of = shares.agg(F.coalesce(F.sum("fixed"), F.lit(0.0)).alias("fixed"),
+                    F.sum(F.when(F.col("fixed").isNull(), F.col("own"))).alias("own")).first()
+    if of["fixed"] > 1 + 1e-9:
+        raise ValueError(f"the given shares of {dim} add up to {of['fixed']}")
+    if of["own"] is None:  # every value is given
+        return shares.select(dim, (F.col("fixed") / of["fixed"]).alias("target"))
+    rest = F.col("own") * ((1 - min(of["fixed"], 1.0)) / of["own"])
+    return shares.select(dim, F.coalesce("fixed", rest).alias("target"))
 
 
 def raked(
     cells: DataFrame,
     powers: dict[str, float] = POWERS,
     given: dict[str, dict[str, float]] | None = None,
-    rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
+    most_rounds: int = MOST_ROUNDS,
 ) -> DataFrame:
     """cells (the dimensions, tokens > 0) with `weight`, shares of all tokens that follow the targets."""
-    targets = {d: materialised(_marginal(cells, d, p, (given or {}).get(d, {}))) for d, p in powers.items()}
-    few = {d: t.count() <= FEW_ROWS for d, t in targets.items()}
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(rounds):
+    if not cells.take(1):
+        return out
+    for dim, power in powers.items():
+        target = _marginal(cells, dim, power, (given or {}).get(dim, {})).withColumnRenamed("target", f"target of {dim}")
+        out = out.join(few_or_joined(target), dim)
+    moved = 0.0
+    for _ in range(most_rounds):
+        out = out.withColumn("moved", F.lit(0.0))
         for dim in powers:
-            sums = out.groupBy(dim).agg(F.sum("weight").alias("now")).join(targets[dim], dim)
-            factor = sums.select(dim, (F.col("target") / F.col("now")).alias("factor"))
-            out = out.join(F.broadcast(factor) if few[dim] else factor, dim)
-            # Written after each step: the weights are used twice, and plans of several steps would double with each.
-            out = materialised(out.withColumn("weight", F.col("weight") * F.col("factor")).drop("factor"))
-    return out
+            # Window sums, not joins: the optimizer's size estimates of repeated joins grow with a power of the rounds.
+            now = F.sum("weight").over(Window.partitionBy(dim))
+            out = out.withColumn("factor", F.when(now > 0, F.col(f"target of {dim}") / now).otherwise(1.0)).withColumns({
+                "weight": F.col("weight") * F.col("factor"),
+                "moved": F.greatest("moved", F.abs(F.col("factor") - 1))}).drop("factor")
+        out = materialised(out)  # one write a round
+        moved = out.agg(F.max("moved").alias("m")).first()["m"]
+        out = out.drop("moved")
+        if moved <= tolerance:
+            break
+    else:
+        warnings.warn(f"raking stopped after {most_rounds} rounds; the last one moved a margin by {moved:.3g} of itself")
+    return out.drop(*(f"target of {d}" for d in powers))
 
 
 def calibrated(cells: DataFrame, budget: float = BUDGET) -> DataFrame:
     """cells with `probability`: min(1, c * weight / tokens), for an expected share `budget` of all tokens.
 
-    c grows from pass to pass; each pass but the last finds further cells that are full.
+    c grows from pass to pass; each pass but the last finds further cells that are full. Without a cell that is open
+    (no cells at all, or all of them full) there is nothing left to deal out, and c stays.
     """
     total = cells.agg(F.sum("tokens").alias("t")).first()["t"] or 0
-    c = None
+    c = 0.0
     while True:
-        full = F.lit(False) if c is None else c * F.col("weight") >= F.col("tokens")
+        full = (c * F.col("weight") >= F.col("tokens")) if c else F.lit(False)
         left = cells.agg(F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("full"),
                          F.sum(F.when(full, 0.0).otherwise(F.col("weight"))).alias("open")).first()
-        again = (budget * total - left["full"]) / left["open"] if left["open"] else c
-        if c is not None and again <= c * (1 + 1e-12):
+        if not left["open"]:
+            break
+        again = (budget * total - left["full"]) / left["open"]
+        if again <= c * (1 + 1e-12):
             break
         c = again
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(float(c or 0)) * F.col("weight") / F.col("tokens")))
+    return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(float(c)) * F.col("weight") / F.col("tokens")))
 
 
 def fraction(id_: Column) -> Column:
@@ -110,7 +139,7 @@ def mixed_documents(
     powers: dict[str, float] = POWERS,
     given: dict[str, dict[str, float]] | None = None,
     budget: float = BUDGET,
-    rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """(row, tokens, topic, weight, probability, kept): each row as a struct with its cell's weight and its verdict."""
     text = F.col(f"`{text_col}`")
@@ -124,7 +153,7 @@ def mixed_documents(
     dims = list(POWERS)
     cells = materialised(packed.groupBy(*dims).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"))
     cells = materialised(cells.coalesce(1 + cells.count() // CELLS_A_TASK))  # rounds over few cells in few tasks
-    fitted = calibrated(raked(cells, powers, given, rounds), budget)
+    fitted = calibrated(raked(cells, powers, given, tolerance), budget)
     found = packed.join(few_or_joined(fitted.select(*dims, "weight", "probability")), dims, "left")
     probability = F.coalesce("probability", F.lit(1.0))
     return found.select("row", "tokens", "topic", F.coalesce("weight", F.lit(0.0)).alias("weight"),

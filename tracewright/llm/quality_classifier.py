@@ -208,7 +208,8 @@ def train(
         apart[:] = False
     net = fit_network(x[~apart], y[~apart])
     if len(set(y[apart])) == 2:
-        net = calibrated(net, x[apart], y[apart])
+        # The temperature comes from rows that the fit has not seen; the network is then fitted on all of them.
+        net = fit_network(x, y) | {"temperature": calibrated(net, x[apart], y[apart])["temperature"]}
     # The sample may hold the labels in other shares than the table.
     net["offset"] = float(np.log(sizes[1] / sizes[0]) - np.log(y.sum() / (1 - y).sum()))
     return {"vectors": vectors, "net": net}

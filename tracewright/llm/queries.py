@@ -12,8 +12,10 @@ from tracewright.llm import (
     line_dedup,
     mixing,
     ngram_join,
+    periodic_runs,
     quality_classifier,
     quality_rules,
+    secret_scan,
     substring_dedup,
     url_filter,
 )
@@ -226,7 +228,7 @@ def _mixing_sql() -> str:
         parts.append(f"""target_{dim} as (select {dim}, share / sum(share) over () as target from (select {dim},
   power(sum(tokens) / (select sum(tokens) from cells), {power}) as share from cells group by {dim}) q)""")
     at = 0
-    for _ in range(mixing.ROUNDS):
+    for _ in range(12):  # the tables' margins are met to the last digit well before
         for dim in mixing.POWERS:
             parts.append(f"""w{at + 1} as (select w.* replace (weight * target / sum(weight) over (partition by w.{dim}) as weight)
   from w{at} w join target_{dim} t on t.{dim} = w.{dim})""")
@@ -270,3 +272,122 @@ links as (select x, y from common join sizes a on a.doc_id = x join sizes b on b
 reach(doc_id, seen) as (select doc_id, doc_id from d union select r.doc_id, y from reach r join links on x = seen)
 select doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id
 from (select doc_id, min(seen) as component_id from reach group by doc_id) r left join sizes using (doc_id)"""
+
+
+# ---- 11: secret scans ----------------------------------------------------------------------------------
+
+
+@query
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.digests(secret_scan.scanned(docs, secret_scan.model_of(docs)))
+
+
+def _secrets_sql() -> str:
+    s = secret_scan
+    assign, size = s.ASSIGN.replace("'", "''"), len(s.ALPHABET)
+
+    def places(name: str, source: str, pattern: str, text: str = "t", key: str = "doc_id", more: str = "") -> str:
+        return f"""{name} as (select *, upto - ml as start from (
+  select *, sum(gl + ml) over (partition by {key} order by i) as upto from (
+    select * exclude (m, g), m[i] as found, length(m[i]) as ml, length(g[i]) as gl from (
+      select *, unnest(range(1, len(m) + 1)) as i from (
+        select *, regexp_extract_all({text}, '{pattern}') as m, string_split_regex({text}, '{pattern}') as g{more} from {source}) q) q) q) q)"""
+
+    alphabet = s.ALPHABET
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+{places("a0", "d", assign, more=f", regexp_extract_all(t, '{assign}', 2) as v")},
+{places("b0", "d", s.ACCESS)},
+{places("c0", "d", s.HEX)},
+base as (select doc_id, start, 0 as kind, upto from a0 where length(v[i]) >= {s.LEAST_VALUE}
+  union all select doc_id, start, 1, upto from b0 union all select doc_id, start, 2, upto from c0),
+sample as (select t from d order by md5(coalesce(cast(doc_id as varchar), 'null')), md5(t) limit {s.SAMPLE}),
+vals as (select unnest(regexp_extract_all(t, '{assign}', 2)) as x from sample
+  union all select unnest(regexp_extract_all(t, '{s.ACCESS}')) from sample
+  union all select unnest(regexp_extract_all(t, '{s.HEX}')) from sample),
+made as (select i, md5('sample ' || i) as h, to_base64(unhex(md5('sample ' || i))) as b from range({s.GENERATED}) r(i)),
+rest as (select regexp_replace(regexp_replace(regexp_replace(t, '{assign}', ' ', 'g'), '{s.ACCESS}', ' ', 'g'),
+  '{s.HEX}', ' ', 'g') as t from sample),
+plain as (select unnest(regexp_extract_all(t, '{s.ALPHABET_CLASS}{{{s.LEAST_SAMPLE},}}')) as x from rest),
+samples as (select x, true as random from vals where length(x) >= {s.LEAST_RANDOM}
+  union all select case i % 4 when 0 then h when 1 then b when 2 then upper(translate(b, '+/=', '')) else translate(b, '+/', '-_') end,
+    true from made
+  union all select x, false from plain union all select upper(x), false from plain),
+pairs as (select random, case when i = 1 then 0 else instr('{alphabet}', x[i - 1]) end as a, instr('{alphabet}', x[i]) as b
+  from (select random, x, unnest(range(1, length(x) + 1)) as i from samples) q),
+counts as (select a, b, count(*) filter (random) as r, count(*) filter (not random) as o from pairs where b > 0 group by a, b),
+cells as (select k // {size} as a, k % {size} + 1 as b, coalesce(r, 0) as r, coalesce(o, 0) as o
+  from range({(size + 1) * size}) e(k) left join counts on counts.a = k // {size} and counts.b = k % {size} + 1),
+ratios as (select a, b, cast(floor(1000 * (ln((r + 0.5) / (sum(r) over w + {0.5 * size})) - ln((o + 0.5) / (sum(o) over w + {0.5 * size})))
+  + 0.5) as bigint) as ratio from cells window w as (partition by a)),
+cut as (select doc_id, string_split_regex(t, '{assign}') as p, regexp_extract_all(t, '{assign}') as m from d),
+pieces as (select doc_id, j, piece, sum(length(piece) + ml) over (partition by doc_id order by j) - length(piece) - ml as base_at
+  from (select doc_id, j, p[j] as piece, coalesce(length(m[j]), 0) as ml
+    from (select *, unnest(range(1, len(p) + 1)) as j from cut) q) q),
+{places("tokens", "pieces", f"{s.ALPHABET_CLASS}{{{s.LEAST},{s.LONGEST}}}", "piece", "doc_id, j")},
+likely as (select doc_id, j, i, any_value(found) as found, any_value(start + base_at) as start, any_value(upto + base_at) as upto,
+    sum(ratio) as total
+  from (select *, unnest(range(1, ml + 1)) as c from tokens) q
+  join ratios on a = (case when c = 1 then 0 else instr('{alphabet}', found[c - 1]) end) and b = instr('{alphabet}', found[c])
+  group by doc_id, j, i),
+spans as (select *, true as own from base
+  union all select doc_id, start, 3, upto, false from likely where total >= {s.MARGIN} * length(found)
+    and not regexp_matches(found, '{s.HEX}') and not regexp_matches(found, '{s.ACCESS}')),
+named as (select *, case kind when 0 then 'assign' when 1 then 'access' when 2 then 'hex' else 'markov' end
+  || ':' || cast(start as bigint) || ':' || cast(upto as bigint) as name from spans)
+select d.doc_id, count(*) filter (own and kind = 0) as n_assign, count(*) filter (own and kind = 1) as n_access,
+  count(*) filter (own and kind = 2) as n_hex,
+  sha256(coalesce(string_agg(name, ',' order by start, kind) filter (own), '')) as base_sha256,
+  coalesce(string_agg(name, ',' order by start, kind), '') as spans
+from d left join named on named.doc_id = d.doc_id group by d.doc_id"""
+
+
+SQL["op11_secret_scan"] = _secrets_sql()
+
+
+# ---- 12: periodic run detection ------------------------------------------------------------------------
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = periodic_runs.stretched(F.col("text"), F.col("doc_id"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs, text))
+
+
+# The CRC by half bytes; the table is that of the polynomial 0xEDB88320 (fixed values). A run is an island of equal six-word
+# windows at one lag; one that lies in a run of a smaller period has that period too.
+_HALF = ("[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, "
+         "3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]")
+SQL["op12_periodic_runs"] = rf"""
+with ids as (select distinct doc_id from documents where doc_id is not null),
+bytes as (select doc_id, list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''),
+  lambda c: cast(ascii(c) as bigint))) as bs from ids),
+crcs as (select doc_id, xor(list_reduce(bs, lambda a, b:
+  xor({_HALF}[1 + (xor(xor({_HALF}[1 + (xor(a, b) & 15)], a >> 4), b >> 4) & 15)],
+    xor({_HALF}[1 + (xor(a, b) & 15)], a >> 4) >> 4)), 4294967295) as h from bytes),
+own as (select doc_id, {_WS_WORDS.format('text')} as w from documents),
+cut as (select doc_id, w, len(w) as n, h, h // 10 as g from own left join crcs using (doc_id)),
+bent as (select *, g % n as a, 1 + (n - g % n) // (3 + g % 8) as p from cut where h % 10 = 0 and n > 0),
+d as (select doc_id, n, w from cut where h is null or h % 10 <> 0 or n = 0
+  union all select doc_id, n, list_transform(range(0, n), lambda i: w[1 + case when i >= a then a + (i - a) % p else i end]) from bent),
+grams as (select doc_id, n, i, md5(array_to_string(w[i + 1:i + 6], ' ')) as gram
+  from (select doc_id, n, w, unnest(range(0, n - 5)) as i from d where n >= 12) q),
+pairs as (select x.doc_id, x.i, y.i - x.i as q from grams x join grams y using (doc_id, gram)
+  where y.i > x.i and 2 * (y.i - x.i) <= x.n),
+islands as (select doc_id, q, min(i) as s, count(*) + 5 + q as len
+  from (select *, i - row_number() over (partition by doc_id, q order by i) as island from pairs) z group by doc_id, q, island),
+stretches as (select * from islands where len >= greatest(12, 2 * q)),
+runs as (select x.* from stretches x where not exists (select 1 from stretches y
+  where y.doc_id = x.doc_id and y.q < x.q and y.s <= x.s and y.s + y.len >= x.s + x.len)),
+listed as (select doc_id, count(*) as n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q) as names,
+  first(struct_pack(s := s, len := len, q := q) order by len desc, s, q) as top from runs group by doc_id),
+gone as (select distinct doc_id, unnest(range(s + q, s + len)) as i from runs),
+kept as (select doc_id, string_agg(word, ' ' order by i) as text
+  from (select doc_id, i, w[i + 1] as word from (select doc_id, w, unnest(range(0, n)) as i from d) z) z
+  anti join gone using (doc_id, i) group by doc_id)
+select d.doc_id, cast(coalesce(n_runs, 0) as bigint) as n_runs, cast(top.s as bigint) as start, cast(top.len as bigint) as length,
+  cast(top.q as bigint) as period, cast(1000 * top.len // top.q as bigint) as exponent_milli,
+  sha256(coalesce(names, '')) as runs_sha256, sha256(coalesce(text, '')) as collapsed_sha256
+from d left join listed on listed.doc_id = d.doc_id left join kept on kept.doc_id = d.doc_id"""
