@@ -5,7 +5,7 @@
   rare values. A given share is met as it is; the values without one share what the given ones leave.
 * Raking: the weights of the cells are scaled to the targets of one dimension after the other, until a round changes no
   weight by more than TOLERANCE of itself. Margins that contradict each other (a source of one language only, say) have
-  no such end: the rounds stop at MOST_ROUNDS, and a warning says how far the last one still moved.
+  no such end: the rounds stop when they move as much as the ones before, or at MOST_ROUNDS, and a warning says how much.
 * Calibration: a document's probability is min(1, c * weight / tokens of its cell), with c such that the expected tokens
   are `budget` of all. Cells that reach 1 are full, and the rest takes what they leave.
 * A document is kept if a hash of its id, as a number from 0 to 1, is below its probability. So the sample does not
@@ -31,6 +31,7 @@ from tracewright.llm.common import FEW_ROWS, either_case, few_or_joined
 from tracewright.session import materialised
 
 TOLERANCE = 1e-9
+STALLED = 1e-4
 MOST_ROUNDS = 50
 CELLS_A_TASK = 100_000
 BUDGET = 0.8
@@ -94,12 +95,12 @@ def raked(
                 "weight": F.col("weight") * F.col("factor"),
                 "moved": F.greatest("moved", F.abs(F.col("factor") - 1))}).drop("factor")
         out = materialised(out)  # one write a round
-        moved = out.agg(F.max("moved").alias("m")).first()["m"]
+        before, moved = moved, out.agg(F.max("moved").alias("m")).first()["m"]
         out = out.drop("moved")
-        if moved <= tolerance:
+        if moved <= tolerance or abs(moved - before) <= STALLED * moved:
             break
-    else:
-        warnings.warn(f"raking stopped after {most_rounds} rounds; the last one moved a margin by {moved:.3g} of itself")
+    if moved > tolerance:
+        warnings.warn(f"raking stopped where a round moves a margin by {moved:.3g} of itself")
     return out.drop(*(f"target of {d}" for d in powers))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import (
+    collocations,
     decontaminate,
     html_extract,
     language_id,
@@ -391,3 +392,40 @@ select d.doc_id, cast(coalesce(n_runs, 0) as bigint) as n_runs, cast(top.s as bi
   cast(top.q as bigint) as period, cast(1000 * top.len // top.q as bigint) as exponent_milli,
   sha256(coalesce(names, '')) as runs_sha256, sha256(coalesce(text, '')) as collapsed_sha256
 from d left join listed on listed.doc_id = d.doc_id left join kept on kept.doc_id = d.doc_id"""
+
+
+# ---- 13: phrase collocation mining ---------------------------------------------------------------------
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def collocations_sql(least: int = collocations.LEAST, top: int = collocations.TOP, longest: int = collocations.LONGEST) -> str:
+    return rf"""
+with pieces as (select coalesce(lang, 'und') as lang,
+  unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+cut as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+places as (select lang, m, w[s:s + m - 1] as w from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as s
+  from (select lang, w, unnest(range(1, {longest + 1})) as m from cut) q) q),
+f as (select lang, m, array_to_string(w, ' ') as phrase, count(*) as a from places group by all),
+totals as (select lang, sum(a) as n from f where m = 1 group by lang),
+cand as (select *, string_split(phrase, ' ') as w from f where m > 1 and a >= {least}),
+parts as (select lang, array_to_string(w[s:s + k - 1], ' ') as phrase, max(a) as a from (
+  select lang, w, a, k, unnest(range(1, m - k + 2)) as s from (select *, unnest(range(2, m)) as k from cand) q) q group by all),
+cuts as (select c.lang, c.phrase, c.a, k, x.a as l, y.a as r, n,
+    (1000::hugeint * c.a::hugeint * n::hugeint) // (x.a::hugeint * y.a::hugeint) as score
+  from (select *, unnest(range(1, m)) as k from cand) c join totals using (lang)
+  join f x on x.lang = c.lang and x.m = k and x.phrase = array_to_string(w[1:k], ' ')
+  join f y on y.lang = c.lang and y.m = c.m - k and y.phrase = array_to_string(w[k + 1:], ' ')),
+least as (select lang, phrase, a, n, arg_min(l, (score, k)) as l, arg_min(r, (score, k)) as r, min(score) as score
+  from cuts group by lang, phrase, a, n),
+kept as (select * from least where not exists (select 1 from parts p
+  where p.lang = least.lang and p.phrase = least.phrase and p.a >= least.a))
+select lang, row_number() over w as rank, phrase, a, cast(l as bigint) as l, cast(r as bigint) as r, cast(n as bigint) as n,
+  cast(score as bigint) as score
+from kept window w as (partition by lang order by score desc, a desc, phrase) qualify rank <= {top}"""
+
+
+SQL["op13_phrase_collocations"] = collocations_sql()
