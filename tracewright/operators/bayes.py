@@ -14,7 +14,16 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.fixed_values import BAYES_DIMENSIONS
 from tracewright.functions.rows import exploded
-from tracewright.operators.reduce import anova, anova_f, class_counts, feature_sums, select_kbest
+from tracewright.operators.reduce import (
+    anova,
+    anova_f,
+    class_counts,
+    feature_sums,
+    held_out_axes,
+    principal_axes,
+    projected,
+    select_kbest,
+)
 from tracewright.plans.skew import salted_join
 from tracewright.session import materialised
 
@@ -226,6 +235,42 @@ def kfold_models(
     return models(train, train_n, feature_count(sums), masks(ranks, params))
 
 
+def component_scores(samples: DataFrame, k: int, params: list[int], reduce_scope: str = "all") -> DataFrame:
+    """Every sample with the scores of the models of its fold on the first principal components, for each number in params.
+
+    reduce_scope="all" takes the components of all samples, as the swept experiment does; "train" takes those of the training
+    part of each fold, from the sums of all samples minus the fold's own, and places each sample on the axes of all folds.
+    The axes are found once, for the largest number; fewer components are the first of them.
+    """
+    if reduce_scope not in ("all", "train"):
+        raise ValueError(f"unknown reduce_scope {reduce_scope!r}; use all or train")
+    if reduce_scope == "all":
+        whole = samples.withColumn("_all", F.lit(0))
+        placed = materialised(projected(whole, principal_axes(whole, max(params), "_all"), "_all").drop("_all"))
+        own = placed.withColumn("batch", F.col("fold"))
+        train, train_n = held_out_sums(
+            materialised(feature_sums(own, ["batch"])), materialised(class_counts(own, ["batch"])), k)
+        test = own
+    else:
+        axes = held_out_axes(samples, max(params), "fold")
+        every = samples.select("*", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("batch"))
+        placed = materialised(projected(every, axes, "batch").filter("features is not null"))
+        train, train_n = fitted_sums(placed.filter("fold is null or fold <> batch"))
+        test = placed.filter("fold = batch")
+    return scored(test, component_models(train, train_n, params)).drop("batch")
+
+
+def fitted_sums(train: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sums and counts of the samples of each batch."""
+    return materialised(feature_sums(train, ["batch"])), materialised(class_counts(train, ["batch"]))
+
+
+def component_models(sums: DataFrame, counts: DataFrame, params: list[int]) -> DataFrame:
+    """Models on the first components, for each number of them in params."""
+    ranks = sums.select("batch", "j").distinct().withColumn("rank", F.col("j"))
+    return models(sums, counts, feature_count(sums), masks(ranks, params))
+
+
 def masks(ranks: DataFrame, params: list[int]) -> DataFrame:
     """(batch, param, j): the features kept for each swept number of features."""
     wanted = F.explode(F.array(*[F.lit(p) for p in params])).alias("param")
@@ -245,6 +290,12 @@ def predictions(scores: DataFrame) -> DataFrame:
     return scores.withColumn("predicted", best_class(F.col("scores"))).drop("scores")
 
 
-def sweep(samples: DataFrame, k: int = 10, params: list[int] = BAYES_DIMENSIONS, reduce_scope: str = "all") -> DataFrame:
-    """Predictions (sample_id, class_name, fold, param, predicted) for every number of kept features."""
-    return predictions(kfold_scores(samples, k, params, reduce_scope))
+def sweep(
+    samples: DataFrame, k: int = 10, params: list[int] = BAYES_DIMENSIONS, reduce_scope: str = "all",
+    reduction: str = "selectkbest",
+) -> DataFrame:
+    """Predictions (sample_id, class_name, fold, param, predicted) for every number of kept features or components."""
+    if reduction not in ("selectkbest", "pca"):
+        raise ValueError(f"unknown reduction {reduction!r}; use selectkbest or pca")
+    scores = component_scores if reduction == "pca" else kfold_scores
+    return predictions(scores(samples, k, params, reduce_scope))

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewright.functions.fixed_values import TREE_DEPTHS
+from tracewright.functions.fixed_values import BAYES_DIMENSIONS, TREE_DEPTHS
 from tracewright.operators import bayes, tree
-from tracewright.operators.reduce import anova
+from tracewright.operators.reduce import anova, principal_axes, projected
 from tracewright.operators.text import l2_normalised, smooth_idf
 from tracewright.session import materialised
 
@@ -145,6 +145,25 @@ def holdout_bayes(
     return bayes.predictions(bayes.scored(test, rows)).drop("batch")
 
 
+def holdout_components(
+    cells: DataFrame, samples: DataFrame, cycles: int, k: int = 128, params: list[int] = BAYES_DIMENSIONS, fit: str = "train",
+) -> DataFrame:
+    """The predictions of `holdout_bayes` on principal components, for each number of them in params.
+
+    All cycles' sums are taken in one pass over the vectors. fit="train" places the test samples of a cycle on the axes of its
+    training samples; fit="separate" gives vocabulary and axes of their own to the test samples.
+    """
+    vectors = materialised(holdout_vectors(cells, samples, cycles, k, fit))
+    part = F.col("cycle") * 2 + (F.col("split") == "test").cast("int")
+    batched = vectors.withColumn("_part", part if fit == "separate" else F.col("cycle") * 2)
+    fitted = batched if fit == "separate" else batched.filter("split = 'train'")
+    axes = principal_axes(fitted, max(params), "_part")
+    placed = materialised(projected(batched, axes, "_part").withColumn("batch", F.col("cycle")).filter("features is not null"))
+    sums, counts = bayes.fitted_sums(placed.filter("split = 'train'"))
+    test = placed.filter("split = 'test'").select("sample_id", "class_name", "cycle", "batch", "features")
+    return bayes.predictions(bayes.scored(test, bayes.component_models(sums, counts, params))).drop("batch")
+
+
 def holdout_trees(
     cells: DataFrame, samples: DataFrame, cycles: int, k: int = 128, criterion: str = "gini",
     depths: list[int] = TREE_DEPTHS, fit: str = "train", max_bins: int = 256, seed: int = 0,

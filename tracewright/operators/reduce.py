@@ -5,6 +5,11 @@ Samples are rows (sample_id, class_name, features array<double>); features are n
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -13,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.functions.rows import exploded
+from tracewright.session import materialised
 
 
 # ---- sums ----------------------------------------------------------------------------------------------
@@ -139,6 +145,84 @@ def program_projection(samples: DataFrame, program: str, dimension: int = 2, sep
     return projection(samples.filter((name == program) | name.startswith(program + separator)), dimension)
 
 
+# ---- axes of many batches ------------------------------------------------------------------------------
+
+MAX_AXIS_NUMBERS = 8_000_000  # of all batches' axes together, 64 MB: they are sent to all tasks
+
+
+def scatters(samples: DataFrame, batch: str) -> tuple[DataFrame, list[float]]:
+    """(batch, sums): n, the sums and the products of all pairs of features, and the point they are taken from.
+
+    A task adds up whole matrices of its rows, and the tasks' matrices are added, so nothing is made per pair of features.
+    Sums are taken from the mean of all samples, as sums of large numbers would not leave their small differences.
+    """
+    rows = samples.filter("features is not null")
+    mean = rows.select(Summarizer.mean(array_to_vector("features")).alias("m")).first()["m"]
+    centre = [] if mean is None else mean.toArray().tolist()
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[object, np.ndarray] = {}
+        for part in batches:
+            x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1) - np.array(centre)
+            own = part.column(0).to_pylist()
+            for b in set(own):
+                y = x[[o == b for o in own]]
+                sums = np.concatenate([[len(y)], y.sum(0), (y.T @ y).ravel()])
+                total[b] = total[b] + sums if b in total else sums
+        for b, sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([sums], pa.list_(pa.float64()))], ["batch", "sums"])
+
+    parts = rows.select(F.col(batch).cast("long").alias("batch"), "features").mapInArrow(added, "batch long, sums array<double>")
+    summed = parts.groupBy("batch").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+    return materialised(summed), centre
+
+
+def axes_of(sums: np.ndarray, centre: list[float], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, the first k principal axes as columns, and all shares of the variance, from sums of `scatters`."""
+    n, d = sums[0], len(centre)
+    shift = sums[1:d + 1] / n
+    values, axes = np.linalg.eigh(sums[d + 1:].reshape(d, d) / n - np.outer(shift, shift))
+    values, axes = np.maximum(values[::-1], 0), axes[:, ::-1][:, :k]
+    largest = axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])]
+    return np.array(centre) + shift, axes * np.where(largest < 0, -1.0, 1.0), values / max(values.sum(), 1e-300)
+
+
+def principal_axes(samples: DataFrame, k: int, batch: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Mean and the first k axes of the samples of each batch; smaller k are a prefix of them."""
+    sums, centre = scatters(samples, batch)
+    return {r.batch: axes_of(np.array(r.sums), centre, k)[:2] for r in sums.toLocalIterator()}
+
+
+def held_out_axes(samples: DataFrame, k: int, batch: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The same for the training part of each batch: the sums of all samples minus the batch's own."""
+    sums, centre = scatters(samples, batch)
+    whole = sums.select(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums")).first()["sums"]
+    parts = sums.filter("batch is not null").toLocalIterator()  # one matrix at a time
+    return {r.batch: axes_of(np.array(whole) - np.array(r.sums), centre, k)[:2] for r in parts if r.sums[0] < whole[0]}
+
+
+def projected(samples: DataFrame, axes: dict[int, tuple[np.ndarray, np.ndarray]], batch: str) -> DataFrame:
+    """Features replaced by their places on the axes of their batch; a batch without axes has null ones."""
+    numbers = sum(a.size for _, a in axes.values())
+    if numbers > MAX_AXIS_NUMBERS:
+        raise ValueError(f"{numbers} numbers of axes; at most {MAX_AXIS_NUMBERS}")
+    shared = samples.sparkSession.sparkContext.broadcast(axes)
+
+    @F.pandas_udf("array<double>")
+    def onto(batches: pd.Series, features: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(features), dtype=object)
+        for b in batches.dropna().unique():
+            rows = np.flatnonzero((batches == b).to_numpy() & features.notna().to_numpy())
+            if int(b) in shared.value and len(rows):
+                mean, axes = shared.value[int(b)]
+                places = (np.stack(features.iloc[rows].to_list()) - mean) @ axes
+                for row, place in zip(rows, places):
+                    out.iat[row] = place
+        return out
+
+    return samples.withColumn("features", onto(F.col(batch).cast("long"), "features"))
+
+
 def reduce_features(samples: DataFrame, method: str, k: int) -> DataFrame:
     """selectkbest, pca or none."""
     method = method.lower()

@@ -52,9 +52,12 @@ from part""",
 
 
 def with_views(names: str, body: str) -> str:
-    """SQL with the named views in front; body is either a query or starts with further 'name as (...)' parts."""
+    """SQL with the named views in front; body is a query, or begins with a `--ctes` line and further 'name as (...)' parts.
+
+    These may call on themselves.
+    """
     parts = [f"{n} as (\n{VIEWS[n]})" for n in names.split()]
-    return "with " + ",\n".join(parts) + (",\n" if body.lstrip().startswith("--ctes") else "\n") + body
+    return "with recursive " + ",\n".join(parts) + (",\n" if body.lstrip().startswith("--ctes") else "\n") + body
 
 
 def query(name: str, sql: str | None = None, views: str = "") -> Callable[[Query], Query]:

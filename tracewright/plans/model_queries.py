@@ -240,6 +240,70 @@ def nb_sweep(spark, sf):
     return evaluate.sweep_curve(bayes.sweep(folded(spark, sf), K))
 
 
+# ---- principal components ------------------------------------------------------------------------------
+
+SQUARINGS = 36  # a power of 2^36: what the second axis still adds is beyond the last digit
+
+
+def _axes_sql(k: int) -> str:
+    """ax(g, p, j, v) and ev(g, p, l): the first k axes and their variances of each matrix cv(g, i, j, v).
+
+    A matrix that is squared again and again, and scaled to trace 1, becomes the product of its first axis with itself; the
+    axis is then taken out of the matrix, and the next one follows. An axis points where its largest number is positive.
+    """
+    ctes = ["""ma0 as (select g, list(r order by i) as m from (select g, i, list(v order by j) as r from cv group by g, i) q group by g)"""]
+    for p in range(1, k + 1):
+        ctes.append(f"""sq{p}(g, it, m) as (select g, 0, m from ma{p - 1} union all
+  select g, it + 1, list_transform(s, lambda r: list_transform(r, lambda v: v / t)) from (
+    select g, it, s, list_sum(list_transform(range(1, len(s) + 1), lambda i: s[i][i])) as t from (
+      select g, it, list_transform(m, lambda r: list_transform(m, lambda q: list_inner_product(r, q))) as s
+      from sq{p} where it < {SQUARINGS}) q) q),
+co{p} as (select g, m[list_position(d, list_max(d))] as c from (
+  select g, m, list_transform(range(1, len(m) + 1), lambda i: m[i][i]) as d from sq{p} where it = {SQUARINGS}) q),
+un{p} as (select g, list_transform(c, lambda v: v * sign(c[list_position(a, list_max(a))]) / sqrt(list_inner_product(c, c))) as u
+  from (select g, c, list_transform(c, lambda v: abs(v)) as a from co{p}) q),
+ax{p} as (select g, u, m, list_inner_product(u, list_transform(m, lambda r: list_inner_product(r, u))) as l
+  from un{p} join ma{p - 1} using (g)),
+ma{p} as (select g, list_transform(range(1, len(u) + 1), lambda i: list_transform(range(1, len(u) + 1),
+  lambda j: m[i][j] - l * u[i] * u[j])) as m from ax{p})""")
+    every = " union all ".join(f"select g, {p} as p, u, l from ax{p}" for p in range(1, k + 1))
+    ctes.append(f"us as ({every}), ev as (select g, p, l from us), "
+                "ax as (select g, p, cast(generate_subscripts(u, 1) as bigint) as j, unnest(u) as v from us)")
+    return ",\n".join(ctes)
+
+
+_CENTRED = """x0 as (select sample_id, c, j, x - avg(x) over (partition by j) as x, 0 as g from x),
+cv as (select 0 as g, a.j as i, b.j, sum(a.x * b.x) as v from x0 a join x0 b using (sample_id) group by 1, 2, 3)"""
+
+
+def _components(k: int) -> str:
+    """y(sample_id, c, j, x): the samples on their first k axes."""
+    return f"""with recursive {_X}, {_CENTRED}, {_axes_sql(k)},
+y as (select sample_id, c, p as j, sum(x0.x * v) as x from x0 join ax on ax.j = x0.j group by 1, 2, 3)"""
+
+
+def _nb_components(k: int, params: list[int]) -> str:
+    listed = ", ".join(f"({p})" for p in params)
+    scores = _nb("fold <> f", _FOLDS10, extra="and x.j <= p.p", param="p.p", join=f", (values {listed}) p(p)")
+    return f"{_components(k)}, {_folds('embeddings', 'vec_id', K)}, {scores.replace(', x join fo', ', y as x join fo').replace('join x on', 'join y as x on')}"
+
+
+@query("nb_kfold_pca", sql=_nb_components(8, [8]) + """
+select sample_id, cast(label as varchar) as class_name, f as fold, predicted from be join embeddings on vec_id = sample_id""")
+def nb_kfold_pca(spark, sf):
+    """On the first eight principal components of all samples."""
+    found = bayes.sweep(folded(spark, sf), K, [8], reduction="pca")
+    return found.select("sample_id", "class_name", "fold", "predicted")
+
+
+@query("nb_sweep_pca", sql=_nb_components(16, [2, 4, 8, 16]) + f""",
+a as (select param, f, {_ACC.format(a='cast(label as varchar)', b='predicted')} as h
+      from be join embeddings on vec_id = sample_id group by 1, 2)
+select param, floor((2 * sum(h) + count(*)) / (2 * count(*))) / cast(100 as double) as mean_accuracy from a group by 1""")
+def nb_sweep_pca(spark, sf):
+    return evaluate.sweep_curve(bayes.sweep(folded(spark, sf), K, [2, 4, 8, 16], reduction="pca"))
+
+
 # ---- held-out programs ---------------------------------------------------------------------------------
 
 COLUMNS = 16
@@ -357,6 +421,37 @@ def holdout_nb_curve(spark, sf):
     return evaluate.sweep_curve(found, ["param"], "cycle")
 
 
+_HOLDOUT_COMPONENTS = [2, 4]
+
+
+# As above, with the places on the axes of each cycle's training samples as cells; zeros are cells here, too.
+@query("holdout_nb_pca", views="asm", sql=_batch_sql("'train'") + f""",
+w2 as (select *, w / norm as x from w1),
+dn as (select m.cycle as g, m.split, m.sample_id, m.cls, cast(r.j as bigint) as j, coalesce(w2.x, 0) as x
+  from m cross join range(1, {COLUMNS + 1}) r(j)
+  left join w2 on w2.cycle = m.cycle and w2.split = m.split and w2.sample_id = m.sample_id and w2.j = r.j),
+mn as (select g, j, avg(x) as mu from dn where split = 'train' group by 1, 2),
+x0 as (select dn.* replace (x - mu as x) from dn join mn using (g, j)),
+cv as (select g, a.j as i, b.j, sum(a.x * b.x) as v from x0 a join x0 b using (g, split, sample_id)
+  where split = 'train' group by 1, 2, 3),
+{_axes_sql(max(_HOLDOUT_COMPONENTS))},
+y as (select x0.g as cycle, split, sample_id, cls, p as j, abs(sum(x0.x * v)) as x from x0 join ax on ax.g = x0.g and ax.j = x0.j
+  group by 1, 2, 3, 4, 5),
+pp as (select p as param from (values {", ".join(f"({p})" for p in _HOLDOUT_COMPONENTS)}) t(p)),
+cn as (select cycle, cls, count(*) as n from m where split = 'train' group by 1, 2),
+pr as (select cycle, cls, ln(cast(n as double) / cast(sum(n) over (partition by cycle) as double)) as lp from cn),
+tr as (select cycle, param, cls, j, sum(x) as s from y join pp on j <= param where split = 'train' group by 1, 2, 3, 4),
+tt as (select cycle, param, cls, sum(s) as s, count(*) as k from tr group by 1, 2, 3),
+sc as (select y.cycle, y.sample_id, y.cls as truth, tr.param, tr.cls, any_value(lp) + sum(y.x * ln((tr.s + 1) / (tt.s + tt.k))) as score
+  from y join tr on tr.cycle = y.cycle and tr.j = y.j join tt on tt.cycle = tr.cycle and tt.param = tr.param and tt.cls = tr.cls
+  join pr on pr.cycle = tr.cycle and pr.cls = tr.cls where y.split = 'test' group by 1, 2, 3, 4, 5)
+select sample_id, truth as class_name, cast(cycle as int) as cycle, cast(param as int) as param, cls as predicted from sc
+qualify row_number() over (partition by cycle, sample_id, param order by round(score, 9) desc, cls) = 1""")
+def holdout_nb_pca(spark, sf):
+    samples = _holdout_samples(spark, sf)
+    return holdout.holdout_components(_holdout_cells(spark, sf, samples), samples, K, COLUMNS, _HOLDOUT_COMPONENTS)
+
+
 @query("holdout_cart")
 def holdout_cart(spark, sf):
     """A tree per cycle on the dense vectors of the held-out experiment."""
@@ -500,7 +595,8 @@ def cart_shallow_sweep(spark, sf):
 # ---- projections ---------------------------------------------------------------------------------------
 
 
-@query("pca_project")
+@query("pca_project", sql=_components(8) + """
+select sample_id, cast(j as bigint) as component, round(x, 6) as value from y""")
 def pca_project(spark, sf):
     projected = reduce.pca_project(vectors(spark, sf), 8)
     return projected.select("sample_id", F.posexplode_outer("features").alias("p", "x")).select(
@@ -508,12 +604,14 @@ def pca_project(spark, sf):
     )
 
 
-@query("pca_explained")
+@query("pca_explained", sql=_components(8) + """
+select cast(p as bigint) as component, l / (select sum(v) from cv where i = j) as ratio from ev""")
 def pca_explained(spark, sf):
     return reduce.pca_explained(vectors(spark, sf), 8)
 
 
-@query("projection_2d")
+@query("projection_2d", sql=_components(2) + """
+select sample_id, sum(x) filter (j = 1) as x1, sum(x) filter (j = 2) as x2, c as class_name from y group by sample_id, c""")
 def projection_2d(spark, sf):
     return reduce.projection(vectors(spark, sf), 2)
 
