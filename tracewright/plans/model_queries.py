@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import bayes, cluster, evaluate, hmm, holdout, plans, reduce, split, tree
+from tracewright.functions.fixed_values import TREE_DEPTHS
+from tracewright.operators import bayes, cluster, evaluate, growth, hmm, holdout, plans, reduce, split, tree
 from tracewright.plans import views
 from tracewright.plans.catalog import query
 from tracewright.plans.ordering import row_numbers
@@ -490,23 +491,71 @@ def best_split_entropy(spark, sf):
     return tree.best_splits(vectors(spark, sf), "entropy")
 
 
-@query("cart_predict")
+def _growth_sql(criterion: str, depths: list[int]) -> str:
+    """pr(f, sample_id, class_name, param, predicted) from rw(f, sample_id, c, j, x, train): trees grown level by level.
+
+    n<d> has the node of each row after d splits and b<d> the best splits of the nodes of level d, each threshold midway between
+    two values of the node. w is the sum over classes of n * n or n * log2(n).
+    """
+    def w(n: str) -> str:
+        return f"({n}) * ({n})" if criterion == "gini" else f"case when {n} > 0 then ({n}) * log2({n}) else 0 end"
+
+    def impurity(total: str, n: str) -> str:
+        return f"1 - ({total}) / (({n}) * ({n}))" if criterion == "gini" else f"log2({n}) - ({total}) / ({n})"
+
+    parts, deepest = ["n0 as materialized (select distinct f, sample_id, c, train, cast(1 as bigint) as node from rw)"], max(depths)
+    for d in range(deepest):
+        parts += [f"""s{d} as (select rw.f, n.node, rw.j, rw.x, rw.c, cast(count(*) as double) as n from rw
+        join n{d} n on n.f = rw.f and n.sample_id = rw.sample_id where n.train and n.node >= {1 << d} group by all),
+l{d} as (select *, coalesce(sum(n) over (partition by f, node, j, c order by x rows between unbounded preceding and 1 preceding), 0) as l,
+        sum(n) over (partition by f, node, j, c) as t from s{d}),
+v{d} as (select f, node, j, x, sum(n) as n, sum({w('l + n')} - {w('l')}) as dl, sum({w('t - l - n')} - {w('t - l')}) as dr from l{d} group by all),
+r{d} as (select f, node, j, x, lead(x) over o as nxt, sum(n) over o as ln, sum(dl) over o as sl, sum(dr) over o as sr,
+        sum(n) over p as tn, sum(dl) over p as st from v{d} window o as (partition by f, node, j order by x), p as (partition by f, node, j)),
+b{d} as materialized (select * from (select f, node, j, (x + nxt) / 2 as threshold, round({impurity('st', 'tn')}
+          - (ln / tn) * ({impurity('sl', 'ln')}) - ((tn - ln) / tn) * ({impurity('st + sr', '(tn - ln)')}), 9) as gain
+        from r{d} where nxt is not null) q
+        qualify row_number() over (partition by f, node order by gain desc, j, threshold) = 1),
+n{d + 1} as materialized (select n.f, n.sample_id, n.c, n.train, case when b.gain > 0 then 2 * n.node
+          + case when rw.x <= b.threshold then 0 else 1 end else n.node end as node
+        from n{d} n left join b{d} b on b.f = n.f and b.node = n.node
+        left join rw on rw.f = n.f and rw.sample_id = n.sample_id and rw.j = b.j)"""]
+    leaves = " union all ".join(
+        f"""select {d} as param, n.f, n.sample_id, n.c as class_name, m.c as predicted from n{d} n
+        join (select f, node, c from n{d} where train group by f, node, c
+              qualify row_number() over (partition by f, node order by count(*) desc, c) = 1) m
+        on m.f = n.f and m.node = n.node where not n.train""" for d in depths
+    )
+    return ",\n".join([*parts, f"pr as ({leaves})"]) + "\n"
+
+
+def _grown_sql(tested: str, criterion: str, depths: list[int]) -> str:
+    return f"""with {_X}, {_folds('embeddings', 'vec_id', K)}, bt as (select f from (values {tested}) t(f)),
+rw as materialized (select bt.f, x.*, fo.fold <> bt.f as train from bt, x join fo on fo.vec_id = x.sample_id),
+{_growth_sql(criterion, depths)}"""
+
+
+@query("cart_predict", sql=_grown_sql("(9)", "gini", [8]) + "select sample_id, class_name, predicted from pr")
 def cart_predict(spark, sf):
     train, test = _held_out(spark, sf)
-    return tree.fit_predict(train, test, "gini", 8).select("sample_id", "class_name", "predicted")
+    return growth.fit_predict(train, test, "gini", 8).select("sample_id", "class_name", "predicted")
 
 
 def _cart_predictions(spark, sf):
-    return tree.kfold_predictions(folded(spark, sf, 3), 3, "entropy", [2, 4, 8])
+    return growth.kfold_predictions(folded(spark, sf), K, "entropy", TREE_DEPTHS)
 
 
-@query("cart_kfold")
+@query("cart_kfold", sql=_grown_sql(_FOLDS10, "entropy", TREE_DEPTHS) + """
+select sample_id, class_name, cast(f as int) as fold, cast(param as int) as param, predicted from pr""")
 def cart_kfold(spark, sf):
-    """Three folds and three depths; the operator takes any number of either."""
+    """Ten folds and eleven depths from ten trees that grow together."""
     return _cart_predictions(spark, sf)
 
 
-@query("cart_sweep")
+@query("cart_sweep", sql=_grown_sql(_FOLDS10, "entropy", TREE_DEPTHS) + f""",
+a as (select param, f, {_ACC.format(a='class_name', b='predicted')} as h from pr group by 1, 2)
+select cast(param as int) as param, floor((2 * sum(h) + count(*)) / (2 * count(*))) / cast(100 as double) as mean_accuracy
+from a group by 1""")
 def cart_sweep(spark, sf):
     return evaluate.sweep_curve(_cart_predictions(spark, sf))
 
