@@ -29,7 +29,7 @@ from tracewright.plans.ordering import ranged
 from tracewright.session import materialised
 
 MAX_NODES = 5_000_000  # of all trees together; they are sent to all tasks
-FEW_CELLS = 2_000_000  # class counts of values, some 100 MB
+FEW_CELLS = 10_000_000  # class counts of values, some 500 MB; a sort of them spills at worst
 DEEPEST = 60  # nodes are numbered 1, 2n and 2n + 1
 
 Tree = dict[int, tuple]  # node to (class, feature from 1 or 0, threshold)
