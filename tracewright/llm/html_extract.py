@@ -11,10 +11,12 @@ list below); they are left out, and so are scripts, styles and markup comments.
 holds an `article` or `main` element is not left out, unless it is marked as comments. What is left is up to the weights.
 
 Weights are counted over all pages in one pass and cut to the MAX_KEYS most frequent keys before they are broadcast;
-other tags take the weight of the rarest. Each page is then worked on by itself, without a shuffle.
+words of other keys score NEW_WORD each, other tags NEW_TAG. Each page is then worked on by itself, without a shuffle.
 
 Text: character references are decoded; white space inside a block is one space; blocks are joined by one newline; a
-line break inside a block is a space. Defined results: a null or empty page, or one without words outside what is left
+line break inside a block is a space. The scan takes time in proportion to the page, whatever its tags and quotes: a tag
+ends at the next > outside quotes, or at the next > at all; a < that no > follows is text. Formulas and fallback text of
+objects are text; drawings, templates and selections are left out with all they hold. Defined results: a null or empty page, or one without words outside what is left
 out, gives an empty text. Repeated rows and further columns change nothing.
 """
 
@@ -24,7 +26,8 @@ import html
 import math
 import re
 from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,12 +40,12 @@ MAX_KEYS = 1000
 
 # Elements of HTML by their role, and classes, ids and roles that mark what is not main text.
 CONTENT = frozenset("article main".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object select".split())
 RAW_TEXT = frozenset("script style noscript textarea iframe".split())  # no tags inside, only their own end
+GONE = frozenset("svg template select".split())  # left out with all tags in them
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split())
+    "strike strong sub sup time tt u var wbr object math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup".split())
 LEFT_OUT = frozenset("head nav aside footer form button dialog menu".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
@@ -51,9 +54,8 @@ MARKS = frozenset(
     "masthead skip pagination pager toolbar widget complementary contentinfo hidden".split())
 COMMENT_MARKS = frozenset("comment comments reply replies".split())
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S)
+_START = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+_MARK = re.compile("[>\"']")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW_TEXT}
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?(?=[\s/"']|$)""", re.I)
 
@@ -68,32 +70,62 @@ def marks(attributes: str) -> set[str]:
     return out
 
 
+def tag_ends(page: str) -> Callable[[int], int]:
+    """A function from a place to that of the next > outside quotes, or, if there is none, of the next > at all; -1 for none.
+
+    Every quote is followed to its partner once, so all tags of a page together take time in proportion to its length.
+    """
+    known: dict[int, int] = {}
+    last = page.rfind(">")
+
+    def end(at: int) -> int:
+        if at > last:
+            return -1
+        passed, out = [], -1
+        found = _MARK.search(page, at)
+        while found:
+            i = found.start()
+            if page[i] == ">" or i in known:
+                out = known.get(i, i)
+                break
+            passed.append(i)
+            partner = page.find(page[i], i + 1)
+            found = _MARK.search(page, partner + 1) if partner >= 0 else None
+        known.update(dict.fromkeys(passed, out))
+        return out if out >= 0 else page.find(">", at)
+
+    return end
+
+
 def pieces(page: str) -> Iterator[tuple[str, str, str]]:
     """('text', raw, ''), ('open', name, attributes) or ('close', name, ''); raw elements and comments are gone."""
-    at, skip = 0, None
-    while m := _TAG.search(page, at):
-        if skip is None and m.start() > at:
+    at, look, end = 0, 0, tag_ends(page)
+    while m := _START.search(page, look):
+        name = (m[2] or "").lower()
+        if m[0] == "<!--":
+            stop = page.find("-->", m.end())
+            stop = stop + 2 if stop >= 0 else len(page)
+        else:
+            stop = end(m.end()) if name else page.find(">", m.end())
+            if stop < 0:  # no tag ends from here on; only a comment may follow
+                look = page.find("<!--", m.end())
+                if look < 0:
+                    break
+                continue
+        if m.start() > at:
             yield "text", page[at:m.start()], ""
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        at = look = stop + 1
         if not name:
             continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if not closing and name in RAW_TEXT and not attributes.endswith("/"):
-            end = _RAW_END[name].search(page, at)
-            at = end.start() if end else len(page)
-        if skip is not None:
-            if closing and name == skip:
-                skip = None
-            continue
-        if closing:
+        attributes = "" if m[1] else page[m.end():stop]
+        if m[1]:
             yield "close", name, ""
-        elif name in RAW:
-            if not attributes.endswith("/"):
-                skip = name
-        else:
+        elif name not in RAW_TEXT:
             yield "open", name, attributes
-    if skip is None and at < len(page):
+        elif not attributes.endswith("/"):
+            closing = _RAW_END[name].search(page, at)
+            at = look = closing.start() if closing else len(page)
+    if at < len(page):
         yield "text", page[at:], ""
 
 
@@ -110,13 +142,15 @@ def tokens(page: str | None) -> list[dict]:
     """Tags and texts in order: key of the weight, number of words, block, content element, and whether left out."""
     parts = list(pieces(page or ""))
     # Where elements close: the nearest open one of the name; one that is never closed ends with its parent.
-    ends, stack = {}, []
-    for i, (kind, name, _) in enumerate(parts):
-        if kind == "open" and name not in VOID:
+    ends, stack, opened = {}, [], Counter()
+    for i, (kind, name, more) in enumerate(parts):
+        if kind == "open" and name not in VOID and not (name in GONE and more.endswith("/")):
             stack.append((name, i))
-        elif kind == "close" and any(n == name for n, _ in stack):
+            opened[name] += 1
+        elif kind == "close" and opened[name]:
             while True:
                 n, start = stack.pop()
+                opened[n] -= 1
                 if n == name:
                     ends[start] = i
                     break
@@ -130,9 +164,14 @@ def tokens(page: str | None) -> list[dict]:
 
     out, block, around = [], 0, []
     content: list[tuple[int, int]] = []  # content elements that are open: number, end
-    dead_until, dead_loose = -1, False
+    gone_until, dead_until, dead_loose = -1, -1, False
     n_content = 0
     for i, (kind, name, more) in enumerate(parts):
+        if i <= gone_until:
+            continue
+        if kind == "open" and name in GONE:
+            gone_until = ends.get(i, i)
+            continue
         while content and i > content[-1][1]:
             content.pop()
         if dead_loose and kind != "text" and name not in INLINE:
@@ -146,6 +185,9 @@ def tokens(page: str | None) -> list[dict]:
             continue
         if name not in INLINE:
             block += 1
+        # Elements that have ended no longer surround; unclosed ones surround up to the next tag.
+        while around and around[-1][1] <= i:
+            around.pop()
         if kind == "open":
             if not dead and _left_out(name, more, bool(content)) and (content or not wraps_content(i)):
                 dead = True
@@ -161,8 +203,6 @@ def tokens(page: str | None) -> list[dict]:
         key = ("/" if kind == "close" else "") + name
         out.append({"key": key, "words": 0, "text": " " if name == "br" else "", "block": block,
                     "content": content[0][0] if content else 0, "dead": dead})
-        # Elements that have ended no longer surround; unclosed ones surround up to the next block.
-        around = [(n, e) for n, e in around if e > i or e == i and kind == "open"] if len(around) < 64 else around[-32:]
     return out
 
 
