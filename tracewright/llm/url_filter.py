@@ -8,7 +8,8 @@
   outside its vocabulary say nothing.
 
 The unigram table stays a DataFrame of any size. Each distinct name of hosts and paths is split once: a join gives it
-those of its substrings that were counted as words, which is all that the search over the whole table could use.
+those of its substrings that were counted as words, which is all that the search over the whole table could use. Long
+names are cut into overlapping windows for that join, so no row holds more substrings than one window has.
 
 Defined results: a null URL or one without `://` has empty host and path, no rule, and the verdict of no words at all,
 allow. Each row is judged by itself, so repeated rows and further columns change nothing.
@@ -30,6 +31,7 @@ from tracewright.session import materialised
 BLOCK_SHARE = 0.2  # of URLs, before any word is seen
 SEED_MASS = 1e-3
 FEW_NAMES = 200_000  # names, or URLs by their names, that go back to the rows by a broadcast
+WINDOW = 256  # letters of a name in which substrings start that one row makes
 UNKNOWN = ""  # stands in the model for a letter without a word
 
 # The rules of the production list: fixed values.
@@ -97,17 +99,25 @@ def unigram_scale(counts: DataFrame) -> tuple[float, dict[str, float]]:
 
 
 def word_tables(names: DataFrame, counts: DataFrame) -> DataFrame:
-    """names (name) with `table`, the counts of those of its substrings that are words; null if none is."""
-    lengths = sorted(r.n for r in counts.select(F.char_length("word").alias("n")).distinct().collect())
-    name, size = F.col("name"), F.char_length("name")
+    """names (name) with `table`, the counts of those of its substrings that are words; null if none is.
+
+    A name is cut into windows, each a row that makes its own substrings, so a row stays small however long the name is.
+    """
+    lengths = sorted(r.n for r in counts.select(F.char_length("word").alias("n")).distinct().collect()) or [1]
+    code = F.md5("name").alias("code")
+    size = F.char_length("name")
+    windows = names.select(code, (size == 1).alias("whole"), F.explode(F.transform(
+        F.sequence(F.lit(1), size, F.lit(WINDOW)), lambda at: F.substring("name", at, F.lit(WINDOW + lengths[-1] - 1)))).alias("window"))
+    room = F.char_length("window")
     # A single letter is a word only if it is the whole name.
-    fits = F.filter(F.array(*map(F.lit, lengths or [1])), lambda n: (n <= size) & ((n > 1) | (size == 1)))
+    fits = F.filter(F.array(*map(F.lit, lengths)), lambda n: (n <= room) & ((n > 1) | F.col("whole")))
     cut = F.flatten(F.transform(fits, lambda n: F.transform(
-        F.sequence(F.lit(1), size - n + 1), lambda at: F.substring(name, at, n))))
-    parts = names.select("name", F.explode(F.array_distinct(cut)).alias("word"))
+        F.sequence(F.lit(1), F.least(room - n + 1, F.lit(WINDOW))), lambda at: F.substring("window", at, n))))
+    parts = windows.select("code", F.explode(F.array_distinct(cut)).alias("word"))
     known = few_or_joined(parts.select("word").distinct().join(counts, "word"), FEW_NAMES)
-    tables = parts.join(known, "word").groupBy("name").agg(F.collect_list(F.struct("word", "count")).alias("table"))
-    return names.join(tables, "name", "left")
+    found = parts.join(known, "word").distinct()
+    tables = found.groupBy("code").agg(F.collect_list(F.struct("word", "count")).alias("table"))
+    return names.withColumn("code", code).join(tables, "code", "left").drop("code")
 
 
 def segmented(name: str, model: dict[str, float]) -> list[str]:
@@ -127,16 +137,16 @@ def segmented(name: str, model: dict[str, float]) -> list[str]:
                 top, start = best[s] + part, s
         best.append(top)
         back.append(start)
-    out, end, loose = [], len(name), False
+    spans, end, loose = [], len(name), False
     while end:
-        piece = name[back[end]:end]
-        if len(piece) == 1 and loose:
-            out[-1] = piece + out[-1]
+        start = back[end]
+        if end - start == 1 and loose:
+            spans[-1] = (start, spans[-1][1])
         else:
-            out.append(piece)
-        loose = len(piece) == 1
-        end = back[end]
-    return out[::-1]
+            spans.append((start, end))
+        loose = end - start == 1
+        end = start
+    return [name[start:end] for start, end in reversed(spans)]
 
 
 def names_of(host: Column, path: Column) -> Column:
