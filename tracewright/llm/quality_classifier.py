@@ -12,7 +12,8 @@ The fit reads a bounded sample of labelled rows: at most PER_CLASS of each label
 The whole table is scored with the broadcast model, whose size is fixed.
 
 Defined results: a null text counts as empty and has a score like any other. Labels that are null are ignored; of
-several labels of an id the greatest counts. Without rows of both labels the score is the share of label 1, or 0.5
+several labels of an id the greatest counts; of several texts of a labelled id the fit reads the least. A null id has no label: such rows
+are scored, but never train (in the query, their held_out is null). Texts of any length are worked on in slices of tokens. Without rows of both labels the score is the share of label 1, or 0.5
 without labels. Each row is judged by itself; further columns are untouched.
 """
 
@@ -38,6 +39,7 @@ NEAR = 2  # tokens on each side that make a context
 HIDDEN = 32
 LAGS = 4  # a token may equal the one so many places before
 FIT_TASKS = 8
+SLICE = 1 << 16  # tokens of a text whose contexts are summed at once
 
 
 # ---- tokens and vectors --------------------------------------------------------------------------------
@@ -72,11 +74,14 @@ def context_sums(texts: Iterable[str | None], index: np.ndarray) -> np.ndarray:
         ids = token_ids(text)
         if len(ids) < 2:
             continue
-        around = np.zeros((len(ids), WIDTH), np.int64)
-        for off in range(1, min(NEAR, len(ids) - 1) + 1):
-            around[off:] += index[ids[:-off]]
-            around[:-off] += index[ids[off:]]
-        np.add.at(sums, ids, around)
+        for start in range(0, len(ids), SLICE):
+            stop = min(start + SLICE, len(ids))
+            around = np.zeros((stop - start, WIDTH), np.int64)
+            for off in range(1, min(NEAR, len(ids) - 1) + 1):
+                low, high = min(max(start, off), stop), min(stop, len(ids) - off)
+                around[low - start:] += index[ids[low - off:stop - off]]
+                around[:max(0, high - start)] += index[ids[start + off:high + off]]
+            np.add.at(sums, ids[start:stop], around)
     return sums
 
 
@@ -177,7 +182,9 @@ def train(
     if len(sizes) < 2:
         return {"constant": sizes.get(1, 0) / total if total else 0.5}
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    texts = materialised(texts.join(F.broadcast(chosen.select("id", "y", "h")), "id").repartition(FIT_TASKS, "id"))
+    # Of rows that repeat an id, one text.
+    texts = texts.join(F.broadcast(chosen.select("id", "y", "h")), "id").groupBy("id", "y", "h").agg(F.min("text").alias("text"))
+    texts = materialised(texts.repartition(FIT_TASKS, "id"))
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_vectors()
