@@ -187,6 +187,7 @@ def candidates(lines: DataFrame, edits: int, least: int) -> DataFrame:
     """(a, b): hashes c1 of texts that share a segment."""
     long = lines.select("c1", "line", F.char_length("line").alias("length")).where(F.col("length") >= least)
     listed = long.select("c1", parity(F.col("line")).alias("bits"), segment_codes(F.col("line"), F.col("length"), edits).alias("codes"))
+    listed = materialised(listed)  # two passes read it: making hashes costs more than writing them
     codes = listed.select("c1", "bits", F.posexplode("codes").alias("pos", "at")).where("at is not null").select(
         "c1", "bits", "at", (F.col("pos") <= edits).alias("stands"))
     # Hashes of two or more texts, of which one stands in the index; equal lines count once.
