@@ -278,7 +278,8 @@ def near_duplicates(
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The documents whose id is the least of their component, and those without an id."""
     gone = near_duplicates(docs, id_col, text_col, **settings).where(f"component_id < `{id_col}`")
-    return docs.join(few_or_joined(gone.select(id_col).distinct()), id_col, "left_anti").select(*docs.columns)
+    left = docs.join(few_or_joined(gone.select(f"`{id_col}`").distinct()), id_col, "left_anti")
+    return left.select(*(f"`{c}`" for c in docs.columns))
 
 
 def brute_force(docs: Iterable[tuple], k: int = SHINGLE, percent: int = PERCENT) -> list[tuple]:
