@@ -1,6 +1,11 @@
 """Stages that turn the documents into training data: each works on all that the one before has kept.
 
 quality classifier -> line dedup -> n-gram Jaccard join -> benchmark decontamination -> mixing to target weights.
+
+Defined results: a row without text is scored like an empty one, has no lines, links with nothing, holds no benchmark
+passage and costs no tokens, so only the first stage can reject it. A row without an id is never a copy of another.
+Rows that repeat id and text are one document: all of them stay or go together. Texts are worked on whole, at any length.
+Further columns are carried along whatever their names; without documents all stages give no rows.
 """
 
 from __future__ import annotations
@@ -45,8 +50,19 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample with raked shares of sources, languages and topics, with the probability of each document."""
-    return mixing.mixed_documents(docs).where("kept").select("row.*", "topic", "probability")
+    """A sample with raked shares of sources, languages and topics, with the topic and probability of each document.
+
+    Where the documents already have a column of such a name, in any case, it stays, and the new one is called
+    mixing_topic or mixing_probability, with further underscores until no column has that name.
+    """
+    taken = {c.lower() for c in docs.columns}
+    named = []
+    for name in ("topic", "probability"):
+        new = name if name not in taken else f"mixing_{name}"
+        while new in taken:
+            new += "_"
+        named.append(F.col(name).alias(new))
+    return mixing.mixed_documents(docs).where("kept").select("row.*", *named)
 
 
 STAGES = [
