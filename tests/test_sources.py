@@ -30,9 +30,12 @@ def test_lines_of_a_file_read_in_many_blocks(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     try:
-        got = files.read_lines(spark, path, "dyndis").orderBy("sample_id", "line_no").collect()
+        lines = files.read_lines(spark, path, "dyndis")
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Sort" not in plan and "Window" not in plan  # lines stay where they are
+    got = lines.orderBy("sample_id", "line_no").collect()
     assert [(r.line_no, r.line) for r in got if r.sample_id == "t"] == [(i + 1, f"line {i}") for i in range(5000)]
     assert [(r.line_no, r.line) for r in got if r.sample_id == "u"] == [(1, "one"), (2, "two")]
 

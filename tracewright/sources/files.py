@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.rows import exploded
 from tracewright.functions.strings import stem
-from tracewright.plans.skew import salted_join
+from tracewright.plans.skew import lookup_join, salted_join
+from tracewright.session import materialised
 
 
 # ---- reading files -------------------------------------------------------------------------------------
@@ -32,11 +33,13 @@ def read_corpus(spark: SparkSession, path: str | list[str], extension: str) -> D
 def read_lines(spark: SparkSession, path: str | list[str], extension: str) -> DataFrame:
     """(path, sample_id, line_no, line) without ever holding a whole file in one row.
 
-    For traces of any length: a file is read in blocks, lines are numbered inside their block, and blocks
-    are shifted by the line counts of the blocks before them (one row per block).  Unlike line_scan it has
-    no row for the empty text after a final newline, and it ends lines at \\n only.
+    For traces of any length: a file is read in blocks, whose lines follow each other in one task.  A line's
+    number is its distance from the first line of its block plus the lines of the blocks before (one row per
+    block), so lines are neither sorted nor shuffled.  They are written once, because blocks are cut anew when
+    files are read again with other settings or executors.  Unlike line_scan it has no row for the empty text
+    after a final newline, and it ends lines at \\n only.
     """
-    raw = (
+    raw = materialised(
         spark.read.option("pathGlobFilter", f"*.{extension}")
         .text(path, lineSep="\n")
         .select(
@@ -46,25 +49,17 @@ def read_lines(spark: SparkSession, path: str | list[str], extension: str) -> Da
             F.col("value").alias("line"),
         )
     )
-    before = (
+    lines_before = F.sum("_n").over(W.partitionBy("path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    blocks = (
         raw.groupBy("path", "_block")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn(
-            "_before", F.sum("_n").over(W.partitionBy("path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
-        )
-        .filter(F.col("_before").isNotNull())
-        .drop("_n")
+        .agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+        .select("path", "_block", (F.coalesce(lines_before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
     )
-    local = F.row_number().over(W.partitionBy("path", "_block").orderBy("_at"))
-    return (
-        raw.withColumn("_local", local)
-        .join(before, ["path", "_block"], "left")
-        .select(
-            "path",
-            stem(F.col("path")).alias("sample_id"),
-            (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("bigint").alias("line_no"),
-            "line",
-        )
+    return lookup_join(raw, blocks, ["path", "_block"], ["path", "_at"]).select(
+        "path",
+        stem(F.col("path")).alias("sample_id"),
+        (F.col("_at") + F.col("_shift")).cast("bigint").alias("line_no"),
+        "line",
     )
 
 
