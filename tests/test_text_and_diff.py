@@ -173,3 +173,13 @@ def test_diff_tokens(spark):
     assert text.symbol_tokens is not None
     df = docs(spark, "A_\n b")
     assert df.select(text.symbol_tokens(F.col("text"))).first()[0] == ["a", "_", "b"]
+
+
+def test_plans_of_many_names(spark):
+    programs = spark.createDataFrame([("p", "x"), ("q", None)], "program string, label string")
+    pool = spark.createDataFrame([(f"n{i % 250}",) for i in range(300)] + [(None,)], "name string")
+    got = [(r.program, r.steps, r.label) for r in plans.label_plans(programs, pool, 2).collect()]
+    steps = [f"n{i}_n{j}" for i in range(250) for j in range(250) if i != j]
+    want = [("p", s, f"x_{s}") for s in steps] + [("q", s, s) for s in steps] + [("p", "", "Ident"), ("q", "", "Ident")]
+    assert sorted(got) == sorted(want)
+    assert plans.label_plans(programs, pool.where("false"), 1).count() == 2

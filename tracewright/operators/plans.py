@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_POOL = 100
+from tracewright.session import materialised
+
+NAMES_A_ROW = 100
+FEW_ROWS = 1_000  # rows of names that are broadcast
 
 
 def label_plans(programs: DataFrame, pool: DataFrame, length: int = 1) -> DataFrame:
@@ -14,18 +17,20 @@ def label_plans(programs: DataFrame, pool: DataFrame, length: int = 1) -> DataFr
     programs are (program, label); the label of a plan is the program's label and the names, joined by '_',
     without a label just the names.  pool has one column of names.  Each program is also kept plain, with
     label Ident and no steps.  Choices are added step by step from the names not yet taken.
+    The names lie in rows of about NAMES_A_ROW, dealt by a hash; each choice meets each of these rows by its number.
     """
     name = pool.columns[0]
-    names = pool.select(F.col(name).alias("x")).distinct()
-    too_many = F.raise_error(F.lit(f"more than {MAX_POOL} names in the pool")).cast("array<string>")
-    listed = names.agg(
-        F.when(F.count(F.lit(1)) > MAX_POOL, too_many).otherwise(F.array_sort(F.collect_list("x"))).alias("x")
-    ).scalar()
-    rows = programs.withColumn("_pool", listed).withColumn("_steps", F.array().cast("array<string>"))
+    names = materialised(pool.select(F.col(name).alias("x")).where("x is not null").distinct())
+    n_rows = 1 + names.count() // NAMES_A_ROW
+    number = F.pmod(F.xxhash64("x"), F.lit(n_rows).cast("long")).alias("_row")
+    listed = names.groupBy(number).agg(F.array_sort(F.collect_list("x")).alias("_pool"))
+    listed = F.broadcast(listed) if n_rows <= FEW_ROWS else listed
+    rows = programs.withColumn("_steps", F.array().cast("array<string>"))
     for _ in range(length):
-        rows = rows.withColumn("_next", F.explode(F.array_except("_pool", "_steps"))).withColumn(
+        met = rows.withColumn("_row", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_rows - 1).cast("long"))))
+        rows = met.join(listed, "_row").withColumn("_next", F.explode(F.array_except("_pool", "_steps"))).withColumn(
             "_steps", F.array_append("_steps", F.col("_next"))
-        )
+        ).drop("_row", "_pool", "_next")
     joined = F.array_join("_steps", "_")
     planned = rows.select(
         "program", joined.alias("steps"),
