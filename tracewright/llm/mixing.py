@@ -12,7 +12,10 @@
   depend on order or partitions, and a larger budget keeps a superset.
 
 Only the table of cells is worked on in rounds. Documents are counted into it with partial aggregates, so a source with a
-third of all documents is one row a task; a round's window sums go over the cells of a value, one for each combination. Cells go back to the documents by a broadcast if they are few, else by a shuffled join.
+third of all documents is one row a task; a round's window sums go over the cells of a value, one for each combination. Up
+to CELLS_A_TASK cells lie in one partition, which serves the sums of every dimension, so their rounds shuffle nothing;
+more cells are shuffled by the values of a dimension. Cells go back to the documents by a broadcast if they are few, else by
+a shuffled join.
 
 Defined results: null source or language is the value '' of its own; a null or empty text has no tokens and the topic
 of no pattern. A cell without tokens has weight 0 and probability 1, as it costs nothing; so a corpus without any word
@@ -85,9 +88,11 @@ def raked(
     for dim, power in powers.items():
         target = _marginal(cells, dim, power, (given or {}).get(dim, {})).withColumnRenamed("target", f"target of {dim}")
         out = out.join(few_or_joined(target), dim)
-    moved = 0.0
+    out = materialised(out)
+    parts, moved = 1 + out.count() // CELLS_A_TASK, 0.0
     for _ in range(most_rounds):
-        out = out.withColumn("moved", F.lit(0.0))
+        # One partition holds every value of every dimension, and the plan knows it: no window then needs an exchange.
+        out = out.coalesce(parts).withColumn("moved", F.lit(0.0))
         for dim in powers:
             # Window sums, not joins: the optimizer's size estimates of repeated joins grow with a power of the rounds.
             now = F.sum("weight").over(Window.partitionBy(dim))
@@ -153,7 +158,6 @@ def mixed_documents(
         fraction(F.col(f"`{id_col}`")).alias("u"))
     dims = list(POWERS)
     cells = materialised(packed.groupBy(*dims).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"))
-    cells = materialised(cells.coalesce(1 + cells.count() // CELLS_A_TASK))  # rounds over few cells in few tasks
     fitted = calibrated(raked(cells, powers, given, tolerance), budget)
     found = packed.join(few_or_joined(fitted.select(*dims, "weight", "probability")), dims, "left")
     probability = F.coalesce("probability", F.lit(1.0))
