@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tracewright.operators import growth
+from tracewright.operators import growth, tree
 
 
 def impurity(classes, criterion):
@@ -92,3 +92,13 @@ def test_holdout_and_bad_arguments(spark):
         growth.grown(df, "other", 2)
     with pytest.raises(ValueError):
         growth.grown(df, "gini", 100)
+
+
+def test_best_first_splits_with_any_number_of_classes(spark):
+    rows = [(i, f"c{i % 1001}", [float(i % 1001), 5.0, float(i % 1001 >= 400)]) for i in range(2002)]
+    samples = spark.createDataFrame(rows, "sample_id int, class_name string, features array<double>")
+    got = {r.j: (r.threshold, r.gain) for r in tree.best_splits(samples, "gini").collect()}
+    # 1 - 1/1001 - (400 (1 - 1/400) + 601 (1 - 1/601)) / 1001 for every cut: the lowest is taken
+    assert got == {1: (0.5, round(1 / 1001, 9)), 3: (0.5, round(1 / 1001, 9))}
+    blank = samples.limit(0)
+    assert tree.best_splits(blank, "entropy").count() == 0

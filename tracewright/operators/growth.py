@@ -137,11 +137,11 @@ def _running_by_range(cells: DataFrame, of: list[str], criterion: str) -> DataFr
         *((F.col(c) + F.col(f"{c}_before")).alias(c) for c in ("_n", "_dl", "_dr")))
 
 
-def best_splits(cells: DataFrame, criterion: str, keys: list[str], few: int = FEW_CELLS) -> DataFrame:
-    """(*keys, j, threshold, gain): the best split of each node, from class counts (*keys, j, x, class_name, n).
+def splits(cells: DataFrame, criterion: str, keys: list[str], few: int = FEW_CELLS) -> DataFrame:
+    """(*keys, j, threshold, gain): every threshold of each feature in each node, gains to 9 decimals.
 
-    Only splits that gain something (to 9 decimals) are listed. Up to `few` cells need no cut into ranges, as all of them
-    would fit a task; both ways give the same.
+    cells are class counts (*keys, j, x, class_name, n). Up to `few` of them need no cut into ranges, as all would fit a
+    task; both ways give the same.
     """
     of = [*keys, "j"]
     run = _running if cells.limit(few + 1).count() <= few else _running_by_range
@@ -149,7 +149,13 @@ def best_splits(cells: DataFrame, criterion: str, keys: list[str], few: int = FE
     whole, n, left = F.col("_whole"), F.col("_all").cast("double"), F.col("_n").cast("double")
     gain = _impurity(whole, n, criterion) - left / n * _impurity(F.col("_dl"), left, criterion) - (
         n - left) / n * _impurity(whole + F.col("_dr"), n - left, criterion)
-    found = rows.select(*keys, F.struct((-F.round(gain, 9)).alias("loss"), "j", ((F.col("x") + F.col("_next")) / 2).alias("t")).alias("_b"))
+    return rows.select(*of, ((F.col("x") + F.col("_next")) / 2).alias("threshold"), F.round(gain, 9).alias("gain"))
+
+
+def best_splits(cells: DataFrame, criterion: str, keys: list[str], few: int = FEW_CELLS) -> DataFrame:
+    """(*keys, j, threshold, gain): the best split of each node; only splits that gain something are listed."""
+    found = splits(cells, criterion, keys, few).select(
+        *keys, F.struct((-F.col("gain")).alias("loss"), "j", F.col("threshold").alias("t")).alias("_b"))
     best = found.groupBy(*keys).agg(F.min("_b").alias("_b")).filter("_b.loss < 0")
     return best.select(*keys, F.col("_b.j").alias("j"), F.col("_b.t").alias("threshold"), (-F.col("_b.loss")).alias("gain"))
 

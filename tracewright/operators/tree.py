@@ -8,12 +8,12 @@ from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import IndexToString, StringIndexerModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.functions.fixed_values import TREE_DEPTHS
+from tracewright.operators import growth
 from tracewright.operators.reduce import cells_of
-from tracewright.plans.ordering import ranged
+from tracewright.session import materialised
 
 MAX_TREE_CLASSES = 1000
 
@@ -98,60 +98,16 @@ def kfold_predictions(
 # ---- best first splits ---------------------------------------------------------------------------------
 
 
-def _impurity(counts: list[Column], total: Column, criterion: str) -> Column:
-    shares = [c / total for c in counts]
-    if criterion == "gini":
-        return F.lit(1.0) - reduce(lambda a, b: a + b, [p * p for p in shares])
-    return -reduce(lambda a, b: a + b, [F.when(p > 0, p * F.log2(p)).otherwise(F.lit(0.0)) for p in shares])
-
-
-def best_splits(samples: DataFrame, criterion: str = "gini", classes: list[str] | None = None) -> DataFrame:
+def best_splits(samples: DataFrame, criterion: str = "gini") -> DataFrame:
     """(j, threshold, gain): the threshold of each feature that lowers the impurity most.
 
-    Thresholds lie midway between neighbouring values; of equal gains the lowest threshold is taken.
-    Class counts are summed per value first.  The running counts of a feature are worked out inside value
-    ranges and shifted by the counts of the ranges before, so a feature is not bound to one task.
+    Thresholds lie midway between neighbouring values; of equal gains the lowest threshold is taken. A feature of one
+    value has no row. Class counts are summed per value first; classes are rows, so there may be any number of them.
+    Samples without a class and missing values are not counted.
     """
     _check(criterion)
-    classes = class_list(samples) if classes is None else classes
-    n = [f"_n{i}" for i in range(len(classes))]
-    counted = cells_of(samples, []).groupBy("j", "x").agg(
-        *[F.count_if(F.col("class_name") == c).alias(name) for c, name in zip(classes, n)]
-    )
-    cut, _ = ranged(counted, ["j"], ["x"])
-    inside = W.partitionBy("j", "_range").orderBy("x")
-    per_range = cut.groupBy("j", "_range").agg(F.min("x").alias("_first"), *[F.sum(c).alias(c) for c in n])
-    order = W.partitionBy("j").orderBy("_range")  # at most as many rows as there are ranges
-    past = order.rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy("j")
-    shifts = per_range.select(
-        "j", "_range", F.lead("_first").over(order).alias("_next_first"),
-        *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"{c}_before") for c in n],
-        *[F.sum(c).over(whole).alias(f"{c}_all") for c in n],
-    )
-    running = cut.select("j", "_range", "x", F.lead("x").over(inside).alias("_next"),
-                         *[F.sum(c).over(inside.rowsBetween(W.unboundedPreceding, 0)).alias(c) for c in n])
-    rows = running.join(shifts, ["j", "_range"]).withColumn("_next", F.coalesce("_next", "_next_first")).filter(
-        F.col("_next").isNotNull()
-    )
-    left = [(F.col(c) + F.col(f"{c}_before")).cast("double") for c in n]
-    total = [F.col(f"{c}_all").cast("double") for c in n]
-    right = [t - v for t, v in zip(total, left)]
-    add = lambda cols: reduce(lambda a, b: a + b, cols)
-    sides = rows.select(
-        "j", ((F.col("x") + F.col("_next")) / 2.0).alias("threshold"),
-        *[c.alias(f"l{i}") for i, c in enumerate(left)], *[c.alias(f"r{i}") for i, c in enumerate(right)],
-    )
-    ls = [F.col(f"l{i}") for i in range(len(n))]
-    rs = [F.col(f"r{i}") for i in range(len(n))]
-    sized = sides.withColumn("_l", add(ls)).withColumn("_r", add(rs))
-    both = F.col("_l") + F.col("_r")
-    gain = (
-        _impurity([a + b for a, b in zip(ls, rs)], both, criterion)
-        - (F.col("_l") / both) * _impurity(ls, F.col("_l"), criterion)
-        - (F.col("_r") / both) * _impurity(rs, F.col("_r"), criterion)
-    )
-    best = sized.select("j", F.struct(F.round(gain, 9).alias("gain"), (-F.col("threshold")).alias("t")).alias("_b"))
-    return best.groupBy("j").agg(F.max("_b").alias("_b")).select(
-        "j", (-F.col("_b.t")).alias("threshold"), F.col("_b.gain").alias("gain")
-    )
+    known = cells_of(samples.filter("class_name is not null"), []).filter("x is not null")
+    counts = materialised(known.groupBy("j", "x", "class_name").agg(F.count(F.lit(1)).alias("n")))
+    best = growth.splits(counts, criterion, []).groupBy("j").agg(
+        F.max(F.struct("gain", (-F.col("threshold")).alias("t"))).alias("_b"))
+    return best.select("j", (-F.col("_b.t")).alias("threshold"), F.col("_b.gain").alias("gain"))
