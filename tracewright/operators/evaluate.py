@@ -12,7 +12,7 @@ from tracewright.plans.ordering import global_index
 from tracewright.plans.skew import lookup_join
 from tracewright.session import materialised
 
-MAX_CLASSES = 20_000  # a confusion matrix beyond this is refused, not cut
+CLASS_BLOCK = 1_000  # names of classes in a list
 
 
 def trend_counts(predictions: DataFrame, by: list[str] = ["param"]) -> DataFrame:
@@ -30,23 +30,31 @@ def trends_ordered(trends: DataFrame, by: list[str] = ["param"]) -> DataFrame:
     return trends.orderBy(*by, F.desc("n"), "class_name", "predicted")
 
 
-def _class_lists(trends: DataFrame, by: list[str]) -> DataFrame:
-    """(*by, classes): alphabetical union of true and predicted classes, refused beyond MAX_CLASSES."""
-    names = trends.select(*by, F.explode(F.array("class_name", "predicted")).alias("c")).distinct()
-    most = names.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_n")).scalar()
-    too_many = F.raise_error(F.lit(f"more than {MAX_CLASSES} classes")).cast("boolean")
-    checked = names.filter(F.when(most > MAX_CLASSES, too_many).otherwise(F.lit(True)))
-    return checked.groupBy(*by).agg(F.array_sort(F.collect_list("c")).alias("classes"))
+def _class_blocks(trends: DataFrame, by: list[str], block: int) -> DataFrame:
+    """(*by, blocks, at, classes): true and predicted classes, dealt by hash to `blocks` lists of about `block` names."""
+    names = materialised(trends.select(*by, F.explode(F.array("class_name", "predicted")).alias("c")).filter(
+        "c is not null").distinct())
+    sizes = names.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    if by:
+        dealt = lookup_join(names, sizes, by, [*by, "c"])
+    else:
+        dealt = names.withColumn("blocks", sizes.scalar())  # one row
+    return dealt.groupBy(*by, "blocks", F.pmod(F.xxhash64("c"), "blocks").cast("int").alias("at")).agg(
+        F.collect_list("c").alias("classes"))
 
 
-def confusion_long(trends: DataFrame, by: list[str] = ["param"]) -> DataFrame:
-    """(*by, class_name, predicted, n): every cell of the matrix, zeros included."""
-    cells = (
-        _class_lists(trends, by)
-        .withColumn("class_name", F.explode("classes"))
-        .select(*by, "class_name", F.explode("classes").alias("predicted"))
-    )
+def confusion_long(trends: DataFrame, by: list[str] = ["param"], block: int = CLASS_BLOCK) -> DataFrame:
+    """(*by, class_name, predicted, n): every cell of the matrix, zeros included.
+
+    The matrix is made in squares: each block of true classes meets each block of predicted ones in a row of its own,
+    which holds about 2 * block names, so no row grows with the number of classes. Null names and keys have no cells.
+    """
+    blocks = materialised(_class_blocks(trends, by, block))
+    rows = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = blocks.select(*by, F.col("at").alias("other"), F.col("classes").alias("predicted"))
+    squares = rows.join(columns, [*by, "other"]).select(*by, F.explode("classes").alias("class_name"), "predicted")
     keys = [*by, "class_name", "predicted"]
+    cells = squares.select(*by, "class_name", F.explode("predicted").alias("predicted"))
     return cells.join(trends, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
