@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.operators import diff, evaluate, plans, split, text
+from tracewright.sources import files
 
 
 def docs(spark, *texts):
@@ -146,10 +147,48 @@ def test_confusion_and_accuracy(spark):
     assert evaluate.sweep_curve(predictions(spark)).first()["mean_accuracy"] == 0.25
 
 
-def test_too_many_classes_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(evaluate, "MAX_CLASSES", 4)
-    with pytest.raises(Exception, match="more than 4 classes"):
-        evaluate.confusion_long(evaluate.trend_counts(predictions(spark))).collect()
+@pytest.mark.parametrize("by", [["param"], []])
+@pytest.mark.parametrize("block", [1, 2, 1000])
+def test_confusion_in_blocks_of_classes(spark, by, block):
+    rng = random.Random(block)
+    rows = [(p, f"c{rng.randrange(9)}", f"c{rng.randrange(3, 12)}") for p in (1, 2, 2, 3) for _ in range(20)]
+    trends = evaluate.trend_counts(spark.createDataFrame(rows, "param int, class_name string, predicted string"), by)
+    want = Counter()
+    for p in {r[0] if by else None for r in rows}:
+        mine = [r[1:] for r in rows if p in (None, r[0])]
+        names = {c for r in mine for c in r}
+        want.update({(p, *cell): 0 for cell in itertools.product(names, names)})
+        for cell in mine:
+            want[(p, *cell)] += 1
+    got = evaluate.confusion_long(trends, by, block).collect()
+    assert {(r.param if by else None, r.class_name, r.predicted): r.n for r in got} == dict(want) and len(got) == len(want)
+
+
+def test_line_diff_steps(spark):
+    rows = [("a", "x\ny\n\nx"), ("a_1", "x\nz\nz\n"), ("a_2", "y"), ("b_1", "orphan"), ("c", ""), ("c_1", "\n\nq")]
+    samples = diff.with_program(spark.createDataFrame(rows, "sample_id string, content string"))
+    lines = samples.select("program", "sample_id", F.explode(F.split("content", "\n")).alias("line"))
+    got = diff.line_diff_steps(diff.originals(lines), diff.variants(lines), "sample_id")
+    assert sorted(map(tuple, got.collect())) == [("a", "a_1", "z"), ("c", "c_1", "q")]
+    whole = diff.line_diff(diff.variant_pairs(diff.originals(samples), diff.variants(samples), "sample_id"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.select("program", "sample_id", "line").collect()))
+    none = diff.line_diff_steps(diff.originals(lines).limit(0), diff.variants(lines), "sample_id")
+    assert none.count() == 0
+
+
+def test_dictionary_in_batches(spark, tmp_path):
+    def entries(*texts):
+        return text.dictionary_entries(text.with_tokens(docs(spark, *texts), "id", "text", text.whitespace_tokens))
+
+    path = str(tmp_path / "dictionary")
+    files.write_dictionary(entries("a b b", "b c"), path, "first")
+    files.write_dictionary(entries("lost"), path, "second")
+    files.write_dictionary(entries("b d", "", None), path, "second")  # the batch is run again
+    stored = files.read_dictionary(spark, path)
+    assert {r.token: (r.df, r.n) for r in stored.collect()} == {"a": (1, 5), "b": (3, 5), "c": (1, 5), "d": (1, 5)}
+    unseen = text.with_tokens(docs(spark, "b b e", "e", "a"), "id", "text", text.whitespace_tokens)
+    weights = {(r.doc_id, r.token): (r["rank"], r.weight) for r in text.tfidf_stored(unseen, stored, 2).collect()}
+    assert weights == {(0, "b"): (1, 1.0), (2, "a"): (2, 1.0)}
 
 
 def test_classes(spark):

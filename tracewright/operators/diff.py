@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.numbers import rounded_ratio
 from tracewright.functions.rows import exploded
-from tracewright.plans.skew import salted_join
+from tracewright.plans.skew import lookup_join, salted_join
 
 TILE = 512  # strings compared with one another in one row
 
@@ -73,6 +73,20 @@ def line_diff(pairs: DataFrame) -> DataFrame:
     return exploded(line_diff_arrays(pairs), others, F.col("lines"), "line")
 
 
+def line_diff_steps(original: DataFrame, variant: DataFrame, variant_id: str) -> DataFrame:
+    """(program, variant_id, line): the same as line_diff from one row per line, for listings too long for one row.
+
+    original has (program, line), variant (program, variant_id, line). Repeated lines are one first, inside the tasks and
+    then after a shuffle by key, so an often repeated line is a row a task; rows are matched by program and a hash of the
+    line before the text is looked at. Variants of a program without an original are left out, as in variant_pairs.
+    """
+    coded = F.xxhash64("line").alias("_h")
+    mine = variant.select("program", variant_id, coded, "line").distinct()
+    base = original.select("program", coded, "line").distinct()
+    mine = lookup_join(mine, original.select("program").distinct(), ["program"], ["program", variant_id, "_h"])
+    return mine.join(base, ["program", "_h", "line"], "left_anti").select("program", variant_id, "line")
+
+
 def positional_diff_arrays(pairs: DataFrame) -> DataFrame:
     """Adds symbols: content character by character, '_' where the original has the same at that place."""
     compared = F.expr(

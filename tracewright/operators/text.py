@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.fixed_values import STOP_TOKENS
 from tracewright.functions.rows import exploded
 from tracewright.plans.skew import salted_join
+from tracewright.session import materialised
 
 MAX_BROADCAST_TOKENS = 100_000
 
@@ -70,6 +71,12 @@ def doc_freq(tokens: DataFrame) -> DataFrame:
     )
 
 
+def dictionary_entries(tokens: DataFrame) -> DataFrame:
+    """(token, df): what a batch adds to a stored dictionary. The row without a token counts all documents of the batch."""
+    every = tokens.agg(F.count(F.lit(1)).alias("df")).select(F.lit(None).cast("string").alias("token"), "df")
+    return doc_freq(tokens).filter("token is not null").unionByName(every)
+
+
 def term_total(tokens: DataFrame) -> DataFrame:
     """(token, tf_total, df)"""
     return (
@@ -133,16 +140,23 @@ def l2_normalised(cells: DataFrame, keys: list[str], value: str, name: str) -> D
     ).drop("_norm")
 
 
-def tfidf(tokens: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
+def tfidf(tokens: DataFrame, vocabulary: DataFrame, k: int, n_docs: Column | None = None) -> DataFrame:
     """(doc_id, token, rank, weight): sparse TF-IDF over a capped vocabulary, length 1 per document.
 
-    The number of documents counts those without any token of the vocabulary too.
+    The number of documents counts those without any token of the vocabulary too; where the vocabulary comes from other
+    documents, n_docs is theirs.
     """
-    n_docs = tokens.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n_docs = tokens.agg(F.count(F.lit(1)).alias("n")).scalar() if n_docs is None else n_docs
     weighted = tf_matrix(tokens, vocabulary, k).withColumn("_w", F.col("tf") * smooth_idf(n_docs, F.col("df")))
     return l2_normalised(weighted, ["doc_id"], "_w", "weight").select("doc_id", "token", "rank", "weight")
 
 
+def tfidf_stored(tokens: DataFrame, dictionary: DataFrame, k: int = 128) -> DataFrame:
+    """TF-IDF of documents by the frequencies of a stored dictionary (token, df, n), which they need not be in."""
+    stored = materialised(dictionary)
+    return tfidf(tokens, vocab_topk(stored, k), k, stored.agg(F.max("n").alias("n")).scalar())
+
+
 def tfidf_topk(docs: DataFrame, doc_id: str, text: str, k: int = 128) -> DataFrame:
     """TF-IDF over the k tokens that are in most documents."""
     tokens = with_tokens(docs, doc_id, text, whitespace_tokens)

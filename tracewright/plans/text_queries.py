@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracewright.operators import diff, text
 from tracewright.plans.catalog import query
 from tracewright.plans.views import table
+from tracewright.session import ensure_checkpoint_dir
+from tracewright.sources import files
+
+
 
-_WS = """w as (select doc_id, generate_subscripts(t, 1) as pos, unnest(t) as token
+def _ws(name: str, source: str) -> str:
+    return f"""{name} as (select doc_id, generate_subscripts(t, 1) as pos, unnest(t) as token
       from (select doc_id, list_filter_ws as t from
         (select doc_id, [x for x in string_split_regex(lower(text), '\\s+')
-           if x <> '' and x not in (',', '%', '(', ')', ':', '$')] as list_filter_ws from documents) q) q)"""
+           if x <> '' and x not in (',', '%', '(', ')', ':', '$')] as list_filter_ws from {source}) q) q)"""
+
+
+_WS = _ws("w", "documents")
 _WORD = """w as (select doc_id, generate_subscripts(t, 1) as pos, unnest(t) as token
       from (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') as t from documents) q)"""
 _TF = "tf as (select doc_id, token, cast(count(*) as bigint) as tf from w group by 1, 2)"
@@ -21,10 +31,10 @@ _TOP_TF = """v as (select token, tf_total, df, row_number() over (order by token
       from (select * from df order by tf_total desc, token limit 1000) q)"""
 
 
-def _weights(n_docs: str) -> str:
-    return f"""x as (select tf.doc_id, tf.token, v.rank,
-        tf.tf * (ln(cast(1 + ({n_docs}) as double) / cast(1 + v.df as double)) + cast(1 as double)) as w
-      from tf join v using (token)),
+def _weights(n_docs: str, tf: str = "tf") -> str:
+    return f"""x as (select {tf}.doc_id, {tf}.token, v.rank,
+        {tf}.tf * (ln(cast(1 + ({n_docs}) as double) / cast(1 + v.df as double)) + cast(1 as double)) as w
+      from {tf} join v using (token)),
 y as (select *, sqrt(sum(w * w) over (partition by doc_id)) as norm from x)
 """
 
@@ -97,6 +107,25 @@ def tfidf_vectors(spark, sf):
     )
 
 
+_UNSEEN = "(select cast(conv_id as varchar) || '_' || cast(turn as varchar) as doc_id, text from conversations)"
+
+
+@query("dictionary_tfidf", sql=f"""with {_WS}, {_TF}, {_DF}, {_TOP}, {_ws('u', _UNSEEN)},
+utf as (select doc_id, token, cast(count(*) as bigint) as tf from u group by 1, 2),
+{_weights('select count(*) from documents', 'utf')}
+select doc_id, token, cast(rank as bigint) as rank, round(w / norm, 6) as weight from y""")
+def dictionary_tfidf(spark, sf):
+    """A dictionary of all documents, stored in two batches and read again, weighs the turns of conversations."""
+    path = f"{ensure_checkpoint_dir(spark)}/dictionary-{uuid.uuid4().hex}"
+    docs, odd = table(spark, sf, "documents"), F.coalesce(F.pmod("doc_id", F.lit(2)), F.lit(0))
+    for k in (0, 1):
+        tokens = text.with_tokens(docs.filter(odd == k), "doc_id", "text", text.whitespace_tokens)
+        files.write_dictionary(text.dictionary_entries(tokens), path, str(k))
+    turns = table(spark, sf, "conversations").withColumn("id", F.concat_ws("_", "conv_id", "turn"))
+    unseen = text.with_tokens(turns, "id", "text", text.whitespace_tokens)
+    return text.tfidf_stored(unseen, files.read_dictionary(spark, path)).withColumn("weight", F.round("weight", 6))
+
+
 # ---- originals and variants ----------------------------------------------------------------------------
 
 
@@ -146,6 +175,13 @@ def line_diff(spark, sf):
     return diff.line_diff(_pairs(spark, sf))
 
 
+@query("line_diff_steps", sql=f"with {_SAMPLES}, {_LINES} select program, sample_id, line from d")
+def line_diff_steps(spark, sf):
+    """The same from one row per line, the form of listings too long for one row."""
+    lines = _samples(spark, sf).select("program", "sample_id", F.explode(F.split("content", "\n")).alias("line"))
+    return diff.line_diff_steps(diff.originals(lines), diff.variants(lines), "sample_id")
+
+
 @query("line_diff_counts", sql=f"""with {_SAMPLES}, {_LINES}
 select program, cast(count(distinct sample_id) as bigint) as n_differences from d group by program""")
 def line_diff_counts(spark, sf):

@@ -220,6 +220,19 @@ def write_predictions(predictions: DataFrame, path: str) -> None:
     predictions.write.mode("append").partitionBy("experiment").parquet(path)
 
 
+def write_dictionary(entries: DataFrame, path: str, batch: str) -> None:
+    """Store what a batch of documents adds to a dictionary (text.dictionary_entries); a repeated batch replaces its own."""
+    entries.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """(token, df, n): all batches of a stored dictionary added up; n is the number of all their documents."""
+    stored = spark.read.parquet(path)
+    n = stored.filter("token is null").agg(F.sum("df").alias("n")).scalar()
+    tokens = stored.filter("token is not null").groupBy("token").agg(F.sum("df").alias("df"))
+    return tokens.withColumn("n", n)
+
+
 def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
     """Token table (token, df), to be read back for later batches."""
     vocabulary.write.mode("overwrite").parquet(path)
