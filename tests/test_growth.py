@@ -102,3 +102,47 @@ def test_best_first_splits_with_any_number_of_classes(spark):
     assert got == {1: (0.5, round(1 / 1001, 9)), 3: (0.5, round(1 / 1001, 9))}
     blank = samples.limit(0)
     assert tree.best_splits(blank, "entropy").count() == 0
+
+
+@pytest.mark.parametrize("criterion", ["gini", "entropy"])
+@pytest.mark.parametrize("cells", [0, 120, growth.LOCAL_CELLS])
+def test_levels_and_subtrees_give_the_same_trees(spark, criterion, cells, monkeypatch):
+    """Nodes of more than `cells` values grow level by level, the others in one task: all, some and none of them."""
+    monkeypatch.setattr(growth, "LOCAL_CELLS", cells)
+    rows = samples(120)
+    got = {(r.sample_id, r.param): r.predicted for r in growth.kfold_predictions(
+        spark.createDataFrame(rows, SCHEMA), 3, criterion, [0, 2, 5]).collect()}
+    for f in range(3):
+        train = [(r[1], r[2]) for r in rows if r[3] != f]
+        for r in [r for r in rows if r[3] == f][::4]:
+            assert [got[r[0], d] for d in (0, 2, 5)] == [plain_predicted(train, r[2], criterion, d) for d in (0, 2, 5)]
+
+
+def test_a_small_tree_needs_no_pass_for_each_level(spark, monkeypatch):
+    """Sixteen levels on a few rows: their values are never exploded and shuffled by level."""
+    monkeypatch.setattr(growth, "best_splits", lambda *_: pytest.fail("a level of its own"))
+    df = spark.createDataFrame(samples(), SCHEMA)
+    assert growth.kfold_predictions(df, 3, "entropy", [16]).count() == 90
+
+
+@pytest.mark.parametrize("cells", [0, growth.LOCAL_CELLS])
+def test_missing_values_and_classes(spark, cells, monkeypatch):
+    monkeypatch.setattr(growth, "LOCAL_CELLS", cells)
+    rows = [(i, [None, "b", "c"][i // 10], [float(i // 10) if i % 4 else None, float("nan") if i % 5 == 0 else 1.0], 0) for i in range(30)]
+    train = spark.createDataFrame(rows, SCHEMA).selectExpr("0 as batch", "true as train", "class_name", "features")
+    tree_ = growth.grown(train, "gini", 1)[0]
+    assert tree_[1][:4] == (None, 1, 0.5, 0.0) and tree_[2][0] is None and tree_[3][0] in ("b", "c")
+
+
+def test_thresholds_between_all_values_where_features_have_many(spark):
+    """6 000 values of a feature: the second split lies midway to a value that only another node has."""
+    rows = [(i, "a" if i < 3000 else "b", [float(i), float(i % 2)], 0) for i in range(6000)]
+    rows += [(9000, "c", [2999.5, 5.0], 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    train = df.selectExpr("0 as batch", "true as train", "class_name", "features")
+    trees = growth.grown(train, "gini", 2)
+    moved = growth.between_all(train, trees)
+    assert trees[0][1][1:3] == moved[0][1][1:3] == (1, 2999.25)
+    tested = spark.createDataFrame([(1, "?", [2999.1, 0.0]), (2, "?", [2999.4, 0.0])], "sample_id long, class_name string, features array<double>")
+    got = {r.sample_id: r.predicted for r in growth.fit_predict(df, tested, "gini", 1, between="all").collect()}
+    assert got == {1: "a", 2: "b"}

@@ -1,13 +1,14 @@
 """Decision trees of many batches (folds or cycles), grown together level by level with exact thresholds.
 
-Rows are (batch, train, class_name, features): training rows of a batch grow its tree. A level takes one pass over all rows of
-all batches, for the class counts of the values of each feature in its nodes. Nodes keep
+Rows are (batch, train, class_name, features): training rows of a batch grow its tree. A level takes one pass over the rows of all
+nodes of more than LOCAL_CELLS values, for the class counts of the values of each feature in them. The rows of a smaller node are then
+brought together once, whichever level it is on, and the tree below it grows where they are (`subtrees`). Nodes keep
 their majority class, so the predictions of every smaller depth are read off the inner nodes of the one tree.
 
 * The impurity of both sides of all thresholds comes from running sums: adding n rows of a class that has l so far changes the sum
   of f(count of class) by f(l + n) - f(l), with f(n) = n * n (gini) or n * log2(n) (entropy). So classes are rows, not columns,
   and there may be any number of them. Values are cut into ranges where a node has many; a range starts from the sums before it.
-* A threshold lies midway between neighbouring values of the node. Of equal gains (to 9 decimals) the first feature and then the
+* A threshold lies midway between neighbouring values of the node, or of the batch (`between_all`). Of equal gains (to 9 decimals) the first feature and then the
   lowest threshold is taken; a node that is pure or gains nothing is a leaf. Of equally frequent classes the first one is predicted.
 * A tree is a model: a few numbers for each node. Rows find their node in Arrow batches, a whole level of a batch at a time.
 
@@ -25,14 +26,16 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.fixed_values import TREE_DEPTHS
 from tracewright.functions.rows import exploded
+from tracewright.operators.subtrees import grown_below
 from tracewright.plans.ordering import ranged
 from tracewright.session import materialised
 
 MAX_NODES = 5_000_000  # of all trees together; they are sent to all tasks
 FEW_CELLS = 10_000_000  # class counts of values, some 500 MB; a sort of them spills at worst
+LOCAL_CELLS = 8_000_000  # values of a node whose subtree grows in one task: 64 MB, and some five times that while it grows
 DEEPEST = 60  # nodes are numbered 1, 2n and 2n + 1
 
-Tree = dict[int, tuple]  # node to (class, feature from 1 or 0, threshold)
+Tree = dict[int, tuple]  # node to (class, feature from 1 or 0, threshold, value of the node next below the threshold)
 
 
 # ---- finding nodes -------------------------------------------------------------------------------------
@@ -138,7 +141,7 @@ def _running_by_range(cells: DataFrame, of: list[str], criterion: str) -> DataFr
 
 
 def splits(cells: DataFrame, criterion: str, keys: list[str], few: int = FEW_CELLS) -> DataFrame:
-    """(*keys, j, threshold, gain): every threshold of each feature in each node, gains to 9 decimals.
+    """(*keys, j, threshold, gain, low): every threshold of each feature in each node, gains to 9 decimals, low is the value below.
 
     cells are class counts (*keys, j, x, class_name, n). Up to `few` of them need no cut into ranges, as all would fit a
     task; both ways give the same.
@@ -149,20 +152,41 @@ def splits(cells: DataFrame, criterion: str, keys: list[str], few: int = FEW_CEL
     whole, n, left = F.col("_whole"), F.col("_all").cast("double"), F.col("_n").cast("double")
     gain = _impurity(whole, n, criterion) - left / n * _impurity(F.col("_dl"), left, criterion) - (
         n - left) / n * _impurity(whole + F.col("_dr"), n - left, criterion)
-    return rows.select(*of, ((F.col("x") + F.col("_next")) / 2).alias("threshold"), F.round(gain, 9).alias("gain"))
+    return rows.select(*of, ((F.col("x") + F.col("_next")) / 2).alias("threshold"), F.round(gain, 9).alias("gain"),
+                       F.col("x").alias("low"))
 
 
 def best_splits(cells: DataFrame, criterion: str, keys: list[str], few: int = FEW_CELLS) -> DataFrame:
-    """(*keys, j, threshold, gain): the best split of each node; only splits that gain something are listed."""
+    """(*keys, j, threshold, gain, low): the best split of each node; only splits that gain something are listed."""
     found = splits(cells, criterion, keys, few).select(
-        *keys, F.struct((-F.col("gain")).alias("loss"), "j", F.col("threshold").alias("t")).alias("_b"))
+        *keys, F.struct((-F.col("gain")).alias("loss"), "j", F.col("threshold").alias("t"), "low").alias("_b"))
     best = found.groupBy(*keys).agg(F.min("_b").alias("_b")).filter("_b.loss < 0")
-    return best.select(*keys, F.col("_b.j").alias("j"), F.col("_b.t").alias("threshold"), (-F.col("_b.loss")).alias("gain"))
+    return best.select(*keys, F.col("_b.j").alias("j"), F.col("_b.t").alias("threshold"), (-F.col("_b.loss")).alias("gain"),
+                       F.col("_b.low").alias("low"))
 
 
 # ---- growth --------------------------------------------------------------------------------------------
 
 
+def _of_nodes(train: DataFrame, trees: dict[int, Tree], level: int, nodes: list[tuple]) -> DataFrame:
+    """The training rows that stand in one of the nodes (batch, node)."""
+    asked = train.sparkSession.createDataFrame(nodes, "batch long, _node long")
+    rows = placed(train, trees, level).withColumn("batch", F.col("batch").cast("long"))
+    return rows.join(F.broadcast(asked), ["batch", "_node"])  # as many rows as nodes
+
+
+def _grown_apart(train: DataFrame, trees: dict[int, Tree], level: int, roots: list[tuple], criterion: str, depth: int):
+    """The nodes below small nodes (batch, node), each grown in the task that gets its rows."""
+
+    def below(group: pd.DataFrame) -> pd.DataFrame:
+        return grown_below(group, criterion, depth)
+
+    dealt = _of_nodes(train, trees, level, roots).repartition(min(4 * len(roots), 4000), "batch", "_node")  # a number of its own: tasks are long, not their rows many
+    nodes = dealt.groupBy("batch", "_node").applyInPandas(
+        below, "batch long, _node long, class_name string, j long, threshold double, low double")
+    return materialised(nodes).toLocalIterator()  # which would grow one partition after the other
+
+
 def grown(rows: DataFrame, criterion: str, depth: int) -> dict[int, Tree]:
     """The trees of all batches, at most `depth` splits deep."""
     if criterion not in ("gini", "entropy"):
@@ -170,9 +194,18 @@ def grown(rows: DataFrame, criterion: str, depth: int) -> dict[int, Tree]:
     if not 0 <= depth <= DEEPEST:
         raise ValueError(f"a depth from 0 to {DEEPEST}")
     train = rows.filter("train and features is not null and batch is not null").select("batch", "class_name", "features")
-    trees: dict[int, Tree] = {r.batch: {1: (None, 0, 0.0)} for r in train.select("batch").distinct().collect()}
-    for level in range(depth + 1):
-        here = placed(train, trees, level).filter(F.col("_node") >= (1 << level))
+    sizes = train.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("p")).collect()
+    trees: dict[int, Tree] = {r.batch: {1: (None, 0, 0.0, 0.0)} for r in sizes}
+    width = max((r.p for r in sizes), default=0)
+
+    def is_small(n: int) -> bool:
+        return 0 < n * width <= LOCAL_CELLS
+
+    apart = [(r.batch, 1) for r in sizes if is_small(r.n)]
+    large = {(r.batch, 1) for r in sizes if not is_small(r.n)}
+    level = 0
+    while large:
+        here = _of_nodes(train, trees, level, sorted(large))
         if level < depth:
             cells = materialised(exploded(here, ["batch", "_node", "class_name"], F.col("features"), "x", "j").groupBy(
                 "batch", "_node", "j", "x", "class_name").agg(F.count(F.lit(1)).alias("n")))
@@ -183,25 +216,50 @@ def grown(rows: DataFrame, criterion: str, depth: int) -> dict[int, Tree]:
             F.min(F.struct((-F.col("n")).alias("n"), "class_name")).alias("top"), F.count(F.lit(1)).alias("classes"))
         mixed = set()
         for r in nodes.toLocalIterator():  # a row for each node
-            trees[r.batch][r._node] = (r.top.class_name, 0, 0.0)
+            trees[r.batch][r._node] = (r.top.class_name, 0, 0.0, 0.0)
             if r.classes > 1:
                 mixed.add((r.batch, r._node))
         if level == depth or not mixed:
             break
-        if sum(map(len, trees.values())) > MAX_NODES:
-            raise ValueError(f"more than {MAX_NODES} nodes; grow to a smaller depth")
-        split = 0
-        for r in best_splits(cells.filter("x is not null"), criterion, ["batch", "_node"]).toLocalIterator():
+        for r in best_splits(cells.filter("x is not null and not isnan(x)"), criterion, ["batch", "_node"]).toLocalIterator():
             if (r.batch, r._node) in mixed:
-                trees[r.batch][r._node] = (trees[r.batch][r._node][0], int(r.j), float(r.threshold))
+                trees[r.batch][r._node] = (trees[r.batch][r._node][0], int(r.j), float(r.threshold), float(r.low))
                 for child in (2 * r._node, 2 * r._node + 1):
-                    trees[r.batch][child] = (None, 0, 0.0)
-                split += 1
-        if not split:
-            break
+                    trees[r.batch][child] = (None, 0, 0.0, 0.0)
+        level += 1
+        reached = placed(train, trees, level).filter(F.col("_node") >= (1 << level)).groupBy("batch", "_node").count().collect()
+        apart += [(r.batch, r._node) for r in reached if is_small(r["count"])]
+        large = {(r.batch, r._node) for r in reached if not is_small(r["count"])}
+    if apart:
+        for r in _grown_apart(train, {b: dict(t) for b, t in trees.items()}, level, apart, criterion, depth):
+            trees[r.batch][r._node] = (r.class_name, r.j, r.threshold, r.low)
+    if sum(map(len, trees.values())) > MAX_NODES:
+        raise ValueError(f"more than {MAX_NODES} nodes; grow to a smaller depth")
     return trees
 
 
+def between_all(rows: DataFrame, trees: dict[int, Tree]) -> dict[int, Tree]:
+    """The trees with each threshold midway between the node's value below it and the next value of all training rows of the batch."""
+    splits_of = {int(b): [(n, t[1], t[3]) for n, t in tree.items() if t[1]] for b, tree in trees.items()}
+    shared = rows.sparkSession.sparkContext.broadcast(splits_of)
+
+    def nearest(frames):
+        for frame in frames:
+            for b, part in frame.groupby("batch"):
+                asked = shared.value.get(int(b), [])
+                x = np.stack(part["features"].to_list())
+                found = [np.where(x[:, j - 1] > low, x[:, j - 1], np.inf).min() for _, j, low in asked]
+                yield pd.DataFrame({"batch": int(b), "node": [n for n, _, _ in asked], "above": found})
+
+    train = rows.filter("train and features is not null and batch is not null").select("batch", "features")
+    above = train.mapInPandas(nearest, "batch long, node long, above double").groupBy("batch", "node").agg(F.min("above").alias("above"))
+    moved = {b: dict(tree) for b, tree in trees.items()}
+    for r in above.toLocalIterator():  # a row for each split
+        top, j, _, low = moved[r.batch][r.node]
+        moved[r.batch][r.node] = (top, j, (low + r.above) / 2, low)
+    return moved
+
+
 def predicted(rows: DataFrame, trees: dict[int, Tree], depths: list[int]) -> DataFrame:
     """rows with param and predicted, a row for each depth: the class of the node where a row stands at that depth."""
     classes = {batch: {n: t[0] for n, t in tree.items()} for batch, tree in trees.items()}
@@ -225,21 +283,35 @@ def predicted(rows: DataFrame, trees: dict[int, Tree], depths: list[int]) -> Dat
     return exploded(deep, keep, listed, "_p").select(*keep, "_p.param", "_p.predicted")
 
 
-def kfold_predictions(samples: DataFrame, k: int, criterion: str = "gini", depths: list[int] = TREE_DEPTHS) -> DataFrame:
-    """Predictions (sample_id, class_name, fold, param, predicted): every depth on every fold, from one growth of k trees."""
+def _trees(rows: DataFrame, criterion: str, depth: int, between: str) -> dict[int, Tree]:
+    if between not in ("node", "all"):
+        raise ValueError(f"unknown values {between!r}; use node or all")
+    trees = grown(rows, criterion, depth)
+    return trees if between == "node" else between_all(rows, trees)
+
+
+def kfold_predictions(
+    samples: DataFrame, k: int, criterion: str = "gini", depths: list[int] = TREE_DEPTHS, between: str = "node"
+) -> DataFrame:
+    """Predictions (sample_id, class_name, fold, param, predicted): every depth on every fold, from one growth of k trees.
+
+    Thresholds lie midway between neighbouring values of the node, or with between="all" of all training samples.
+    """
     samples = materialised(samples)  # each level reads them
     batches = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("batch")
     rows = samples.select("class_name", "features", "fold", batches).withColumn(
         "train", F.coalesce(F.col("fold") != F.col("batch"), F.lit(True)))
     tested = samples.filter(F.col("fold").between(0, k - 1)).select(
         "sample_id", "class_name", "fold", "features", F.col("fold").alias("batch"))
-    return predicted(tested, grown(rows, criterion, max(depths)), depths).drop("batch")
+    return predicted(tested, _trees(rows, criterion, max(depths), between), depths).drop("batch")
 
 
-def fit_predict(train: DataFrame, test: DataFrame, criterion: str = "gini", depth: int = 8) -> DataFrame:
+def fit_predict(
+    train: DataFrame, test: DataFrame, criterion: str = "gini", depth: int = 8, between: str = "node"
+) -> DataFrame:
     """Test samples with predicted, from a tree grown on the training samples."""
     rows = materialised(train.select(F.lit(0).alias("batch"), F.lit(True).alias("train"), "class_name", "features"))
-    trees = grown(rows, criterion, depth)
+    trees = _trees(rows, criterion, depth, between)
     return predicted(test.withColumn("batch", F.lit(0)), trees, [depth]).drop("batch", "param")
 
 
