@@ -15,7 +15,7 @@ from tracewright.plans.ordering import (
     ranged,
     row_numbers,
 )
-from tracewright.plans import skew
+from tracewright.plans import ordering, skew
 from tracewright.plans.skew import salted_join
 
 
@@ -141,3 +141,15 @@ def test_rows_of_a_null_key_are_numbered_through(spark, skewed):
     df = spark.createDataFrame(skewed).withColumn("k", F.when(F.col("k") != "hot", F.col("k"))).repartition(5)
     got = row_numbers(df, ["k"], ["v"], "n").filter("k is null").select("v", "n").collect()
     assert sorted(got) == [(v, i + 1) for i, v in enumerate(sorted(r.v for r in got))] and len(got) == 4000
+
+
+def test_tasks_grow_with_the_rows_and_windows_of_the_key_need_no_further_shuffle(spark, monkeypatch, capsys):
+    monkeypatch.setattr(ordering, "UNDEALT", 100)
+    monkeypatch.setattr(ordering, "ROWS_PER_TASK", 50)
+    rows = spark.range(3000).selectExpr("id div 3 as k", "id as v")
+    numbered = ordering.row_numbers(rows, ["k"], ["v"], "n")
+    assert numbered.rdd.getNumPartitions() == 60
+    lagged = ordering.lag_in_order(numbered, ["k"], "n", "v", "before").groupBy("k").agg(F.count("before").alias("c"))
+    lagged.explain()
+    assert capsys.readouterr().out.count("Exchange hashpartitioning") == 1
+    assert lagged.filter("c = 2").count() == 1000
