@@ -340,3 +340,24 @@ def test_training_does_not_depend_on_chunks_and_raises_the_likelihood(symbols):
 def test_similarity(symbols):
     got = hmm.hmm_similarity(symbols, n_iter=1, chunk=5, block=2)
     assert got.count() == 24 * 3 and got.filter("loglik is null").count() == 0
+
+
+def test_batch_weights_are_taken_from_each_sample_once(spark, capsys):
+    """Norms of all cycles come from a sample's own cells: no shuffle or window of cells that are repeated per cycle."""
+    from tracewright.operators import holdout
+
+    rows = [(i, i % 4 if i % 5 else None, t, 1 + (i * t) % 3) for i in range(40) for t in range(1 + i % 3)]
+    cells = spark.createDataFrame(rows, "sample_id long, own int, token int, tf long").withColumn("token", F.col("token").cast("string"))
+    samples = cells.select("sample_id", "own").distinct()
+    weights = holdout.tfidf_batch(cells.repartition(4, "sample_id"), samples, 4, 2, "train")
+    weights.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning(sample_id") == 1 and plan.index("Generate") < plan.index("Window")
+    got = weights.collect()
+    for cycle in range(4):
+        sizes = {}
+        for r in got:
+            if r.cycle == cycle:
+                assert (r.split == "test") == (r.own == cycle)
+                sizes[r.sample_id] = sizes.get(r.sample_id, 0) + r.weight ** 2
+        assert len(sizes) == 40 and all(abs(s - 1) < 1e-9 for s in sizes.values())
