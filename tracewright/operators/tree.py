@@ -68,7 +68,7 @@ def sweep(
     max_bins: int = 256, seed: int = 0,
 ) -> DataFrame:
     """Test samples with param and predicted, for every depth; the training rows are kept while trees grow."""
-    kept = _prepared(train, classes).persist()
+    kept = _prepared(train, classes).select("_label", "_v").persist()
     rows = test.withColumn("_v", array_to_vector("features"))
     out = [
         _grown(kept, classes, criterion, depth, max_bins, seed)(rows).withColumn("param", F.lit(depth))
