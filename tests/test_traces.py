@@ -158,3 +158,12 @@ def test_encode_lines(spark):
     lines = spark.createDataFrame([("a", 1, "mov   $0x1,%rax"), ("a", 2, "ret"), ("a", 3, "mov")], "sample_id string, step bigint, line string")
     got = [r.code for r in encode.encode_lines(lines).orderBy("step").collect()]
     assert got == ["010", "1", "0"]
+
+
+def test_line_is_worked_out_once(spark, capsys):
+    """A line made by an expression is not made anew for each place where its instruction is looked for."""
+    rows = spark.createDataFrame([("mov %eax # a",)], "s string")
+    got = rows.select(strings.disassembly_instruction(F.concat(F.lit("<a>:\t"), F.upper("s"))).alias("i"))
+    got.explain()
+    assert capsys.readouterr().out.count("upper(") == 1
+    assert got.first().i == "\tMOV %EAX"
