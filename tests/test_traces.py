@@ -160,6 +160,18 @@ def test_encode_lines(spark):
     assert got == ["010", "1", "0"]
 
 
+def test_sequences_take_two_passes_over_the_steps(spark, capsys):
+    """The steps are read for the letters and for the sequences; cuts and last parts come from the parts."""
+    rows = [("a", i, "mov", ["%rax"]) for i in range(1, 8)] + [("b", 1, "add", ["$1"])]
+    steps = spark.createDataFrame(rows, "sample_id string, step long, opcode string, operands array<string>").repartition(3, "sample_id")
+    got = encode.alpha_param_sequence(steps, 3)
+    got.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning(sample_id") == 1 and "SortMergeJoin" not in plan
+    assert [tuple(r) for r in got.orderBy("sample_id", "part").collect()] == [
+        ("a", 0, "a!a!a!"), ("a", 1, "a!a!a!"), ("a", 2, "a"), ("b", 0, "b")]
+
+
 def test_line_is_worked_out_once(spark, capsys):
     """A line made by an expression is not made anew for each place where its instruction is looked for."""
     rows = spark.createDataFrame([("mov %eax # a",)], "s string")
