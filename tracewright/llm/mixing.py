@@ -13,7 +13,8 @@
 
 Only the table of cells is worked on in rounds. Documents are counted into it with partial aggregates, so a source with a
 third of all documents is one row a task; a round's window sums go over the cells of a value, one for each combination. Up
-to CELLS_A_TASK cells lie in one partition, which serves the sums of every dimension, so their rounds shuffle nothing;
+to CELLS_A_TASK cells lie in one partition, which serves the sums of every dimension, so their targets, rounds and passes
+shuffle and broadcast nothing;
 more cells are shuffled by the values of a dimension. Cells go back to the documents by a broadcast if they are few, else by
 a shuffled join.
 
@@ -56,9 +57,13 @@ def topic_of(text: Column, topics: list[tuple[str, str]] = TOPICS) -> Column:
     return out
 
 
-def _marginal(cells: DataFrame, dim: str, power: float, given: dict[str, float]) -> DataFrame:
-    """(dim, target): shares that add up to 1; given ones stay, the others are scaled to what they leave."""
+def _marginal(cells: DataFrame, dim: str, power: float, given: dict[str, float], few: bool) -> DataFrame:
+    """(dim, target): shares that add up to 1; given ones stay, the others are scaled to what they leave.
+
+    Of few cells, which lie in one partition, the shares lie in one, too.
+    """
     sums = materialised(cells.groupBy(dim).agg(F.sum("tokens").alias("t")))
+    sums = sums.coalesce(1) if few else sums
     fixed = F.lit(None).cast("double")
     for value, share in given.items():
         fixed = F.when(F.col(dim) == value, F.lit(float(share))).otherwise(fixed)
@@ -82,24 +87,27 @@ def raked(
     most_rounds: int = MOST_ROUNDS,
 ) -> DataFrame:
     """cells (the dimensions, tokens > 0) with `weight`, shares of all tokens that follow the targets."""
+    n = cells.count()
+    parts, moved = 1 + n // CELLS_A_TASK, 0.0
+    # One partition holds every value of every dimension, and the plan knows it: no sum, join or window then needs an exchange.
+    cells = cells.coalesce(parts)
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
-    if not cells.take(1):
+    if not n:
         return out
     for dim, power in powers.items():
-        target = _marginal(cells, dim, power, (given or {}).get(dim, {})).withColumnRenamed("target", f"target of {dim}")
-        out = out.join(few_or_joined(target), dim)
-    out = materialised(out)
-    parts, moved = 1 + out.count() // CELLS_A_TASK, 0.0
+        target = _marginal(cells, dim, power, (given or {}).get(dim, {}), parts == 1).withColumnRenamed(
+            "target", f"target of {dim}")
+        out = out.join(target.hint("merge") if parts == 1 else few_or_joined(target), dim)
+    out = materialised(out).coalesce(parts)
     for _ in range(most_rounds):
-        # One partition holds every value of every dimension, and the plan knows it: no window then needs an exchange.
-        out = out.coalesce(parts).withColumn("moved", F.lit(0.0))
+        out = out.withColumn("moved", F.lit(0.0))
         for dim in powers:
             # Window sums, not joins: the optimizer's size estimates of repeated joins grow with a power of the rounds.
             now = F.sum("weight").over(Window.partitionBy(dim))
             out = out.withColumn("factor", F.when(now > 0, F.col(f"target of {dim}") / now).otherwise(1.0)).withColumns({
                 "weight": F.col("weight") * F.col("factor"),
                 "moved": F.greatest("moved", F.abs(F.col("factor") - 1))}).drop("factor")
-        out = materialised(out)  # one write a round
+        out = materialised(out).coalesce(parts)  # one write a round
         before, moved = moved, out.agg(F.max("moved").alias("m")).first()["m"]
         out = out.drop("moved")
         if moved <= tolerance or abs(moved - before) <= STALLED * moved:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tracewright.llm.common import few_or_joined
+from tracewright.llm.common import few_or_joined, summed_numbers
 from tracewright.llm.components import components
 from tracewright.llm.hashing import BASES, mixed, run_hashes, word_codes
 from tracewright.session import materialised
@@ -39,7 +39,6 @@ from tracewright.session import materialised
 SHINGLE = 5
 PERCENT = 75
 SKETCH_BITS = 20
-SKETCH_SLICES = 64
 HISTOGRAM = 128
 
 
@@ -83,33 +82,16 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
 
 def shingle_counts(docs: DataFrame, k: int, bits: int = SKETCH_BITS) -> np.ndarray:
     """How many documents have a shingle with each value of the lowest bits: a table of fixed size."""
-    size = (1 << bits) // SKETCH_SLICES
-    schema = "slice int, counts binary"
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterable[pa.RecordBatch]) -> np.ndarray:
         counts, low = np.zeros(1 << bits, np.int64), np.uint64((1 << bits) - 1)
         with np.errstate(over="ignore"):
             for batch in batches:
                 for text in batch.column(0):
                     np.add.at(counts, (shingle_set(text.as_py(), k) & low).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SKETCH_SLICES), pa.int32()),
-             pa.array([c.astype("<i8").tobytes() for c in counts.reshape(-1, size)], pa.binary())], names=["slice", "counts"])
+        return counts
 
-    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[at] = sums.get(at, 0) + np.frombuffer(counts.as_py(), "<i8")
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())],
-            names=["slice", "counts"])
-
-    total = np.zeros((SKETCH_SLICES, size), np.int64)
-    parts = docs.select("text").mapInArrow(count, schema).repartition(SKETCH_SLICES // 4, "slice").mapInArrow(add, schema)
-    for r in parts.collect():  # 8 bytes a count, whatever the input: one job, not one for each partition
-        total[r.slice] += np.frombuffer(r.counts, "<i8")
-    return total.reshape(-1)
+    return summed_numbers(docs.select("text"), count, 1 << bits)
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, k: int, percent: int) -> DataFrame:

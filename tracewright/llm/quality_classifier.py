@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import with_python_columns
+from tracewright.llm.common import summed_numbers, with_python_columns
 from tracewright.llm.hashing import BASES, mixed, token_runs
 from tracewright.session import materialised
 
@@ -186,17 +186,16 @@ def train(
     texts = texts.join(F.broadcast(chosen.select("id", "y", "h")), "id").groupBy("id", "y", "h").agg(F.min("text").alias("text"))
     texts = materialised(texts.repartition(FIT_TASKS, "id"))
 
-    def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(batches: Iterable[pa.RecordBatch]) -> np.ndarray:
         index = index_vectors()
         out = np.zeros(index.shape, np.int64)
         for batch in batches:
             out += context_sums((t.as_py() for t in batch.column(0)), index)
-        yield pa.RecordBatch.from_arrays([pa.array([out.astype("<i8").tobytes()], pa.binary())], names=["sums"])
+        return out
 
     index = index_vectors()
-    total_sums = np.zeros(index.shape, np.int64)
-    for r in texts.select("text").mapInArrow(sums, "sums binary").toLocalIterator():
-        total_sums += np.frombuffer(r.sums, "<i8").reshape(index.shape)
+    # Each task makes a whole table of sums, so there are at most FIT_TASKS, however many the session deals rows to.
+    total_sums = summed_numbers(texts.select("text").coalesce(FIT_TASKS), sums, index.size).reshape(index.shape)
     vectors = word_vectors(total_sums, index)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
