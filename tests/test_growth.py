@@ -146,3 +146,33 @@ def test_thresholds_between_all_values_where_features_have_many(spark):
     tested = spark.createDataFrame([(1, "?", [2999.1, 0.0]), (2, "?", [2999.4, 0.0])], "sample_id long, class_name string, features array<double>")
     got = {r.sample_id: r.predicted for r in growth.fit_predict(df, tested, "gini", 1, between="all").collect()}
     assert got == {1: "a", 2: "b"}
+
+
+@pytest.mark.parametrize("criterion", ["gini", "entropy"])
+def test_large_nodes_need_no_class_counts_of_all_batches(spark, criterion, monkeypatch):
+    """Levels of large nodes, in ranges of 40 rows, of values that repeat and values that do not; also where one value is in most rows."""
+    monkeypatch.setattr(growth, "LOCAL_CELLS", 100)
+    monkeypatch.setattr(growth, "RANGE_ROWS", 40)
+    monkeypatch.setattr(growth, "best_splits", lambda *_: pytest.fail("a table of class counts for each level"))
+    rng = random.Random(7)
+    rows = [(i, c, [*x, 0.0 if rng.random() < 0.8 else rng.random()], f) for i, c, x, f in samples(150)]
+    got = {(r.sample_id, r.param): r.predicted for r in growth.kfold_predictions(
+        spark.createDataFrame(rows, SCHEMA), 3, criterion, [0, 2, 5]).collect()}
+    for f in range(3):
+        train = [(r[1], r[2]) for r in rows if r[3] != f]
+        for r in [r for r in rows if r[3] == f][::4]:
+            assert [got[r[0], d] for d in (0, 2, 5)] == [plain_predicted(train, r[2], criterion, d) for d in (0, 2, 5)]
+
+
+@pytest.mark.parametrize("rows_a_range", [30, growth.RANGE_ROWS])
+def test_large_nodes_with_missing_values_repeated_rows_and_few_or_many_batches(spark, rows_a_range, monkeypatch):
+    """Trees of large nodes are those of small ones, whatever the ranges."""
+    rng = random.Random(11)
+    rows = [(b, rng.random() < 0.8, rng.choice(["a", "b", "c", None]),
+             [rng.choice([None, float("nan"), 1.0, 2.0, 3.0]), rng.random(), float(rng.random() < 0.1)]) for b in (3, 8) for _ in range(120)]
+    rows += rows[:60] + [(8, True, "a", None), (9, False, "a", [1.0, 1.0, 1.0]), (None, True, "b", [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "batch int, train boolean, class_name string, features array<double>")
+    small = growth.grown(df, "entropy", 4)
+    monkeypatch.setattr(growth, "LOCAL_CELLS", 0)
+    monkeypatch.setattr(growth, "RANGE_ROWS", rows_a_range)
+    assert growth.grown(df, "entropy", 4) == small and set(small) == {3, 8} and len(small[3]) > 8

@@ -1,13 +1,14 @@
 """Decision trees of many batches (folds or cycles), grown together level by level with exact thresholds.
 
-Rows are (batch, train, class_name, features): training rows of a batch grow its tree. A level takes one pass over the rows of all
-nodes of more than LOCAL_CELLS values, for the class counts of the values of each feature in them. The rows of a smaller node are then
+Rows are (batch, train, class_name, features): training rows of a batch grow its tree. Nodes of more than LOCAL_CELLS values split
+level by level: each feature of the rows of all of them, in all batches, is brought together in ranges of its values and searched
+there (`columns`); a row that is in many batches is sent once. The rows of a smaller node are then
 brought together once, whichever level it is on, and the tree below it grows where they are (`subtrees`). Nodes keep
 their majority class, so the predictions of every smaller depth are read off the inner nodes of the one tree.
 
 * The impurity of both sides of all thresholds comes from running sums: adding n rows of a class that has l so far changes the sum
   of f(count of class) by f(l + n) - f(l), with f(n) = n * n (gini) or n * log2(n) (entropy). So classes are rows, not columns,
-  and there may be any number of them. Values are cut into ranges where a node has many; a range starts from the sums before it.
+  and there may be any number of them. Values are cut into ranges where rows are many; a range starts from the sums before it.
 * A threshold lies midway between neighbouring values of the node, or of the batch (`between_all`). Of equal gains (to 9 decimals) the first feature and then the
   lowest threshold is taken; a node that is pure or gains nothing is a leaf. Of equally frequent classes the first one is predicted.
 * A tree is a model: a few numbers for each node. Rows find their node in Arrow batches, a whole level of a batch at a time.
@@ -20,19 +21,23 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.functions.fixed_values import TREE_DEPTHS
 from tracewright.functions.rows import exploded
+from tracewright.operators import columns
 from tracewright.operators.subtrees import grown_below
-from tracewright.plans.ordering import ranged
+from tracewright.plans.ordering import global_index, ranged
+from tracewright.plans.skew import lookup_join
 from tracewright.session import materialised
 
 MAX_NODES = 5_000_000  # of all trees together; they are sent to all tasks
 FEW_CELLS = 10_000_000  # class counts of values, some 500 MB; a sort of them spills at worst
 LOCAL_CELLS = 8_000_000  # values of a node whose subtree grows in one task: 64 MB, and some five times that while it grows
+RANGE_ROWS = 1_000_000  # rows in a range of a feature's values; a task holds them for all batches, some 250 MB for ten
 DEEPEST = 60  # nodes are numbered 1, 2n and 2n + 1
 
 Tree = dict[int, tuple]  # node to (class, feature from 1 or 0, threshold, value of the node next below the threshold)
@@ -41,13 +46,18 @@ Tree = dict[int, tuple]  # node to (class, feature from 1 or 0, threshold, value
 # ---- finding nodes -------------------------------------------------------------------------------------
 
 
-def placed(rows: DataFrame, trees: dict[int, Tree], depth: int) -> DataFrame:
-    """rows with _node: where a row stands after at most `depth` splits; null without a tree or a vector."""
+def _packed(trees: dict[int, Tree]) -> dict[int, columns.Packed]:
     packed = {}
     for batch, tree in trees.items():
         nodes = np.array(sorted(tree), np.int64)
         packed[batch] = (nodes, np.array([tree[n][1] for n in nodes]), np.array([tree[n][2] for n in nodes], float))
-    shared = rows.sparkSession.sparkContext.broadcast(packed)
+    return packed
+
+
+def placed(rows: DataFrame, trees: dict[int, Tree], depth: int) -> DataFrame:
+    """rows with _node: where a row stands after at most `depth` splits; null without a tree or a vector."""
+    shared = rows.sparkSession.sparkContext.broadcast(_packed(trees))
+    descended = columns.descended
 
     @F.pandas_udf("long")
     def node(batches: pd.Series, features: pd.Series) -> pd.Series:
@@ -56,17 +66,7 @@ def placed(rows: DataFrame, trees: dict[int, Tree], depth: int) -> DataFrame:
             at = np.flatnonzero((batches == b).to_numpy() & features.notna().to_numpy())
             if int(b) not in shared.value or not len(at):
                 continue
-            nodes, feature, threshold = shared.value[int(b)]
-            x = np.stack(features.iloc[at].to_list())
-            here = np.ones(len(at), np.int64)
-            for _ in range(depth):
-                i = np.searchsorted(nodes, here)  # every node that is reached is listed
-                split = np.flatnonzero(feature[i] > 0)
-                if not len(split):
-                    break
-                right = ~(x[split, feature[i][split] - 1] <= threshold[i][split])
-                here[split] = 2 * here[split] + right
-            out.iloc[at] = here
+            out.iloc[at] = descended(np.stack(features.iloc[at].to_list()), shared.value[int(b)], depth)
         return out
 
     return rows.withColumn("_node", node(F.col("batch").cast("long"), "features"))
@@ -168,11 +168,90 @@ def best_splits(cells: DataFrame, criterion: str, keys: list[str], few: int = FE
 # ---- growth --------------------------------------------------------------------------------------------
 
 
-def _of_nodes(train: DataFrame, trees: dict[int, Tree], level: int, nodes: list[tuple]) -> DataFrame:
-    """The training rows that stand in one of the nodes (batch, node)."""
-    asked = train.sparkSession.createDataFrame(nodes, "batch long, _node long")
-    rows = placed(train, trees, level).withColumn("batch", F.col("batch").cast("long"))
-    return rows.join(F.broadcast(asked), ["batch", "_node"])  # as many rows as nodes
+def _standing(train: DataFrame, trees: dict[int, Tree], level: int, nodes: list[tuple], give, schema: str) -> DataFrame:
+    """What `give` makes of Arrow batches of training rows, their vectors and, for each tree, the places of their nodes in `nodes`."""
+    shared = train.sparkSession.sparkContext.broadcast((_packed({b: trees[b] for b, _ in nodes}), nodes))
+    vectors, standing = columns.vectors, columns.standing
+
+    def run(batches):
+        for rows in batches:
+            if rows.num_rows:
+                x = vectors(rows)
+                yield from give(rows, x, standing(rows, x, shared.value[0], level, shared.value[1]))
+
+    return train.mapInArrow(run, schema)
+
+
+def _node_counts(train: DataFrame, trees: dict[int, Tree], level: int, nodes: list[tuple]):
+    """(slot, n, classes, top) of each node that has rows: how many rows and classes, and the first most frequent class."""
+    counted = columns.class_counts
+
+    def give(rows, x, slots):
+        yield counted(rows.column("class_name"), slots)
+
+    counts = _standing(train, trees, level, nodes, give, "slot long, class_name string, n long").groupBy("slot", "class_name").agg(F.sum("n").alias("n"))
+    return counts.groupBy("slot").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"),
+                                      F.min(F.struct((-F.col("n")).alias("n"), "class_name")).alias("top")).toLocalIterator()
+
+
+def _cuts(train: DataFrame, trees: dict[int, Tree], level: int, nodes: list[tuple], parts: int) -> list[np.ndarray]:
+    """For each feature, values that cut the rows of the nodes into some `parts` ranges of like size, from a sample of 64 a range."""
+    most = 64 * parts
+
+    def give(rows, x, slots):
+        at = np.flatnonzero((slots >= 0).any(axis=1))
+        mixed = x[at].view(np.uint64) >> np.uint64(11)
+        pick = (mixed * np.arange(1, 2 * x.shape[1], 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(axis=1).view(np.int64)
+        least = np.argsort(pick, kind="stable")[:most]
+        yield pa.RecordBatch.from_arrays([pa.array(pick[least]), rows.column("features").take(pa.array(at[least]))], ["pick", "features"])
+
+    sample = _standing(train, trees, level, nodes, give, "pick long, features array<double>").orderBy("pick", "features").limit(most).collect()
+    rows = np.array([r.features for r in sample], float)
+    found = []
+    for column in rows.T:
+        v = np.sort(column[~np.isnan(column)])
+        found.append(np.unique(v[[len(v) * i // parts for i in range(1, parts)]]) if len(v) else v)
+    return found
+
+
+def _before(blocks: DataFrame, trees: int, many: bool, parts: int) -> DataFrame:
+    """(j, part, slot, code, before, total, next) of blocks: for all classes that a slot has, rows before the part and in all parts."""
+    part_counts = columns.part_counts
+    counts = materialised(blocks.groupBy("j", "part").applyInPandas(
+        lambda rows: part_counts(rows, trees, many), "j long, part long, slot long, code int, n long, first double"))
+    keys = ["j", "slot", "code"]
+    none = counts.select(*keys).distinct().select(
+        "j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), "slot", "code",
+        F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("first"))
+    every = counts.unionByName(none).groupBy(*keys, "part").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    of_class = W.partitionBy(*keys)
+    later = W.partitionBy("j", "slot").orderBy("part").rangeBetween(1, W.unboundedFollowing)
+    return every.select(*keys, "part", F.coalesce(F.sum("n").over(of_class.orderBy("part").rowsBetween(_UPTO, -1)), F.lit(0)).alias("before"),
+                        F.sum("n").over(of_class).alias("total"), F.min("first").over(later).alias("next"))
+
+
+def _level_splits(train: DataFrame, trees: dict[int, Tree], level: int, nodes: list[tuple], criterion: str, width: int, parts: int):
+    """(slot, j, threshold, low): the best split of each of the nodes, where one gains something."""
+    cuts = _cuts(train, trees, level, nodes, parts) if parts > 1 else []
+    made, best_of_part = columns.blocks, columns.best_of_part
+    of_trees, many = len({b for b, _ in nodes}), len(nodes) >= 1 << 15
+
+    def give(rows, x, slots):
+        yield made(x, rows.column("code").to_numpy(zero_copy_only=False), slots, cuts)
+
+    blocks = _standing(train, trees, level, nodes, give, "j long, part long, v binary, c binary, n binary, s binary")
+    blocks = blocks.repartition(min(4 * width * parts, 4000), "j", "part")  # few rows, but of much work
+    result = "slot long, loss double, j long, threshold double, low double"
+    if parts == 1:
+        found = blocks.groupBy("j", "part").applyInPandas(lambda rows: best_of_part(rows, of_trees, many, criterion), result)
+    else:
+        blocks = materialised(blocks)
+        before = _before(blocks, of_trees, many, parts)
+        found = blocks.groupBy("j", "part").cogroup(before.groupBy("j", "part")).applyInPandas(
+            lambda rows, known: best_of_part(rows, of_trees, many, criterion, known) if len(rows) else pd.DataFrame(
+                columns=["slot", "loss", "j", "threshold", "low"]), result)
+    best = found.groupBy("slot").agg(F.min(F.struct("loss", "j", "threshold", "low")).alias("_b"))
+    return best.select("slot", "_b.j", "_b.threshold", "_b.low").toLocalIterator()
 
 
 def _grown_apart(train: DataFrame, trees: dict[int, Tree], level: int, roots: list[tuple], criterion: str, depth: int):
@@ -181,20 +260,46 @@ def _grown_apart(train: DataFrame, trees: dict[int, Tree], level: int, roots: li
     def below(group: pd.DataFrame) -> pd.DataFrame:
         return grown_below(group, criterion, depth)
 
-    dealt = _of_nodes(train, trees, level, roots).repartition(min(4 * len(roots), 4000), "batch", "_node")  # a number of its own: tasks are long, not their rows many
+    def give(rows, x, slots):
+        for t in range(slots.shape[1]):
+            at = np.flatnonzero(slots[:, t] >= 0)
+            batch, node = (np.array(a, np.int64)[slots[at, t]] for a in zip(*roots))
+            kept = rows.select(["class_name", "features"]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([pa.array(batch), pa.array(node), *kept.columns], ["batch", "_node", "class_name", "features"])
+
+    dealt = _standing(train, trees, level, roots, give, "batch long, _node long, class_name string, features array<double>").repartition(
+        min(4 * len(roots), 4000), "batch", "_node")  # a number of its own: tasks are long, not their rows many
     nodes = dealt.groupBy("batch", "_node").applyInPandas(
         below, "batch long, _node long, class_name string, j long, threshold double, low double")
     return materialised(nodes).toLocalIterator()  # which would grow one partition after the other
 
 
-def grown(rows: DataFrame, criterion: str, depth: int) -> dict[int, Tree]:
-    """The trees of all batches, at most `depth` splits deep."""
+def _coded(train: DataFrame) -> DataFrame:
+    """train with code, a number for each class; -1 for none."""
+    names = global_index(materialised(train.filter("class_name is not null").select("class_name").distinct()), ["class_name"], "code")
+    return lookup_join(train, names, ["class_name"], ["features"], "left").withColumn("code", F.coalesce(F.col("code").cast("int"), F.lit(-1)))
+
+
+def _check(criterion: str, depth: int) -> None:
     if criterion not in ("gini", "entropy"):
         raise ValueError(f"unknown criterion {criterion!r}; use gini or entropy")
     if not 0 <= depth <= DEEPEST:
         raise ValueError(f"a depth from 0 to {DEEPEST}")
-    train = rows.filter("train and features is not null and batch is not null").select("batch", "class_name", "features")
-    sizes = train.groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("p")).collect()
+
+
+def grown(rows: DataFrame, criterion: str, depth: int) -> dict[int, Tree]:
+    """The trees of all batches, at most `depth` splits deep."""
+    _check(criterion, depth)
+    return _grown(rows.filter("train and batch is not null").withColumn("batches", F.array("batch")), criterion, depth)
+
+
+def _grown(rows: DataFrame, criterion: str, depth: int) -> dict[int, Tree]:
+    """The same from training rows (batches, class_name, features), each with the batches that it is in."""
+    _check(criterion, depth)
+    train = rows.filter("features is not null").select(
+        F.col("batches").cast("array<bigint>").alias("batches"), "class_name", F.col("features").cast("array<double>").alias("features"))
+    sizes = train.select(F.explode("batches").alias("batch"), F.size("features").alias("p")).groupBy("batch").agg(
+        F.count(F.lit(1)).alias("n"), F.max("p").alias("p")).collect()
     trees: dict[int, Tree] = {r.batch: {1: (None, 0, 0.0, 0.0)} for r in sizes}
     width = max((r.p for r in sizes), default=0)
 
@@ -202,36 +307,35 @@ def grown(rows: DataFrame, criterion: str, depth: int) -> dict[int, Tree]:
         return 0 < n * width <= LOCAL_CELLS
 
     apart = [(r.batch, 1) for r in sizes if is_small(r.n)]
-    large = {(r.batch, 1) for r in sizes if not is_small(r.n)}
+    reached = sorted((r.batch, 1) for r in sizes if not is_small(r.n))
+    coded = _coded(train) if reached else train
+    all_rows = train.count() if reached else 0
     level = 0
-    while large:
-        here = _of_nodes(train, trees, level, sorted(large))
-        if level < depth:
-            cells = materialised(exploded(here, ["batch", "_node", "class_name"], F.col("features"), "x", "j").groupBy(
-                "batch", "_node", "j", "x", "class_name").agg(F.count(F.lit(1)).alias("n")))
-            counts = cells.filter("j = 1").groupBy("batch", "_node", "class_name").agg(F.sum("n").alias("n"))
-        else:
-            counts = here.groupBy("batch", "_node", "class_name").agg(F.count(F.lit(1)).alias("n"))
-        nodes = counts.groupBy("batch", "_node").agg(
-            F.min(F.struct((-F.col("n")).alias("n"), "class_name")).alias("top"), F.count(F.lit(1)).alias("classes"))
-        mixed = set()
-        for r in nodes.toLocalIterator():  # a row for each node
-            trees[r.batch][r._node] = (r.top.class_name, 0, 0.0, 0.0)
-            if r.classes > 1:
-                mixed.add((r.batch, r._node))
-        if level == depth or not mixed:
+    while reached:
+        large, rows_of = [], 0
+        for r in _node_counts(train, trees, level, reached):  # a row for each node
+            batch, node = reached[r.slot]
+            trees[batch][node] = (r.top.class_name, 0, 0.0, 0.0)
+            if is_small(r.n):
+                apart.append((batch, node))
+            elif r.classes > 1:
+                large.append((batch, node))
+                rows_of += r.n
+        if level == depth or not large:
             break
-        for r in best_splits(cells.filter("x is not null and not isnan(x)"), criterion, ["batch", "_node"]).toLocalIterator():
-            if (r.batch, r._node) in mixed:
-                trees[r.batch][r._node] = (trees[r.batch][r._node][0], int(r.j), float(r.threshold), float(r.low))
-                for child in (2 * r._node, 2 * r._node + 1):
-                    trees[r.batch][child] = (None, 0, 0.0, 0.0)
+        large.sort()
+        parts = -(-min(rows_of, all_rows) // RANGE_ROWS)
+        reached = []
+        for r in _level_splits(coded, trees, level, large, criterion, width, parts):
+            batch, node = large[r.slot]
+            trees[batch][node] = (trees[batch][node][0], int(r.j), float(r.threshold), float(r.low))
+            for child in (2 * node, 2 * node + 1):
+                trees[batch][child] = (None, 0, 0.0, 0.0)
+                reached.append((batch, child))
+        reached.sort()
         level += 1
-        reached = placed(train, trees, level).filter(F.col("_node") >= (1 << level)).groupBy("batch", "_node").count().collect()
-        apart += [(r.batch, r._node) for r in reached if is_small(r["count"])]
-        large = {(r.batch, r._node) for r in reached if not is_small(r["count"])}
     if apart:
-        for r in _grown_apart(train, {b: dict(t) for b, t in trees.items()}, level, apart, criterion, depth):
+        for r in _grown_apart(train, {b: dict(t) for b, t in trees.items()}, level, sorted(apart), criterion, depth):
             trees[r.batch][r._node] = (r.class_name, r.j, r.threshold, r.low)
     if sum(map(len, trees.values())) > MAX_NODES:
         raise ValueError(f"more than {MAX_NODES} nodes; grow to a smaller depth")
@@ -283,10 +387,11 @@ def predicted(rows: DataFrame, trees: dict[int, Tree], depths: list[int]) -> Dat
     return exploded(deep, keep, listed, "_p").select(*keep, "_p.param", "_p.predicted")
 
 
-def _trees(rows: DataFrame, criterion: str, depth: int, between: str) -> dict[int, Tree]:
+def _trees(rows: DataFrame, criterion: str, depth: int, between: str, train: DataFrame | None = None) -> dict[int, Tree]:
+    """The trees of rows (batch, train, class_name, features); train has the training rows once, with their batches."""
     if between not in ("node", "all"):
         raise ValueError(f"unknown values {between!r}; use node or all")
-    trees = grown(rows, criterion, depth)
+    trees = grown(rows, criterion, depth) if train is None else _grown(train, criterion, depth)
     return trees if between == "node" else between_all(rows, trees)
 
 
@@ -298,12 +403,13 @@ def kfold_predictions(
     Thresholds lie midway between neighbouring values of the node, or with between="all" of all training samples.
     """
     samples = materialised(samples)  # each level reads them
-    batches = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("batch")
-    rows = samples.select("class_name", "features", "fold", batches).withColumn(
+    batches = F.sequence(F.lit(0), F.lit(k - 1))
+    rows = samples.select("class_name", "features", "fold", F.explode(batches).alias("batch")).withColumn(
         "train", F.coalesce(F.col("fold") != F.col("batch"), F.lit(True)))
+    train = samples.select("class_name", "features", F.filter(batches, lambda b: F.coalesce(F.col("fold") != b, F.lit(True))).alias("batches"))
     tested = samples.filter(F.col("fold").between(0, k - 1)).select(
         "sample_id", "class_name", "fold", "features", F.col("fold").alias("batch"))
-    return predicted(tested, _trees(rows, criterion, max(depths), between), depths).drop("batch")
+    return predicted(tested, _trees(rows, criterion, max(depths), between, train), depths).drop("batch")
 
 
 def fit_predict(
