@@ -3,9 +3,10 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
-from tracewright.operators import growth, tree
+from tracewright.operators import growth, subtrees, tree
 
 
 def impurity(classes, criterion):
@@ -176,3 +177,21 @@ def test_large_nodes_with_missing_values_repeated_rows_and_few_or_many_batches(s
     monkeypatch.setattr(growth, "LOCAL_CELLS", 0)
     monkeypatch.setattr(growth, "RANGE_ROWS", rows_a_range)
     assert growth.grown(df, "entropy", 4) == small and set(small) == {3, 8} and len(small[3]) > 8
+
+
+@pytest.mark.parametrize("criterion", ["gini", "entropy"])
+def test_sums_of_more_rows_than_the_table_has(criterion, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, codes = rng.integers(0, 30, (400, 3)).astype(float), rng.integers(0, 4, 400)
+    looked_up = subtrees.subtree(x, codes, criterion, 5)
+    monkeypatch.setattr(subtrees, "TABLE", 0)
+    assert subtrees.subtree(x, codes, criterion, 5) == looked_up
+
+
+def test_vectors_without_values_and_of_different_lengths(spark, monkeypatch):
+    monkeypatch.setattr(growth, "LOCAL_CELLS", 0)
+    empty = spark.createDataFrame([(0, True, c, []) for c in "abb"], "batch int, train boolean, class_name string, features array<double>")
+    assert growth.grown(empty, "gini", 3) == {0: {1: ("b", 0, 0.0, 0.0)}}
+    mixed = empty.union(spark.createDataFrame([(0, True, "c", [1.0, 2.0])], empty.schema)).coalesce(1)
+    with pytest.raises(Exception, match="vectors of 0 and 2 values"):
+        growth.grown(mixed, "gini", 3)

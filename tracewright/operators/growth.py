@@ -189,7 +189,8 @@ def _node_counts(train: DataFrame, trees: dict[int, Tree], level: int, nodes: li
     def give(rows, x, slots):
         yield counted(rows.column("class_name"), slots)
 
-    counts = _standing(train, trees, level, nodes, give, "slot long, class_name string, n long").groupBy("slot", "class_name").agg(F.sum("n").alias("n"))
+    found = _standing(train, trees, level, nodes, give, "slot long, class_name string, n long")
+    counts = found.groupBy("slot", "class_name").agg(F.sum("n").alias("n"))
     return counts.groupBy("slot").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"),
                                       F.min(F.struct((-F.col("n")).alias("n"), "class_name")).alias("top")).toLocalIterator()
 
@@ -205,7 +206,8 @@ def _cuts(train: DataFrame, trees: dict[int, Tree], level: int, nodes: list[tupl
         least = np.argsort(pick, kind="stable")[:most]
         yield pa.RecordBatch.from_arrays([pa.array(pick[least]), rows.column("features").take(pa.array(at[least]))], ["pick", "features"])
 
-    sample = _standing(train, trees, level, nodes, give, "pick long, features array<double>").orderBy("pick", "features").limit(most).collect()
+    picked = _standing(train, trees, level, nodes, give, "pick long, features array<double>")
+    sample = picked.orderBy("pick", "features").limit(most).collect()
     rows = np.array([r.features for r in sample], float)
     found = []
     for column in rows.T:
@@ -240,7 +242,7 @@ def _level_splits(train: DataFrame, trees: dict[int, Tree], level: int, nodes: l
         yield made(x, rows.column("code").to_numpy(zero_copy_only=False), slots, cuts)
 
     blocks = _standing(train, trees, level, nodes, give, "j long, part long, v binary, c binary, n binary, s binary")
-    blocks = blocks.repartition(min(4 * width * parts, 4000), "j", "part")  # few rows, but of much work
+    blocks = blocks.repartition(min(4 * max(width, 1) * parts, 4000), "j", "part")  # few rows, but of much work
     result = "slot long, loss double, j long, threshold double, low double"
     if parts == 1:
         found = blocks.groupBy("j", "part").applyInPandas(lambda rows: best_of_part(rows, of_trees, many, criterion), result)
@@ -277,7 +279,8 @@ def _grown_apart(train: DataFrame, trees: dict[int, Tree], level: int, roots: li
 def _coded(train: DataFrame) -> DataFrame:
     """train with code, a number for each class; -1 for none."""
     names = global_index(materialised(train.filter("class_name is not null").select("class_name").distinct()), ["class_name"], "code")
-    return lookup_join(train, names, ["class_name"], ["features"], "left").withColumn("code", F.coalesce(F.col("code").cast("int"), F.lit(-1)))
+    joined = lookup_join(train, names, ["class_name"], ["features"], "left")
+    return joined.withColumn("code", F.coalesce(F.col("code").cast("int"), F.lit(-1)))
 
 
 def _check(criterion: str, depth: int) -> None:
@@ -406,7 +409,8 @@ def kfold_predictions(
     batches = F.sequence(F.lit(0), F.lit(k - 1))
     rows = samples.select("class_name", "features", "fold", F.explode(batches).alias("batch")).withColumn(
         "train", F.coalesce(F.col("fold") != F.col("batch"), F.lit(True)))
-    train = samples.select("class_name", "features", F.filter(batches, lambda b: F.coalesce(F.col("fold") != b, F.lit(True))).alias("batches"))
+    others = F.filter(batches, lambda b: F.coalesce(F.col("fold") != b, F.lit(True)))
+    train = samples.select("class_name", "features", others.alias("batches"))
     tested = samples.filter(F.col("fold").between(0, k - 1)).select(
         "sample_id", "class_name", "fold", "features", F.col("fold").alias("batch"))
     return predicted(tested, _trees(rows, criterion, max(depths), between, train), depths).drop("batch")
